@@ -137,11 +137,12 @@ def order_statistics(
     """(q, value): the value at 0-based place min(n-1, floor(q*n)) of the sorted column."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
     runs = running_totals(counts, value, ["_c"], cuts=cuts)
-    wanted = F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q")
-    place = F.least(F.col("_c_all") - 1, F.floor(F.col("q") * F.col("_c_all")))
     # each distinct value covers the places [upto - c, upto)
-    return (
-        runs.select(value, "_c", "_c_upto", "_c_all", wanted)
-        .where((place >= F.col("_c_upto") - F.col("_c")) & (place < F.col("_c_upto")))
-        .select("q", F.col(value).alias("value"))
-    )
+    first, after = F.col("_c_upto") - F.col("_c"), F.col("_c_upto")
+
+    def covered(q: Column) -> Column:
+        place = F.least(F.col("_c_all") - 1, F.floor(q * F.col("_c_all")))
+        return (place >= first) & (place < after)
+
+    wanted = F.array(*[F.lit(float(q)) for q in quantiles])
+    return runs.select(F.explode(F.filter(wanted, covered)).alias("q"), F.col(value).alias("value"))
