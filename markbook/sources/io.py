@@ -7,12 +7,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from markbook.functions import fixed
 from markbook.functions.text import strip_space
 from markbook.schemas import CONFIGS, LABELS, SEED_ITEMS
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -90,7 +91,7 @@ def read_tsv(spark: SparkSession, path: str, min_cols: int, max_cols: int | None
         .option("escape", '"')
         .csv(path)
     )
-    clean = raw.withColumn("c0", F.regexp_replace("c0", f"^{BOM}", ""))
+    clean = raw.withColumn("c0", F.regexp_replace("c0", "^" + BOM, ""))
     # a short row leaves the later columns null; an empty value is not null
     return clean.where(F.col(f"c{min_cols - 1}").isNotNull())
 
@@ -160,32 +161,53 @@ SEED_SUBJECTS = {
 }
 
 
-def read_seed_items(spark: SparkSession, folder: str, subjects: Sequence[str] = tuple(SEED_SUBJECTS)) -> DataFrame:
-    """Source items with nested steps, their subject code and name, and a ``position`` in reading order."""
-    parts = []
-    for order, name in enumerate(subjects):
-        code, title = SEED_SUBJECTS[name]
-        raw = read_jsonl(spark, f"{folder}/{name}.jsonl", SEED_ITEMS)
-        parts.append(
-            raw.withColumn("subject_code", F.lit(code))
-            .withColumn("subject_name", F.lit(title))
-            .withColumn("position", file_position(order))
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def with_place(raw: DataFrame, order: int = 0) -> DataFrame:
+    """Add where a row was read: ``_order`` (of its source), ``_file``, ``_block`` and ``_row``.
+
+    Call it directly on a scan. Rows of one block are read in one task, in order.
+    """
+    return raw.select(
+        "*",
+        F.lit(order).alias("_order"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
 
 
-def file_position(file_order: int) -> Column:
-    """A number that grows in reading order within one file: partition and row number below the file's own.
+def number_rows(df: DataFrame, out: str = "position", sub: Sequence[str] = ()) -> DataFrame:
+    """Number rows 0.. in reading order; ``sub`` orders rows that came from one read row.
 
-    One file's blocks are read in order of their start only if they land in one partition each; ids are
-    compared within one file, and ``file_order`` keeps files apart.
+    A block's rows are numbered in one task on top of the count of all earlier blocks, and only those
+    counts (one per block) are added up in one place.
     """
-    return F.monotonically_increasing_id().cast("decimal(20,0)") + F.lit(file_order).cast("decimal(20,0)") * F.lit(
-        2**62
-    ).cast("decimal(20,0)")
+    block = ["_order", "_file", "_block"]
+    counts = df.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.orderBy(*block).rowsBetween(W.unboundedPreceding, -1)
+    bases = counts.select(*block, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = W.partitionBy(*block).orderBy("_row", *sub)
+    return (
+        df.withColumn("_i", F.row_number().over(inside) - 1)
+        .join(bases, block)
+        .withColumn(out, F.col("_base") + F.col("_i"))
+        .drop(*block, "_row", "_i", "_base")
+    )
+
+
+def read_seed_items(spark: SparkSession, folder: str, subjects: Sequence[str] = tuple(SEED_SUBJECTS)) -> DataFrame:
+    """Source items with nested steps, their subject code and name, and a ``position`` in reading order."""
+    out = None
+    for order, name in enumerate(subjects):
+        code, title = SEED_SUBJECTS[name]
+        path = f"{folder}/{name}.jsonl"
+        if not exists(spark, path):
+            continue
+        raw = with_place(spark.read.schema(SEED_ITEMS).option("mode", "FAILFAST").json(path), order)
+        part = raw.withColumn("subject_code", F.lit(code)).withColumn("subject_name", F.lit(title))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return _empty(spark, f"{SEED_ITEMS}, subject_code string, subject_name string, position bigint")
+    return number_rows(out)
 
 
 SPAN_ANSWER = "struct<text:string,answer_start:int>"
