@@ -128,8 +128,12 @@ def occurrences(text: Column, span: Column) -> Column:
         )
 
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts"))
-    folded = F.aggregate(F.slice(lengths, 1, F.greatest(F.size(lengths) - 1, F.lit(0))), start, step)
-    return F.when(span == "", F.array().cast("array<int>")).otherwise(folded["starts"])
+
+    def fold(sizes: Column) -> Column:
+        before = F.slice(sizes, 1, F.greatest(F.size(sizes) - 1, F.lit(0)))
+        return F.aggregate(before, start, step, lambda acc: acc["starts"])
+
+    return F.when(span == "", F.array().cast("array<int>")).otherwise(let(lengths, fold))
 
 
 def highlight_segments(text: Column, details: Column) -> Column:
@@ -198,12 +202,12 @@ def longest_common(text: Column, ref: Column, k: int) -> Column:
             F.sequence(F.lit(k), n - start),
             F.lit(k - 1),
             lambda best, size: F.when(
-                (best == size - 1) & (F.instr(text, F.substring(ref, start + 1, size)) > 0), size
+                (best == size - 1) & F.contains(text, F.substring(ref, start + 1, size)), size
             ).otherwise(best),
         )
 
     starts = F.filter(
-        F.sequence(F.lit(0), n - k), lambda s: F.instr(text, F.substring(ref, s + 1, F.lit(k))) > 0
+        F.sequence(F.lit(0), n - k), lambda s: F.contains(text, F.substring(ref, s + 1, F.lit(k)))
     )
     ranked = F.transform(
         starts,

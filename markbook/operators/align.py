@@ -30,20 +30,27 @@ def _align(start: Column, end: Column, answer: Column, strategy: str) -> Column:
 def align_native(answer: Column, span: Column) -> Column:
     """Exact match, else match after folding, else null."""
 
-    def folded(s: Column) -> Column:
-        at = F.instr(norm_align(answer), norm_align(s)) - 1
-        places = kept_positions(answer, fixed.align_drop())
-        fuzzy = _align(
-            F.get(places, at), F.get(places, at + F.length(norm_align(s)) - 1) + 1, answer, "fuzzy"
-        )
+    def place(s: Column) -> Column:
         exact_at = F.instr(answer, s) - 1
+
+        def fold(both: Column) -> Column:
+            at = F.instr(both["a"], both["s"]) - 1
+
+            def project(places: Column) -> Column:
+                last = F.get(places, at + F.length(both["s"]) - 1)
+                return _align(F.get(places, at), last + 1, answer, "fuzzy")
+
+            found = let(kept_positions(answer, fixed.align_drop()), project)
+            return F.when((both["s"] != "") & (at >= 0), found)
+
+        fuzzy = let(F.struct(norm_align(answer).alias("a"), norm_align(s).alias("s")), fold)
         return (
             F.when(s == "", F.lit(None).cast(ALIGN_TYPE))
             .when(exact_at >= 0, _align(exact_at, exact_at + F.length(s), answer, "exact"))
-            .when((norm_align(s) != "") & (at >= 0), fuzzy)
+            .otherwise(fuzzy)
         )
 
-    return let(strip_space(F.coalesce(span, F.lit(""))), folded)
+    return let(strip_space(F.coalesce(span, F.lit(""))), place)
 
 
 def matching_block(answer: str, span: str, min_coverage: float) -> tuple[int, int] | None:
@@ -86,12 +93,14 @@ def align_spans(
             F.when(still_open, norm_align(strip_space(F.col(span)))),
         ),
     )
-    places = kept_positions(text, fixed.align_drop())
-    by_block = _align(
-        F.get(places, F.col("_block.at")),
-        F.get(places, F.col("_block.at") + F.col("_block.size") - 1) + 1,
-        text,
-        "lcs",
+    by_block = let(
+        kept_positions(text, fixed.align_drop()),
+        lambda places: _align(
+            F.get(places, F.col("_block.at")),
+            F.get(places, F.col("_block.at") + F.col("_block.size") - 1) + 1,
+            text,
+            "lcs",
+        ),
     )
     return tried.withColumn(
         out, F.coalesce(F.col("_native"), F.when(F.col("_block.at").isNotNull(), by_block))

@@ -152,9 +152,14 @@ def latency_summary(
 
 def throughput(df: DataFrame, start: str, end: str) -> DataFrame:
     """One row: calls, wall seconds between first start and last end, calls per second."""
-    return df.agg(
-        F.count(F.lit(1)).alias("calls"), (F.max(end).cast("double") - F.min(start).cast("double")).alias("wall")
-    ).withColumn("per_second", F.try_divide("calls", "wall"))
+
+    def micros(c: Column) -> Column:
+        return F.unix_micros(c.cast("timestamp"))
+
+    wall = (micros(F.max(end)) - micros(F.min(start))) / 1e6
+    return df.agg(F.count(F.lit(1)).alias("calls"), wall.alias("wall")).withColumn(
+        "per_second", F.try_divide("calls", "wall")
+    )
 
 
 def usage_totals(calls: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from markbook.functions.text import let
+
 EVIDENCE = "struct<has_answer_prob:double,start:int,end:int>"
 
 
@@ -29,13 +31,14 @@ class LexicalMatcher:
         return answers
 
     def evidence(self, candidate: Column, masked: Column) -> Column:
-        at = F.instr(masked, candidate) - 1
-        found = at >= 0
-        return F.struct(
-            F.when(found, F.lit(self.found_prob)).otherwise(F.lit(self.missing_prob)).alias("has_answer_prob"),
-            F.when(found, at).otherwise(F.lit(0)).cast("int").alias("start"),
-            F.when(found, at + F.length(candidate) - 1).otherwise(F.lit(0)).cast("int").alias("end"),
-        ).cast(EVIDENCE)
+        def judge(at: Column) -> Column:
+            return F.struct(
+                F.when(at > 0, F.lit(self.found_prob)).otherwise(F.lit(self.missing_prob)).alias("has_answer_prob"),
+                F.greatest(at - 1, F.lit(0)).alias("start"),
+                F.when(at > 0, at + F.length(candidate) - 2).otherwise(F.lit(0)).alias("end"),
+            )
+
+        return let(F.instr(masked, candidate), judge)
 
     def similarity(self, point_text: Column, masked: Column) -> Column:
         return self.cosine_of(point_text, masked) if self.cosine_of else F.lit(self.cosine)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from markbook.functions import fixed
-from markbook.functions.text import kept_positions, longest_common, norm_stem
+from markbook.functions.text import dedup_key, kept_positions, let, longest_common, norm_stem
 
 PIECE = 256
 
@@ -247,11 +247,16 @@ def in_stem(hit: Column, stem: Column, k: int = fixed.MIN_STEM_MATCH) -> Column:
 
 def first_shared(text: Column, refs: Column, k: int, usable=lambda hit: F.lit(True)) -> Column:
     """struct(ref, hit) of the first reference sharing >= k normalised characters, else null."""
-    norm_text = norm_stem(text)
-    found = F.transform(
-        refs, lambda r: F.struct(r.alias("ref"), longest_common(norm_text, norm_stem(r), k).alias("hit"))
-    )
-    return F.get(F.filter(found, lambda s: (s["hit"] != "") & usable(s["hit"])), F.lit(0))
+
+    def search(norm_text: Column) -> Column:
+        def with_hit(r: Column) -> Column:
+            hit = let(norm_stem(r), lambda norm_ref: longest_common(norm_text, norm_ref, k))
+            return F.struct(r.alias("ref"), hit.alias("hit"))
+
+        found = F.transform(refs, with_hit)
+        return F.get(F.filter(found, lambda s: (s["hit"] != "") & usable(s["hit"])), F.lit(0))
+
+    return let(norm_stem(text), search)
 
 
 def classify_fp(
@@ -280,13 +285,14 @@ def leak_scan(
     and no text is shuffled.
     """
     stem_norm = norm_stem(F.coalesce(F.col(stem), F.lit("")))
-    shared = first_shared(F.col(context), F.col(refs), k, lambda hit: ~in_stem(hit, stem_norm, k))
+    shared = first_shared(F.col(context), F.col(refs), k, lambda hit: ~in_stem(hit, F.col("_stem"), k))
     return (
-        spans.withColumn("_s", shared)
+        spans.withColumn("_stem", stem_norm)
+        .withColumn("_s", shared)
         .where(F.col("_s").isNotNull())
         .withColumn("ref", F.col("_s.ref"))
         .withColumn("hit", F.col("_s.hit"))
-        .drop("_s")
+        .drop("_s", "_stem")
     )
 
 
@@ -294,8 +300,6 @@ def overlap_report(
     own: DataFrame, external: DataFrame, own_id: str, external_id: str, text: str, k: int
 ) -> DataFrame:
     """Per external text: equal to an own text, contained in or containing one, or sharing >= k characters."""
-    from markbook.functions.text import dedup_key
-
     mine = own.select(own_id, dedup_key(F.col(text)).alias("norm"))
     theirs = external.select(external_id, dedup_key(F.col(text)).alias("norm"))
     exact = (

@@ -111,10 +111,11 @@ def best_span(candidates: Column, masked: Column, matcher, threshold: float) ->
     )
 
 
-def score_points(text: Column, points: Column, matcher, threshold: float) -> Column:
-    """struct(masked, details): option rules and span evidence in point order with credit masking.
+def score_points(text: Column, points: Column, matcher, threshold: float, finish) -> Column:
+    """Option rules and span evidence in point order with credit masking, then ``finish``.
 
-    Points without a hit have no entry in ``details`` yet.
+    ``finish`` gets struct(masked, details), in which points without a hit have no entry yet. It is part of
+    the fold: the state is computed once and not looked at from outside.
     """
     state = f"struct<masked:string,details:array<{POINT_DETAIL}>>"
 
@@ -153,7 +154,7 @@ def score_points(text: Column, points: Column, matcher, threshold: float) -> Col
         )
 
     start = F.struct(text.alias("masked"), F.array().cast(f"array<{POINT_DETAIL}>").alias("details")).cast(state)
-    return F.aggregate(points, start, step)
+    return F.aggregate(points, start, step, finish)
 
 
 def from_similarity(point: Column, cosine: Column, high: Column, low: Column, partial: float) -> Column:
@@ -274,15 +275,17 @@ def score_answers(
     if isinstance(matcher, ArrowMatcher):
         scored = _with_model(joined, matcher, settings)
     else:
-        folded = joined.withColumn(
-            "_scored", score_points(F.col("_text"), F.col("_points"), matcher, settings.mrc_confidence_threshold)
+        points = F.col("_points")
+
+        def finish(scored: Column) -> Column:
+            return score_fallback(
+                points, scored, matcher, F.col("_high"), F.col("_low"), settings.partial_credit
+            )
+
+        details = score_points(F.col("_text"), points, matcher, settings.mrc_confidence_threshold, finish)
+        scored = joined.withColumn("point_details", details).drop(
+            "_points", "_text", "_high", "_low", "_spans", "_cosines"
         )
-        scored = folded.withColumn(
-            "point_details",
-            score_fallback(
-                F.col("_points"), F.col("_scored"), matcher, F.col("_high"), F.col("_low"), settings.partial_credit
-            ),
-        ).drop("_scored", "_points", "_text", "_high", "_low", "_spans", "_cosines")
     total = F.aggregate("point_details", F.lit(0.0), lambda acc, d: acc + d["point_score"])
     return scored.withColumn("total_score", total).withColumn(
         "rating", rating(F.col("total_score"), F.col("max_score"))

@@ -12,9 +12,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows over all cores when they come from fewer files than there are cores.
+
+    For work that is heavy per row: one file may be one task. Data in many files passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def answers(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as answers to forty questions."""
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.col("doc_id").alias("answer_id"),
         (F.col("doc_id") % 40).alias("question_id"),
         F.col("lang").alias("subject"),
