@@ -71,7 +71,8 @@ def _block_function(min_coverage: float):
         ]
         return pd.DataFrame(rows, columns=["at", "size"], dtype="Int32")
 
-    return block
+    # kept out of join conditions, where a Python function cannot run
+    return block.asNondeterministic()
 
 
 def align_spans(

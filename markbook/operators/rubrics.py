@@ -102,29 +102,27 @@ def rescale_weights(points: DataFrame, totals: DataFrame, key: str = "question_i
     Sums are pre-aggregated, so a question with very many points does not meet in one task.
     """
     sums = points.groupBy(key).agg(F.sum("weight").alias("_s"), F.max("point_id").alias("_last"))
-    base = sums.join(totals.select(key, F.col("total_score").cast("double").alias("_t")), key)
-    keep = (F.col("_s") <= 0) | (F.abs(F.col("_s") - F.col("_t")) < 0.011)
-    scaled = points.join(base, key).withColumn(
-        "weight", F.when(keep, F.col("weight")).otherwise(half_even(F.col("weight") * F.col("_t") / F.col("_s"), 2))
+    total = F.col("total_score").cast("double")
+    off = (F.col("_s") > 0) & (F.abs(F.col("_s") - total) >= 0.011)
+    # no factor where the weights already fit
+    base = sums.join(totals, key).select(
+        key, "_last", total.alias("_t"), F.when(off, total / F.col("_s")).alias("_factor")
     )
-    drift = (
-        scaled.groupBy(key)
-        .agg(
-            half_even(F.first("_t") - F.sum("weight"), 2).alias("_drift"),
-            F.first("_last").alias("point_id"),
-            F.first(keep).alias("_keep"),
-        )
-        .where(~F.col("_keep") & (F.abs("_drift") >= 0.01))
-        .drop("_keep")
+    scaled = points.join(base, key).withColumn(
+        "_w", F.when(F.col("_factor").isNull(), F.col("weight")).otherwise(half_even(F.col("weight") * F.col("_factor"), 2))
     )
+    sums_after = scaled.groupBy(key, "_last", "_t", "_factor").agg(F.sum("_w").alias("_sum"))
+    drift = sums_after.select(
+        F.col(key).alias("_k"),
+        F.col("_last").alias("_p"),
+        F.when(F.col("_factor").isNotNull(), half_even(F.col("_t") - F.col("_sum"), 2)).alias("_drift"),
+    ).where(F.abs("_drift") >= 0.01)
+    at_last = (F.col(key) == F.col("_k")) & (F.col("point_id") == F.col("_p"))
+    settled = F.coalesce(half_even(F.col("_w") + F.col("_drift"), 2), F.col("_w"))
     return (
-        scaled.drop("_s", "_last", "_t")
-        .join(drift, [key, "point_id"], "left")
-        .withColumn(
-            "weight",
-            F.when(F.col("_drift").isNull(), F.col("weight")).otherwise(half_even(F.col("weight") + F.col("_drift"), 2)),
-        )
-        .drop("_drift")
+        scaled.join(drift, at_last, "left")
+        .withColumn("weight", settled)
+        .drop("_last", "_t", "_factor", "_w", "_k", "_p", "_drift")
     )
 
 

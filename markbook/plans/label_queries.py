@@ -256,9 +256,9 @@ def fill_missing_points(spark, folder):
     "weight_rescale",
     f"""with {LINES}, p as (select l_orderkey as question_id, l_linenumber as point_id, qty as weight from lines),
     s as (select question_id, sum(weight) as s, max(point_id) as last, 100.0::double as t from p group by 1),
-    x as (select p.*, s, last, t, s <= 0 or abs(s - t) < 0.011 as keep, case when s <= 0 or abs(s - t) < 0.011 then weight else round(weight * t / s, 2) end as w
+    x as (select p.*, s, last, t, s <= 0 or abs(s - t) < 0.011 as keep, case when s <= 0 or abs(s - t) < 0.011 then weight else round_even(weight * (t / s), 2) end as w
       from p join s using (question_id)),
-    d as (select question_id, round(first(t) - sum(w), 2) as drift from x group by 1)
+    d as (select question_id, round_even(first(t) - sum(w), 2) as drift from x group by 1)
     select question_id, point_id, round(case when not keep and point_id = last and abs(drift) >= 0.01 then w + drift else w end, 2) as weight
     from x join d using (question_id)""",
 )

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import threading
 import time
 
 import duckdb
@@ -62,8 +63,7 @@ def compare(spark, con, folder, name, query, sql) -> str | None:
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}"
     if got != want:
-        a = [r for r in got if r not in set(want)][:2]
-        b = [r for r in want if r not in set(got)][:2]
+        a, b = sorted(set(got) - set(want))[:2], sorted(set(want) - set(got))[:2]
         return f"values differ: {str(a)[:400]} / {str(b)[:400]}"
     return None if got else "no rows"
 
@@ -75,14 +75,18 @@ def main() -> int:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
     spark, con = local_session(8), connect(folder)
+    limit = int(os.environ.get("QUERY_SECONDS", "90"))
     queries, sql = catalog.queries(), catalog.oracle_sql()
     bad = 0
     for name in wanted or queries:
+        timer = threading.Timer(limit, lambda: (spark.sparkContext.cancelAllJobs(), con.interrupt()))
+        timer.start()
         spent.update(start=time.time(), spark=0.0)
         try:
             problem = compare(spark, con, folder, name, queries[name], sql.get(name))
         except Exception as e:  # noqa: BLE001
             problem = f"{type(e).__name__}: {str(e)[:600]}"
+        timer.cancel()
         bad += problem is not None
         print(f"{'ok ' if problem is None else 'BAD'} {name} {spent['spark']:.1f}s + sql {time.time() - spent['start'] - spent['spark']:.1f}s {'' if name in sql else '(rows only)'} {problem or ''}", flush=True)
     return 1 if bad else 0
