@@ -364,13 +364,13 @@ def seeded_cap(spark, folder):
 
 @add(
     "scored_pairs",
-    """select p_name as sentence1, p_brand as sentence2, round(least(greatest(p_retailprice / 1000.0, 0), 1), 3) as score, 'sas-part' as source, 'P-' || p_partkey as question_id
+    """select p_name as sentence1, p_brand as sentence2, round(least(greatest(p_retailprice / 1103.0, 0), 1), 3) as score, 'sas-part' as source, 'P-' || p_partkey as question_id
     from part where length(p_name) >= 4 and length(p_brand) >= 4""",
 )
 def scored_pairs(spark, folder):
     parts = views.table(spark, folder, "part")
     number = F.concat(F.lit("P-"), F.col("p_partkey").cast("string"))
-    return tables.scored_pairs(parts, F.col("p_name"), F.col("p_brand"), F.col("p_retailprice") / 1000.0, "sas-part", number)
+    return tables.scored_pairs(parts, F.col("p_name"), F.col("p_brand"), F.col("p_retailprice") / 1103.0, "sas-part", number)
 
 
 @add(

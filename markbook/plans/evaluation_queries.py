@@ -287,12 +287,12 @@ def score_correlation(spark, folder):
     """with t as (select vec_id, embedding::double[] as s, list_reverse(embedding)::double[] as e from embeddings),
     p as (select vec_id, i, j, s[i + 1] + e[j + 1] as v, row_number() over (partition by vec_id order by s[i + 1] + e[j + 1] desc, i, j) as r
       from t, unnest(range(1, 64)) a(i), unnest(range(1, 64)) b(j) where j >= i and j < i + 64)
-    select p.vec_id, i::int as span_start, j::int as span_end, round(1 / (1 + exp(s[1] + e[1] - v)), 5) as has_answer_prob
+    select p.vec_id, i::int as span_start, j::int as span_end, round(1 / (1 + exp(s[1] + e[1] - v)), 6) as has_answer_prob
     from p join t using (vec_id) where r = 1""",
 )
 def span_decode(spark, folder):
     out = evaluate.decode_spans(views.logits(spark, folder), ["vec_id"])
-    return out.select("vec_id", "span_start", "span_end", F.round("has_answer_prob", 5).alias("has_answer_prob"))
+    return out.select("vec_id", "span_start", "span_end", "has_answer_prob")
 
 
 @add(
