@@ -58,12 +58,14 @@ def read_configs(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFram
     if not exists(spark, pattern):
         empty = _empty(spark, schema)
         return empty.drop("_corrupt_record"), empty.select(F.lit("").alias("file"))
-    raw = spark.read.schema(schema).option("multiLine", True).json(pattern)
-    named = raw.withColumn("file", F.col("_metadata.file_name")).withColumn(
-        "question_id", F.regexp_replace("file", "\\.json$", "")
+    # whole files as text: the parser's record of a failure can then be read on its own
+    files = spark.read.text(pattern, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    parsed = files.select("file", F.from_json("value", schema).alias("c")).select(
+        "file", F.regexp_replace("file", "\\.json$", "").alias("_stem"), "c.*"
     )
-    good = named.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record", "file")
-    return good, named.where(F.col("_corrupt_record").isNotNull()).select("file")
+    broken = F.col("_corrupt_record").isNotNull()
+    good = parsed.where(~broken).withColumn("question_id", F.col("_stem")).drop("_stem", "_corrupt_record", "file")
+    return good, parsed.where(broken).select("file")
 
 
 def warn_broken(broken: DataFrame, shown: int = 5) -> None:
@@ -83,17 +85,16 @@ def read_tsv(spark: SparkSession, path: str, min_cols: int, max_cols: int | None
     if not exists(spark, path):
         return _empty(spark, schema)
     raw = (
-        spark.read.schema(schema)
+        spark.read.schema(f"{schema}, _raw string")
         .option("sep", "\t")
-        .option("mode", "PERMISSIVE")
-        .option("emptyValue", "")
-        .option("nullValue", "\u0000")
+        .option("columnNameOfCorruptRecord", "_raw")
         .option("escape", '"')
         .csv(path)
     )
-    clean = raw.withColumn("c0", F.regexp_replace("c0", "^" + BOM, ""))
-    # a short row leaves the later columns null; an empty value is not null
-    return clean.where(F.col(f"c{min_cols - 1}").isNotNull())
+    # the parser keeps the text of rows with another number of columns; an empty value reads as null
+    enough = F.col("_raw").isNull() | (F.size(F.split("_raw", "\t")) >= min_cols)
+    values = [F.coalesce(f"c{i}", F.lit("")).alias(f"c{i}") if i < min_cols else F.col(f"c{i}") for i in range(n)]
+    return raw.where(enough).select(*values).withColumn("c0", F.regexp_replace("c0", "^" + BOM, ""))
 
 
 def read_csv_items(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -47,7 +47,7 @@ KINDS = {"int": "int", "bigint": "bigint", "double": "double", "string": "varcha
 def compare(spark, con, folder, name, query, sql) -> str | None:
     df = query(spark, folder)
     got, names = rows_of(df.columns, [tuple(r) for r in df.collect()])
-    spent["spark"] = time.time() - spent["start"]
+    spent["spark"] = time.time() - spent.get("start", 0.0)
     if sql is None:
         return None if got else "no rows"
     found = con.execute(sql)
