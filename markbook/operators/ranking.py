@@ -18,8 +18,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-HASH_PREFIX = 2  # hex digits: 256 buckets
-VALUE_RANGES = 64
+MIN_RANGES, MAX_RANGES = 64, 4096
+STEP = 64
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hash_digits(df: DataFrame) -> int:
+    """Hex digits of the hash prefix: 256 buckets for a small job, 65,536 for thousands of partitions."""
+    partitions = _partitions(df)
+    return 2 if partitions <= 64 else 3 if partitions <= 1024 else 4
+
+
+def value_ranges(df: DataFrame) -> int:
+    return min(MAX_RANGES, max(MIN_RANGES, 2 * _partitions(df)))
 
 
 def seeded(seed: int | str, *keys: Column) -> Column:
@@ -39,11 +53,16 @@ def hash_rank(
     group: Sequence[str] = (),
     rank: str = "rank",
     total: str = "total",
+    upto: int | None = None,
 ) -> DataFrame:
-    """Add ``rank`` (1..n in seeded order, ties by key) and ``total`` (n) within ``group``."""
+    """Add ``rank`` (1..n in seeded order, ties by key) and ``total`` (n) within ``group``.
+
+    With ``upto`` only ranks up to about that number are wanted: buckets that begin later are left out
+    before anything is sorted.
+    """
     group = list(group)
     hashed = df.withColumn("_h", seeded(seed, *[F.col(k) for k in keys])).withColumn(
-        "_p", F.substring("_h", 1, HASH_PREFIX)
+        "_p", F.substring("_h", 1, hash_digits(df))
     )
     counts = hashed.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy(*group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
@@ -53,22 +72,45 @@ def hash_rank(
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"),
         F.sum("_n").over(W.partitionBy(*group)).alias(total),
     )
+    if upto is not None:
+        bases = bases.where(F.col("_base") < upto)
     inside = W.partitionBy(*group, "_p").orderBy("_h", *keys)
     return (
-        hashed.withColumn("_i", F.row_number().over(inside))
-        .join(bases, [*group, "_p"])
+        hashed.join(bases, [*group, "_p"])
+        .withColumn("_i", F.row_number().over(inside))
         .withColumn(rank, F.col("_base") + F.col("_i"))
         .drop("_h", "_p", "_i", "_base")
     )
 
 
-def split_points(df: DataFrame, column: str, ranges: int = VALUE_RANGES) -> list[float]:
+def split_points(df: DataFrame, column: str, ranges: int | None = None) -> list[float]:
     """At most ``ranges`` cut values for a numeric column, read once. They affect balance, not results."""
+    ranges = ranges or value_ranges(df)
     wanted = [i / ranges for i in range(1, ranges)]
-    found = df.select(F.col(column).cast("double").alias(column)).approxQuantile(column, wanted, 0.01)
+    found = df.select(F.col(column).cast("double").alias(column)).approxQuantile(column, wanted, 0.25 / ranges)
     return sorted({float(v) for v in found})
 
 
+def range_of(value: Column, cuts: Sequence[float]) -> Column:
+    """How many of the sorted cuts lie below the value: first among every 64th cut, then among its 64."""
+    if not cuts:
+        return F.lit(0)
+    blocks = [list(cuts[i : i + STEP]) for i in range(0, len(cuts), STEP)]
+
+    def literal(values: Sequence[float]) -> Column:
+        return F.array(*[F.lit(float(v)) for v in values])
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda c: c < value))
+
+    if len(blocks) == 1:
+        return below(literal(blocks[0]))
+    # the block is the last one whose first cut lies below the value
+    block = F.greatest(below(literal([b[0] for b in blocks])) - 1, F.lit(0))
+    inside = F.get(F.array(*[literal(b) for b in blocks]), block)
+    return block * STEP + below(inside)
+
+
 def running_totals(
     df: DataFrame,
     order: str,
@@ -83,12 +125,7 @@ def running_totals(
     group = list(group)
     if cuts is None:
         cuts = split_points(df, order)
-    value = F.col(order).cast("double")
-    place = F.lit(0)
-    if cuts:
-        bounds = F.array(*[F.lit(float(c)) for c in cuts])
-        place = F.size(F.filter(bounds, lambda b: b < value))
-    ranged = df.withColumn("_r", place)
+    ranged = df.withColumn("_r", range_of(F.col(order).cast("double"), sorted(cuts)))
     parts = ranged.groupBy(*group, "_r").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     earlier = W.partitionBy(*group).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
     bases = parts.select(

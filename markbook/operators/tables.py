@@ -153,4 +153,4 @@ def scored_pairs(df: DataFrame, s1: Column, s2: Column, score: Column, source: s
 
 def seeded_cap(df: DataFrame, keys: Sequence[str], limit: int, seed: int = 42) -> DataFrame:
     """``limit`` rows in seeded order of ``keys``."""
-    return hash_rank(df, keys, seed).where(F.col("rank") <= limit).drop("rank", "total")
+    return hash_rank(df, keys, seed, upto=limit).where(F.col("rank") <= limit).drop("rank", "total")

@@ -291,7 +291,15 @@ def seed_samples(spark, folder):
 )
 def seed_questions(spark, folder):
     questions, _ = builders.seed_pool(_seed_items(spark, folder))
-    return questions.select("question_id", F.size("item_ids").cast("bigint").alias("items"))
+    return questions.select("question_id", F.col("n_items").alias("items"))
+
+
+@add(
+    "question_items",
+    f"""with {_POOL} select question_id, conv_id::varchar as item_id, conv_id as position from k join n using (key)""",
+)
+def question_items(spark, folder):
+    return builders.question_items(_seed_items(spark, folder))
 
 
 @add(

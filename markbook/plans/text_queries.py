@@ -369,7 +369,5 @@ def align_report(spark, folder):
     """select event_id, event_id % 10 <> 0 as good, case when event_id % 10 <> 0 then (props::json ->> 'k')::bigint end as k from events""",
 )
 def output_parse(spark, folder):
-    good, bad = builders.parse_outputs(views.raw_outputs(spark, folder), "k bigint")
-    return good.select("event_id", F.lit(True).alias("good"), F.col("parsed.k").alias("k")).unionByName(
-        bad.select("event_id", F.lit(False).alias("good"), F.lit(None).cast("bigint").alias("k"))
-    )
+    rows = builders.parse_rows(views.raw_outputs(spark, folder), "k bigint")
+    return rows.select("event_id", F.col("parsed").isNotNull().alias("good"), F.col("parsed.k").alias("k"))

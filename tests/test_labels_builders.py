@@ -289,3 +289,18 @@ def test_systematic_sample_places(spark):
     assert evaluate.systematic_sample(df, "r", 8, ["k"]).count() == 8
     assert evaluate.systematic_sample(df, "r", 80, ["k"]).count() == 50
     assert evaluate.stride_sample(df, ["k"], 8).count() == 8
+
+
+def test_ranges_in_two_steps(spark):
+    rng = random.Random(14)
+    cuts = sorted({rng.random() for _ in range(300)})
+    values = [(rng.random(),) for _ in range(500)] + [(c,) for c in cuts[:5]] + [(-1.0,), (2.0,)]
+    df = spark.createDataFrame(values, "v double").select("v", ranking.range_of(F.col("v"), cuts).alias("r"))
+    assert all(r["r"] == sum(c < r["v"] for c in cuts) for r in df.collect())
+
+
+def test_rank_only_as_far_as_wanted(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    whole = {r["k"] for r in ranking.hash_rank(df, ["k"], 1).where("rank <= 7").collect()}
+    part = ranking.hash_rank(df, ["k"], 1, upto=7)
+    assert part.count() < 100 and {r["k"] for r in part.where("rank <= 7").collect()} == whole
