@@ -21,6 +21,8 @@ from markbook.functions import fixed
 from markbook.functions.text import dedup_key, kept_positions, let, longest_common, norm_stem
 
 PIECE = 256
+# references of at most this many characters give at most as many grams, some hundred bytes each
+BROADCAST_CHARS = 500_000
 
 
 def grams(
@@ -54,15 +56,54 @@ def grams(
     return pieces.where(F.length("_p.piece") >= size).select(*ids, F.inline(taken))
 
 
-def sharing_ids(
+def _joined_side(grams_of_refs: DataFrame, refs: DataFrame, text: str) -> DataFrame:
+    """The reference side of a gram join, marked by its measured size.
+
+    The optimizer sizes exploded grams by the text they came from and would broadcast far too much. So the
+    characters of the references are counted (one small job): few enough are broadcast, otherwise both sides
+    are shuffled, where adaptive execution splits the partitions of very common grams.
+    """
+    chars = refs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    return F.broadcast(grams_of_refs) if chars <= BROADCAST_CHARS else grams_of_refs.hint("merge")
+
+
+def _row_shares(text: Column, refs: Column, width: int, step: int) -> Column:
+    """Whether a sampled gram of ``text`` occurs in one of ``refs``; looks at short pieces in turn."""
+    stride = step * max(1, -(-PIECE // step))
+    starts = F.sequence(F.lit(0), F.length(text) - width, F.lit(stride))
+
+    def in_piece(piece: Column) -> Column:
+        offsets = F.sequence(F.lit(0), F.least(F.length(piece) - width, F.lit(stride - 1)), F.lit(step))
+
+        def found(o: Column) -> Column:
+            return let(
+                F.substring(piece, o + 1, F.lit(width)), lambda g: F.exists(refs, lambda r: F.contains(r, g))
+            )
+
+        return F.exists(offsets, found)
+
+    return F.exists(starts, lambda b: let(F.substring(text, b + 1, F.lit(stride + width - 1)), in_piece))
+
+
+def sharing_rows(
     left: DataFrame, right: DataFrame, k: int, left_id: str, text: str, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Ids of left rows that may share >= k characters with a right row; never misses one."""
+    """Left rows that may share >= k characters with a right row; never misses one.
+
+    With ``keys`` a row has only the few references of its key, and is tested against them in place.
+    """
     width = (k + 1) // 2
     step = k - width + 1
-    left_grams = grams(left, [left_id, *keys], text, width, step)
-    right_grams = grams(right, list(keys), text, width).drop("i").distinct()
-    return left_grams.join(right_grams, [*keys, "gram"], "left_semi").select(left_id).distinct()
+    if keys:
+        refs = right.where(F.length(text) >= k).groupBy(*keys).agg(F.collect_set(text).alias("_refs"))
+        # short texts go first: a condition after the join may be evaluated in any order
+        long_enough = left.where(F.length(text) >= k)
+        shares = F.when(F.length(text) >= k, _row_shares(F.col(text), F.col("_refs"), width, step))
+        return long_enough.join(refs, list(keys)).where(shares).select(*left.columns)
+    left_grams = grams(left, [left_id], text, width, step)
+    right_grams = _joined_side(grams(right, [], text, width).select("gram").distinct(), right, text)
+    ids = left_grams.join(right_grams, "gram", "left_semi").select(left_id).distinct()
+    return left.join(ids, left_id, "left_semi")
 
 
 def matching_runs(
@@ -79,9 +120,9 @@ def matching_runs(
     ``diag`` is left minus right position. Positions next to each other on a diagonal belong to one
     shared substring; ``run_end`` is the position just after it.
     """
-    candidates = left.join(sharing_ids(left, right, k, left_id, text, keys), left_id, "left_semi")
+    candidates = sharing_rows(left, right, k, left_id, text, keys)
     lg = grams(candidates, [left_id, *keys], text, k)
-    rg = grams(right, [right_id, *keys], text, k, place="j")
+    rg = _joined_side(grams(right, [right_id, *keys], text, k, place="j"), right, text)
     met = lg.join(rg, [*keys, "gram"]).select(left_id, right_id, "i", (F.col("i") - F.col("j")).alias("diag"))
     line = W.partitionBy(left_id, right_id, "diag")
     islands = met.withColumn("_g", F.col("i") - F.row_number().over(line.orderBy("i")))

@@ -26,6 +26,17 @@ def test_lcs_pairs_equal_brute_force(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_shuffled_gram_join_gives_the_same(spark, monkeypatch):
+    rng = random.Random(15)
+    left = spark.createDataFrame([(i, "".join(rng.choices("abc", k=14))) for i in range(30)], "l int, text string")
+    right = spark.createDataFrame([(i, "".join(rng.choices("abc", k=12))) for i in range(30)], "r int, text string")
+    small = {tuple(r) for r in overlap.lcs_pairs(left, right, 4, "l", "r").collect()}
+    monkeypatch.setattr(overlap, "BROADCAST_CHARS", 0)
+    large = overlap.lcs_pairs(left, right, 4, "l", "r")
+    assert "SortMergeJoin" in large._jdf.queryExecution().sparkPlan().toString()
+    assert {tuple(r) for r in large.collect()} == small
+
+
 def test_lcs_pairs_over_long_texts_cut_into_pieces(spark):
     rng = random.Random(6)
     shared = "".join(rng.choices("xyz", k=700))
@@ -68,6 +79,24 @@ def test_strip_stems_equals_greedy_scan(spark):
     assert {r["answer_id"]: r["stripped_text"] for r in got.collect()} == want
 
 
+def test_strip_long_answers_piece_by_piece(spark):
+    rng = random.Random(16)
+    stem = "".join(rng.choices("mnop", k=300))
+    answers = []
+    for i in range(12):
+        base = "".join(rng.choices("ab", k=rng.randint(200, 900)))
+        at = rng.randint(0, len(base))
+        answers.append((i, 1, base[:at] + stem[i * 20 : i * 20 + 9 + i] + base[at:]))
+    got = overlap.strip_stems(
+        spark.createDataFrame(answers, "answer_id int, q int, answer_text string"),
+        spark.createDataFrame([(1, 1, stem)], "stem_id int, q int, stem_text string"),
+        8,
+        keys=["q"],
+    )
+    drop = set(fixed.stem_drop())
+    assert {r["answer_id"]: r["stripped_text"] for r in got.collect()} == {i: _strip(t, [stem], 8, drop) for i, _, t in answers}
+
+
 def _stripped(spark, answer, stems, **more):
     a = spark.createDataFrame([(1, answer)], "answer_id int, answer_text string")
     s = spark.createDataFrame(list(enumerate(stems)), "stem_id int, stem_text string")
