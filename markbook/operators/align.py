@@ -53,22 +53,18 @@ def align_native(answer: Column, span: Column) -> Column:
     return let(strip_space(F.coalesce(span, F.lit(""))), place)
 
 
-def matching_block(answer: str, span: str, min_coverage: float) -> tuple[int, int] | None:
-    """(place, size) of the longest common block in ``answer`` when the blocks cover enough of ``span``."""
-    blocks = difflib.SequenceMatcher(None, answer, span, autojunk=False).get_matching_blocks()
-    if sum(b.size for b in blocks) < max(2.0, min_coverage * len(span)):
-        return None
-    longest = max(blocks, key=lambda b: b.size)
-    return (longest.a, longest.size) if longest.size >= 2 else None
-
-
 def _block_function(min_coverage: float):
+    # all it needs is inside: workers need not have this package installed
+    def matching_block(answer: str, span: str) -> tuple[int, int] | None:
+        blocks = difflib.SequenceMatcher(None, answer, span, autojunk=False).get_matching_blocks()
+        if sum(b.size for b in blocks) < max(2.0, min_coverage * len(span)):
+            return None
+        longest = max(blocks, key=lambda b: b.size)
+        return (longest.a, longest.size) if longest.size >= 2 else None
+
     @F.pandas_udf("struct<at:int,size:int>")
     def block(answer: pd.Series, span: pd.Series) -> pd.DataFrame:
-        rows = [
-            (matching_block(a, s, min_coverage) if a and s else None) or (None, None)
-            for a, s in zip(answer, span)
-        ]
+        rows = [(matching_block(a, s) if a and s else None) or (None, None) for a, s in zip(answer, span)]
         return pd.DataFrame(rows, columns=["at", "size"], dtype="Int32")
 
     # kept out of join conditions, where a Python function cannot run

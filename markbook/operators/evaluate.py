@@ -15,26 +15,6 @@ from markbook.functions.text import char_f1, exact_match
 from markbook.operators.ranking import running_totals, value_rank
 
 
-def best_spans(starts: np.ndarray, ends: np.ndarray, low: int, high: int, max_tokens: int) -> tuple[int, int]:
-    """Best (start, end) with low <= start <= end <= high and at most ``max_tokens`` tokens.
-
-    The first start wins a tie, then the first end.
-    """
-    s = starts[low : high + 1].astype(np.float64)
-    e = ends[low : high + 1].astype(np.float64)
-    padded = np.concatenate([e, np.full(max_tokens - 1, -np.inf)])
-    reach = np.lib.stride_tricks.sliding_window_view(padded, max_tokens)
-    scores = s[:, None] + reach
-    at = int(np.argmax(scores))
-    i, width = divmod(at, max_tokens)
-    return low + i, low + i + width
-
-
-def _log_normaliser(x: np.ndarray) -> float:
-    m = x.max()
-    return float(m + np.log(np.exp(x - m).sum()))
-
-
 def decode_spans(
     logits: DataFrame,
     carry: Sequence[str],
@@ -54,6 +34,16 @@ def decode_spans(
         ", span_start int, span_end int, span_logprob double, null_logprob double, has_answer_prob double"
     )
 
+    def best_span(s: np.ndarray, e: np.ndarray, lo: int, hi: int) -> tuple[int, int]:
+        # row i of the windows holds the ends a span from i may reach; the first maximum wins
+        padded = np.concatenate([e[lo : hi + 1], np.full(max_tokens - 1, -np.inf)])
+        reach = np.lib.stride_tricks.sliding_window_view(padded, max_tokens)
+        i, width = divmod(int(np.argmax(s[lo : hi + 1, None] + reach)), max_tokens)
+        return lo + i, lo + i + width
+
+    def log_normaliser(x: np.ndarray) -> float:
+        return float(x.max() + np.log(np.exp(x - x.max()).sum()))
+
     def decode(batches):
         for batch in batches:
             rows = []
@@ -62,8 +52,8 @@ def decode_spans(
                     rows.append((0, 0, -1e9, -1e9, 0.0))
                     continue
                 s, e = np.asarray(s, np.float64), np.asarray(e, np.float64)
-                norm = _log_normaliser(s) + _log_normaliser(e)
-                i, j = best_spans(s, e, int(lo), int(hi), max_tokens)
+                norm = log_normaliser(s) + log_normaliser(e)
+                i, j = best_span(s, e, int(lo), int(hi))
                 span, null = s[i] + e[j] - norm, s[null_index] + e[null_index] - norm
                 rows.append((i, j, span, null, round(1.0 / (1.0 + np.exp(null - span)), 6)))
             found = pd.DataFrame(

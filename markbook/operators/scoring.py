@@ -181,8 +181,17 @@ def score_fallback(points: Column, scored: Column, matcher, high: Column, low: C
 
 def _model_details(matcher: ArrowMatcher, settings: ScoringSettings):
     """The batch function behind an ArrowMatcher: one model call per rubric position and batch."""
-    option_use = re.compile(OPTION_USE)
-    edges = "".join(fixed.whitespace()) + fixed.SPAN_EDGE_PUNCT
+    # plain values only: workers need not have this package installed
+    extract, similarity = matcher.extract, matcher.similarity
+    threshold, partial = settings.mrc_confidence_threshold, settings.partial_credit
+    option_use, max_chars = re.compile(OPTION_USE), fixed.MAX_SPAN_CHARS
+    edges = fixed.whitespace() + fixed.SPAN_EDGE_PUNCT
+
+    def detail(point, status, alias, span, conf, sim, score, source) -> dict:
+        return {
+            "point_id": int(point["point_id"]), "hit_status": status, "matched_alias": alias, "extracted_span": span,
+            "confidence": conf, "similarity": sim, "point_score": float(score), "source": source,
+        }
 
     def judge(batch: pd.DataFrame) -> list[list[dict]]:
         texts = list(batch["_text"])
@@ -198,41 +207,34 @@ def _model_details(matcher: ArrowMatcher, settings: ScoringSettings):
                     used = set(option_use.findall(texts[row]))
                     letter = next((x for x in point["letters"] if x in used), None)
                     if letter:
-                        details[row][position] = _plain(point, "hit_exact", point["point_text"], letter, 1.0, None, point["weight"], "option")
+                        details[row][position] = detail(point, "hit_exact", point["point_text"], letter, 1.0, None, point["weight"], "option")
                 else:
                     asked += [(row, c) for c in point["candidates"]]
             if not asked:
                 continue
-            found = matcher.extract([c for _, c in asked], [texts[r] for r, _ in asked])
+            found = extract([c for _, c in asked], [texts[r] for r, _ in asked])
             best: dict[int, tuple] = {}
             for (row, candidate), (prob, start, end) in zip(asked, found):
-                fits = start <= end < len(texts[row]) and end - start + 1 <= fixed.MAX_SPAN_CHARS
-                if prob >= settings.mrc_confidence_threshold and fits and (row not in best or prob > best[row][0]):
+                fits = start <= end < len(texts[row]) and end - start + 1 <= max_chars
+                if prob >= threshold and fits and (row not in best or prob > best[row][0]):
                     best[row] = (prob, candidate, texts[row][start : end + 1])
             for row, (prob, candidate, raw) in best.items():
                 span = raw.strip(edges) or raw
                 point = rubric[row][position]
-                details[row][position] = _plain(point, "hit_exact", candidate, span, prob, None, point["weight"], "mrc")
+                details[row][position] = detail(point, "hit_exact", candidate, span, prob, None, point["weight"], "mrc")
                 texts[row] = texts[row].replace(span, " " * len(span), 1)
         rest = [(r, i) for r, ps in enumerate(rubric) for i in range(len(ps)) if i not in details[r]]
-        cosines = matcher.similarity([rubric[r][i]["point_text"] for r, i in rest], [texts[r] for r, _ in rest])
+        cosines = similarity([rubric[r][i]["point_text"] for r, i in rest], [texts[r] for r, _ in rest])
         for (row, i), cosine in zip(rest, cosines):
             point, high, low = rubric[row][i], batch["_high"].iloc[row], batch["_low"].iloc[row]
             status = "hit_semantic" if cosine >= high else "partial" if cosine >= low else "miss"
-            share = {"hit_semantic": 1.0, "partial": settings.partial_credit, "miss": 0.0}[status]
-            details[row][i] = _plain(point, status, None, None, None, float(cosine), point["weight"] * share, "similarity")
+            share = {"hit_semantic": 1.0, "partial": partial, "miss": 0.0}[status]
+            details[row][i] = detail(point, status, None, None, None, float(cosine), point["weight"] * share, "similarity")
         return [[d[i] for i in range(len(rubric[r]))] for r, d in enumerate(details)]
 
     return judge
 
 
-def _plain(point, status, alias, span, conf, sim, score, source) -> dict:
-    return {
-        "point_id": int(point["point_id"]), "hit_status": status, "matched_alias": alias, "extracted_span": span,
-        "confidence": conf, "similarity": sim, "point_score": float(score), "source": source,
-    }
-
-
 def _with_model(df: DataFrame, matcher: ArrowMatcher, settings: ScoringSettings) -> DataFrame:
     judge = _model_details(matcher, settings)
     carried = [c for c in df.columns if c not in ("_text", "_points", "_high", "_low")]

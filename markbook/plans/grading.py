@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,11 +90,17 @@ def build_dataset(
     ratios: Mapping[str, float] = builders.SPLIT_RATIOS,
     seed: int = 42,
     negative_ratio: float = 0.22,
+    settle: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> dict[str, DataFrame]:
-    """Splits, span tuples, sentence pairs and their statistics from kept label points."""
+    """Splits, span tuples, sentence pairs and their statistics from kept label points.
+
+    The tuples are read several times; on large data give a ``settle`` that writes them down once, such as
+    ``session.settled``.
+    """
     rubric = point_rows(configs)
     split = builders.question_split(points, ratios, seed)
-    spans = builders.downsample_negatives(builders.span_tuples(points, rubric, split), negative_ratio, seed)
+    tuples = settle(builders.span_tuples(points, rubric, split))
+    spans = builders.downsample_negatives(tuples, negative_ratio, seed)
     pairs = builders.label_pairs(points, rubric, split)
     for part in external:
         pairs = builders.union_pairs(pairs, part)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -45,3 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared one."""
     return os.path.join(shared_dir(spark), "markbook", f"{purpose}-{uuid.uuid4().hex}")
+
+
+def settled(df: DataFrame, purpose: str = "step") -> DataFrame:
+    """The same rows read back from a table in the shared folder: cuts lineage and survives lost executors."""
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from markbook import schemas
 from markbook.operators import builders, evaluate, labels, ranking
 from markbook.plans.grading import build_dataset, clean_labels
+from markbook.session import settled
 
 VOTES = "sample_id string, point_id int, round int, hit boolean, hit_type string, extracted_span string, confidence double, partial_credit double"
 POINTS = "sample_id string, origin string, question_id string, student_answer string, point_id bigint, hit boolean, hit_type string, extracted_span string, confidence double, partial_credit double"
@@ -73,7 +74,7 @@ def test_quality_chain_and_build(spark):
         [("q", 8.0, "历史", [(1, "公车上书", 3.0, ["上书请愿"]), (2, "兴民权设议院", 3.0, ["君主立宪"]), (3, "创办时务报", 2.0, [])], None, None)],
         schemas.CONFIGS,
     )
-    built = build_dataset(kept, configs, ratios={"train": 1.0, "val": 0.0}, negative_ratio=0.5)
+    built = build_dataset(kept, configs, ratios={"train": 1.0, "val": 0.0}, negative_ratio=0.5, settle=settled)
     spans = {x["id"]: x for x in built["spans"].collect()}
     assert sorted(spans) == ["t#full#p1", "t#full#p2", "t#full#p3"]
     for x in spans.values():
