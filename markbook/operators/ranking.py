@@ -60,29 +60,33 @@ def hash_rank(
     With ``upto`` only ranks up to about that number are wanted: buckets that begin later are left out
     before anything is sorted.
     """
-    group = list(group)
-    hashed = df.withColumn("_h", seeded(seed, *[F.col(k) for k in keys])).withColumn(
-        "_p", F.substring("_h", 1, hash_digits(df))
-    )
-    counts = hashed.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(*group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    # one struct as key: rows whose group is null form a group of their own and are not lost in the join
+    hashed = df.withColumns(
+        {"_g": _key(group), "_h": seeded(seed, *[F.col(k) for k in keys])}
+    ).withColumn("_p", F.substring("_h", 1, hash_digits(df)))
+    counts = hashed.groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("_g").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select(
-        *group,
+        "_g",
         "_p",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"),
-        F.sum("_n").over(W.partitionBy(*group)).alias(total),
+        F.sum("_n").over(W.partitionBy("_g")).alias(total),
     )
     if upto is not None:
         bases = bases.where(F.col("_base") < upto)
-    inside = W.partitionBy(*group, "_p").orderBy("_h", *keys)
+    inside = W.partitionBy("_g", "_p").orderBy("_h", *keys)
     return (
-        hashed.join(bases, [*group, "_p"])
+        hashed.join(bases, ["_g", "_p"])
         .withColumn("_i", F.row_number().over(inside))
         .withColumn(rank, F.col("_base") + F.col("_i"))
-        .drop("_h", "_p", "_i", "_base")
+        .drop("_g", "_h", "_p", "_i", "_base")
     )
 
 
+def _key(group: Sequence[str]) -> Column:
+    return F.struct(*group) if group else F.struct(F.lit(0).alias("all"))
+
+
 def split_points(df: DataFrame, column: str, ranges: int | None = None) -> list[float]:
     """At most ``ranges`` cut values for a numeric column, read once. They affect balance, not results."""
     ranges = ranges or value_ranges(df)
@@ -122,25 +126,24 @@ def running_totals(
 
     ``df`` holds one row per (group, order) pair.
     """
-    group = list(group)
     if cuts is None:
         cuts = split_points(df, order)
-    ranged = df.withColumn("_r", range_of(F.col(order).cast("double"), sorted(cuts)))
-    parts = ranged.groupBy(*group, "_r").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
-    earlier = W.partitionBy(*group).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    ranged = df.withColumns({"_g": _key(group), "_r": range_of(F.col(order).cast("double"), sorted(cuts))})
+    parts = ranged.groupBy("_g", "_r").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+    earlier = W.partitionBy("_g").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
     bases = parts.select(
-        *group,
+        "_g",
         "_r",
         *[F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)).alias(f"_{s}_base") for s in sums],
-        *[F.sum(f"_{s}").over(W.partitionBy(*group)).alias(f"{s}_all") for s in sums],
+        *[F.sum(f"_{s}").over(W.partitionBy("_g")).alias(f"{s}_all") for s in sums],
     )
-    inside = W.partitionBy(*group, "_r").orderBy(order)
+    inside = W.partitionBy("_g", "_r").orderBy(order)
     out = ranged.select(
         "*", *[F.sum(s).over(inside.rowsBetween(W.unboundedPreceding, 0)).alias(f"_{s}_in") for s in sums]
-    ).join(bases, [*group, "_r"])
+    ).join(bases, ["_g", "_r"])
     for s in sums:
         out = out.withColumn(f"{s}_upto", F.col(f"_{s}_base") + F.col(f"_{s}_in"))
-    return out.drop("_r", *[f"_{s}_base" for s in sums], *[f"_{s}_in" for s in sums])
+    return out.drop("_g", "_r", *[f"_{s}_base" for s in sums], *[f"_{s}_in" for s in sums])
 
 
 def value_rank(
@@ -155,13 +158,13 @@ def value_rank(
     """Rank over all rows by ``value`` ascending, rows of one value in seeded order of ``keys``."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
     bases = running_totals(counts, value, ["_c"], cuts=cuts).select(
-        value, (F.col("_c_upto") - F.col("_c")).alias("_before"), F.col("_c_all").alias(total)
+        F.struct(value).alias("_v"), (F.col("_c_upto") - F.col("_c")).alias("_before"), F.col("_c_all").alias(total)
     )
-    ranked = hash_rank(df, keys, seed, [value], rank="_within", total="_same")
+    ranked = hash_rank(df, keys, seed, [value], rank="_within", total="_same").withColumn("_v", F.struct(value))
     return (
-        ranked.join(bases, [value])
+        ranked.join(bases, "_v")
         .withColumn(rank, F.col("_before") + F.col("_within"))
-        .drop("_before", "_within", "_same")
+        .drop("_v", "_before", "_within", "_same")
     )
 
 

@@ -305,3 +305,15 @@ def test_rank_only_as_far_as_wanted(spark):
     whole = {r["k"] for r in ranking.hash_rank(df, ["k"], 1).where("rank <= 7").collect()}
     part = ranking.hash_rank(df, ["k"], 1, upto=7)
     assert part.count() < 100 and {r["k"] for r in part.where("rank <= 7").collect()} == whole
+
+
+def test_rows_without_a_group_are_ranked_too(spark):
+    rows = [(i, None if i % 3 == 0 else "g", None if i % 4 == 0 else float(i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, g string, v double")
+    ranked = ranking.hash_rank(df, ["k"], 1, ["g"]).collect()
+    assert sorted(r["rank"] for r in ranked if r["g"] is None) == list(range(1, 21))
+    by_value = sorted((r["rank"], r["v"] is None) for r in ranking.value_rank(df, "v", ["k"], 1).collect())
+    assert [r for r, _ in by_value] == list(range(1, 61)) and all(n for _, n in by_value[:15])
+    spans = [(f"n{i}", None if i % 2 else "q", True) for i in range(20)] + [(f"p{i}", "q", False) for i in range(9)]
+    out = builders.downsample_negatives(spark.createDataFrame(spans, "id string, question_id string, is_impossible boolean"), 0.5)
+    assert Counter(r["question_id"] for r in out.where("is_impossible").collect()) in ({None: 5, "q": 4}, {None: 4, "q": 5})
