@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markbook.llm import chat, exact, mixing, simhash
+from markbook.llm import chat, exact, mixing, packing, simhash, toxicity
 from markbook.llm.common import table
 from markbook.plans.registry import Registry
 
 registry = Registry()
 
 
+@registry.add("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(packing.digested(table(spark, sf_dir, "documents")))
+
+
 @registry.add("op3_simhash")
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -27,6 +32,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@registry.add("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @registry.add("op9_exact", exact.EXACT_SQL)
 def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
