@@ -95,7 +95,7 @@ def log_ratios(tokens: np.ndarray, contexts: np.ndarray, discount: float) -> np.
     """
 
     def contexts_of(bits: np.ndarray) -> np.ndarray:
-        seen = np.minimum(np.bitwise_count(bits), 63)
+        seen = np.minimum(np.bitwise_count(bits), 63).astype(float)
         return -64 * np.log1p(-seen / 64)  # linear counting
 
     def counts(tokens: np.ndarray, bits: np.ndarray) -> np.ndarray:
