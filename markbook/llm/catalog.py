@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markbook.llm import chat, exact, mixing, packing, simhash, toxicity
+from markbook.llm import chat, exact, mixing, packing, secrets, simhash, toxicity, warc
 from markbook.llm.common import table
 from markbook.plans.registry import Registry
 
 registry = Registry()
 
 
+@registry.add("op1_warc", warc.WARC_SQL)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @registry.add("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.digested(table(spark, sf_dir, "documents")))
@@ -26,6 +32,11 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted_chats(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
+@registry.add("op5_secrets")
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.secrets(table(spark, sf_dir, "documents")))
+
+
 @registry.add("op6_mixing", mixing.MIX_SQL)
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(table(spark, sf_dir, "documents"))
