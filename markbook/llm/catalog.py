@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markbook.llm import chat, exact, mixing, packing, secrets, simhash, toxicity, warc
+from markbook.llm import chat, exact, mixing, packing, secrets, simhash, substrings, toxicity, vectors, warc
 from markbook.llm.common import table
 from markbook.plans.registry import Registry
 
@@ -48,11 +48,21 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@registry.add("op8_substrings")
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.without_repeats(table(spark, sf_dir, "documents")))
+
+
 @registry.add("op9_exact", exact.EXACT_SQL)
 def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@registry.add("op10_vectors")
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return dict(registry.queries)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -62,79 +62,92 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int
     return named.select("_key", "source_size", F.when(clamped, cap.cast("double")).otherwise(even).alias("target"))
 
 
-def mixed(
-    docs: DataFrame,
-    weights: Sequence[int] = WEIGHTS,
-    max_epochs: int = MAX_EPOCHS,
-    seed: int = SEED,
-    digits: int = 3,
-) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, repeats, taken.
+def _order(seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
-    size: words of the text. A source takes each document floor(target / source_size) times, and once more those that come
-    first in a seeded order, up to the place nearest to the target: the words taken miss the target by half a document at
-    most. The order is that of md5(seed:doc_id). Its first hex digits cut each source into 16 ** ``digits`` even buckets,
-    however large it is; sums of whole buckets settle all but one bucket of a source, and only rows there are sorted.
 
-    A null text has size 0; a null source is a source of its own, the last; rows that repeat an id are rows of their own
-    (equal ones are exchangeable). A source without words has target 0. An empty table gives no rows.
-    """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+def _source_key() -> Column:
+    return F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))
+
+
+def _decided(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: int, digits: int) -> DataFrame:
+    """Per document its source's plan (source_size, target, _whole) and whether it is taken once more (_more)."""
     sized = settled(
         docs.select(
             "doc_id",
             "source",
-            F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("_key"),
+            _source_key().alias("_key"),
             F.size(F.regexp_extract_all(text_of(), F.lit(WORD), F.lit(0))).cast("bigint").alias("size"),
-            order.alias("_order"),
-            F.substring(order, 1, digits).alias("_bucket"),
+            _order(seed).alias("_order"),
+            F.substring(_order(seed), 1, digits).alias("_bucket"),
         ),
         "mix-sizes",
     )
-    buckets = settled(
-        sized.groupBy("_key", "source", "_bucket").agg(F.sum("size").alias("_words")), "mix-buckets"
-    )
-    wanted = targets(
-        buckets.groupBy("_key", "source").agg(F.sum("_words").alias("source_size")), weights, max_epochs
-    )
+    buckets = settled(sized.groupBy("_key", "source", "_bucket").agg(F.sum("size").alias("_words")), "mix-buckets")
+    wanted = targets(buckets.groupBy("_key", "source").agg(F.sum("_words").alias("source_size")), weights, max_epochs)
     earlier = W.partitionBy("_key").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    upto = F.col("_before") + F.col("_words")
     plan = (
         buckets.withColumn("_before", F.coalesce(F.sum("_words").over(earlier), F.lit(0)))
         .join(wanted, "_key")
         .withColumn("_whole", whole.cast("bigint"))
         .withColumn("_part", F.col("target") - F.col("_whole") * F.col("source_size"))
-        .withColumn(
-            "_side",
-            F.when(F.col("_before") + F.col("_words") <= F.col("_part"), 1).when(F.col("_before") > F.col("_part"), -1).otherwise(0),
-        )
+        .withColumn("_side", F.when(upto <= F.col("_part"), 1).when(F.col("_before") > F.col("_part"), -1).otherwise(0))
         .select("_key", "_bucket", "_before", "source_size", "target", "_whole", "_part", "_side")
     )
     rows = sized.join(settled(plan, "mix-plan"), ["_key", "_bucket"])
-    upto = W.partitionBy("_key", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("_key", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     inside = rows.where("_side = 0").withColumn(
-        "_sum", F.col("_before") + F.coalesce(F.sum("size").over(upto), F.lit(0))
+        "_sum", F.col("_before") + F.coalesce(F.sum("size").over(before), F.lit(0))
     )
     more = F.col("_sum") + F.col("size") / 2 <= F.col("_part")
     done = rows.where("_side <> 0").withColumn("_more", F.col("_side") == 1)
-    together = done.unionByName(inside.withColumn("_more", more).drop("_sum"))
+    return done.unionByName(inside.withColumn("_more", more).drop("_sum"))
+
+
+def mixed(
+    docs: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+    seed: int = SEED,
+    digits: int = 3,
+) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, repeats, taken.
+
+    size: words of the text. A source takes each document floor(target / source_size) times, and once more those that come
+    first in a seeded order, up to the place nearest to the target: the words taken miss the target by half a document at
+    most. The order is that of md5(seed:doc_id). Its first hex digits cut each source into 16 ** ``digits`` even buckets,
+    however large it is; sums of whole buckets settle all but one bucket of a source, and only rows there are sorted.
+
+    A null text has size 0; a null source is a source of its own, the last; rows that repeat an id are rows of their own
+    (equal ones are exchangeable). A source without words has target 0. An empty table gives no rows.
+    """
     repeats = F.col("_whole") + F.col("_more").cast("bigint")
-    return together.select(
+    return _decided(docs, weights, max_epochs, seed, digits).select(
         "doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken")
     )
 
 
-def mixture(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, each as often as it is taken; columns unchanged."""
-    taken = settled(mixed(docs).where("repeats > 0").select(F.col("doc_id").alias("_id"), "repeats"), "mix-taken")
-    # rows that repeat an id each have a decision; the texts take the largest of them
-    taken = taken.groupBy("_id").agg(F.max("repeats").alias("_n"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"))
-    return (
-        rows.join(taken, "_id")
-        .select("_row", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy"))
-        .select("_row.*")
+def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The documents that the mix takes, each as often as it is taken; columns unchanged.
+
+    Those taken once more are a beginning of the seeded order of their source, so a source's plan is two values, and the texts
+    meet a table with one row per source; they are not shuffled. Rows that repeat an id are taken equally often.
+    """
+    place = F.struct("_order", "doc_id")
+    plans = settled(
+        _decided(docs, weights, max_epochs, seed, 3)
+        .groupBy("_key")
+        .agg(F.max("_whole").alias("_whole"), F.max(F.when(F.col("_more"), place)).alias("_last")),
+        "mix-plans",
+    )
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"), _source_key().alias("_key"), F.struct(_order(seed).alias("_order"), "doc_id").alias("_place")
     )
+    repeats = F.col("_whole") + F.coalesce(F.col("_place") <= F.col("_last"), F.lit(False)).cast("bigint")
+    taken = rows.join(plans, "_key").withColumn("_n", repeats.cast("int")).where("_n > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).select("_row.*")
 
 
 MIX_CTES = """
