@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markbook.llm.common import drop_ids, settled, text_of
+from markbook.llm.common import bits_table, buckets_for, drop_ids, maybe_in, settled, text_of
 from markbook.llm.components import components
 
 RADIUS = 2
@@ -24,25 +24,35 @@ COARSE, FINE = (4, 2), (8, 6)
 
 
 # --- fingerprints --------------------------------------------------------------------------------------------
-def fingerprint(text: bytes, step: int = 50_000) -> int:
-    """64 bits of a text in UTF-8; a bit is set if over half of the shingles' hashes have it."""
+def shingle_hashes(text: bytes, width: int, step: int = 50_000) -> Iterator[np.ndarray]:
+    """Hashes of all shingles of ``width`` words, repeats included, as rows of eight bytes; long texts in pieces."""
     words = text.lower().split()  # of bytes: lower-cases A-Z only, splits at the ASCII white space only
     if not words:
-        return 0
+        return
     whole = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    if len(words) > SHINGLE:
-        starts, ends = starts[: 1 - SHINGLE], ends[SHINGLE - 1 :]
+    if len(words) > width:
+        starts, ends = starts[: 1 - width], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, counts = xxhash.xxh64_digest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), step):  # long texts in pieces
+    digest = xxhash.xxh64_digest
+    for at in range(0, len(starts), step):
         pairs = zip(starts[at : at + step].tolist(), ends[at : at + step].tolist(), strict=True)
-        hashes = np.frombuffer(b"".join([digest(whole[a:b], SEED) for a, b in pairs]), np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(starts))
-    return int(bits.view(">u8")[0])
+        yield np.frombuffer(b"".join([digest(whole[a:b], SEED) for a, b in pairs]), np.uint8).reshape(-1, 8)
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """64 bits, each set if over half of the hashes have it; 0 without hashes."""
+    counts, many = np.zeros(64, np.int64), 0
+    for part in hashes:
+        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+        many += len(part)
+    return int(np.packbits(counts * 2 > many).view(">u8")[0])
+
+
+def fingerprint(text: bytes) -> int:
+    return majority(shingle_hashes(text, SHINGLE))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -62,8 +72,8 @@ def linked_pairs(fps: np.ndarray, last: np.ndarray, radius: int = RADIUS, chunk:
     """Yield (i, j) arrays, i < j, of rows within ``radius`` bits; row i is compared with rows up to ``last[i]``, excluded.
 
     Rows are stored as bit planes: word w of plane b has bit b of rows 64 w to 64 w + 63. A (row, word) pair adds plane after
-    plane to two carry-save counter words, 64 distances at once. Lanes whose count passes the radius are marked; pairs whose
-    lanes are all marked are given up, every eight planes.
+    plane to carry-save counter words, 64 distances at once. Counters start so that they overflow at the first difference
+    beyond the radius; lanes that overflow are marked, and pairs whose lanes are all marked are given up, every eight planes.
     """
     n = len(fps)
     words = -(-n // 64)
@@ -73,6 +83,8 @@ def linked_pairs(fps: np.ndarray, last: np.ndarray, radius: int = RADIUS, chunk:
     planes = np.ascontiguousarray(packed).view("<u8")[:, :, 0]
     own = bits[:n].T.astype(np.uint64) * np.uint64(0xFFFFFFFFFFFFFFFF)  # plane by row: all ones where the bit is set
     ones = np.uint64(0xFFFFFFFFFFFFFFFF)
+    digits = radius.bit_length()
+    offset = (1 << digits) - 1 - radius
     begin, end = np.arange(n) // 64, (last - 1) // 64 + 1
     rows = np.flatnonzero(last > np.arange(n) + 1)
     many = (end - begin)[rows]
@@ -87,19 +99,16 @@ def linked_pairs(fps: np.ndarray, last: np.ndarray, radius: int = RADIUS, chunk:
         # lanes before row i + 1 or from last[i] on are marked from the start
         low, high = np.clip(i + 1 - 64 * w, 0, 64), np.clip(last[i] - 64 * w, 0, 64)
         over = ~(_lanes(high) & ~_lanes(low))
-        c0, c1 = np.zeros(len(i), np.uint64), np.zeros(len(i), np.uint64)
+        counters = [np.full(len(i), ones if offset >> k & 1 else np.uint64(0)) for k in range(digits)]
         for b in range(64):
-            differ = planes[b, w] ^ own[b, i]
-            carry = c0 & differ
-            c0 ^= differ
-            over |= c1 & carry  # a fourth difference; the third is seen below
-            c1 ^= carry
-            if radius == 2:
-                over |= c0 & c1
+            carry = planes[b, w] ^ own[b, i]
+            for k in range(digits):
+                carry, counters[k] = counters[k] & carry, counters[k] ^ carry
+            over |= carry
             if b % 8 == 7:
                 stay = over != ones
                 if not stay.all():
-                    i, w, over, c0, c1 = i[stay], w[stay], over[stay], c0[stay], c1[stay]
+                    i, w, over, counters = i[stay], w[stay], over[stay], [c[stay] for c in counters]
                 if not len(i):
                     break
         if len(i):
@@ -237,7 +246,10 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     Null and blank texts have fingerprint zero and link like others. Rows that repeat a doc_id stay rows. Null ids take part
     in no component but their own fingerprint's. Very long texts are hashed in pieces. An empty table gives no rows.
     """
-    prints = settled(fingerprints(docs), "simhash-prints")
+    return _linked(settled(fingerprints(docs), "simhash-prints"), bucket_rows)
+
+
+def _linked(prints: DataFrame, bucket_rows: int) -> DataFrame:
     reps = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     known = reps.where("rep is not null")
     coarse = settled(_compare(known, COARSE, bucket_rows), "simhash-coarse")
@@ -255,7 +267,185 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     return prints.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+# --- documents alike -----------------------------------------------------------------------------------------
+#: shingles of five words; texts are alike if so much of what either has is common to both
+WORDS, ALIKE = 5, 0.8
+#: smallest hashes of a text, one per function: two alike texts share none with probability (1 - ALIKE) ** MINIMA
+MINIMA = 4
+#: differing bits up to which pairs of a bucket are verified; texts as alike as ALIKE differ in 10 of 64, give or take 3
+APART = 20
+#: documents of a bucket that meet in one task; larger buckets are cut into tiles that meet pairwise
+TILE = 4096
+
+
+def _minima(hashes: np.ndarray) -> list[int]:
+    found = []
+    for k in range(1, MINIMA + 1):
+        x = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
+        found.append(int((x ^ x >> np.uint64(32)).min()) if len(x) else 0)
+    return found
+
+
+def _shingle_set(text: bytes) -> np.ndarray:
+    parts = [np.ascontiguousarray(p).view(">u8")[:, 0].astype(np.uint64) for p in shingle_hashes(text, WORDS)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, near, minima, same): both fingerprints, smallest hashes and a digest of the set of five-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for one in batch.column(1).cast(pa.binary()):
+                text = one.as_py()
+                parts = list(shingle_hashes(text, WORDS))
+                every = np.unique(np.concatenate(parts).view(">u8").astype(np.uint64)) if parts else np.zeros(0, np.uint64)
+                minima = np.array(_minima(every), np.uint64).view(np.int64).tolist()
+                rows.append((fingerprint(text), majority(parts), minima, xxhash.xxh3_128_digest(every.tobytes())))
+            fp, near, minima, same = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(np.array(fp, np.uint64).view(np.int64)),
+                    pa.array(np.array(near, np.uint64).view(np.int64)),
+                    pa.array(minima, pa.list_(pa.int64())),
+                    pa.array(same, pa.binary()),
+                ],
+                ["doc_id", "fp", "near", "minima", "same"],
+            )
+
+    return docs.select(F.col("doc_id").cast("bigint"), text_of().alias("t")).mapInArrow(
+        run, "doc_id long, fp long, near long, minima array<long>, same binary"
+    )
+
+
+def _tiles(nodes: DataFrame, tile: int) -> DataFrame:
+    """(no, key, i, j, near, rep): the rows of each bucket of two or more, dealt to tasks that each pair of rows meets in."""
+    rows = nodes.select("rep", "near", F.posexplode("minima").alias("no", "key"))
+    counts = settled(rows.groupBy("no", "key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "alike-buckets")
+    many = F.ceil(F.col("_n") / tile).cast("int")
+    own = F.pmod(F.xxhash64("rep"), many).cast("int")
+    met = rows.join(counts, ["no", "key"]).withColumn("_t", own).withColumn("_o", F.explode(F.sequence(F.lit(0), many - 1)))
+    return met.select("no", "key", F.least("_t", "_o").alias("i"), F.greatest("_t", "_o").alias("j"), "near", "rep")
+
+
+def _by_tile(rows: DataFrame, run, schema: str) -> DataFrame:
+    """Apply ``run`` to each tile, a task's rows of it as one table of Arrow batches."""
+    keys = ["no", "key", "i", "j"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = np.column_stack([batch.column(k).to_numpy() for k in keys])
+            cut = [0, *(np.flatnonzero((table[1:] != table[:-1]).any(1)) + 1).tolist(), len(table)]
+            for a, b in zip(cut, cut[1:]):
+                if now is not None and now != tuple(table[a]):
+                    yield from run(pa.Table.from_batches(held))
+                    held = []
+                now = tuple(table[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from run(pa.Table.from_batches(held))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
+
+
+def _partners(tiles: DataFrame) -> DataFrame:
+    """The rows of tiles that have a partner within APART bits there."""
+
+    def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if rows.num_rows < 2:
+            return
+        near = rows.column("near").to_numpy().view(np.uint64)
+        found = np.zeros(len(near), bool)
+        for i, j in linked_pairs(near, np.full(len(near), len(near)), APART):
+            found[i] = found[j] = True
+        yield from rows.filter(pa.array(found)).combine_chunks().to_batches()
+
+    return _by_tile(tiles, run, "no int, key long, i int, j int, near long, rep long")
+
+
+def _verified(tiles: DataFrame) -> DataFrame:
+    """(a, b): per tile, edges that join the documents whose shingle sets are alike. Pairs already joined are not asked again."""
+
+    def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        near, rep = rows.column("near").to_numpy().view(np.uint64), rows.column("rep").to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("shingles")]
+        root = list(range(len(rep)))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        edges = []
+        for first, second in linked_pairs(near, np.full(len(near), len(near)), APART):
+            for i, j in zip(first.tolist(), second.tolist(), strict=True):
+                a, b = top(i), top(j)
+                if a != b and alike(sets[i], sets[j]):
+                    root[max(a, b)] = min(a, b)
+                    edges.append((rep[i], rep[j]))
+        if edges:
+            a, b = zip(*edges, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _by_tile(tiles, run, "a long, b long")
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of hashes have ALIKE of their union in common; two empty ones have."""
+    small, large = sorted((len(a), len(b)))
+    if small < ALIKE * large:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= ALIKE * (small + large - common)
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, shingles) of the documents in ``wanted`` (rep); other texts are passed over in the scan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(_shingle_set(t.as_py()) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
+
+    buckets = buckets_for(wanted.count(), 1 << 26)
+    bits = settled(bits_table(wanted, "rep", buckets), "alike-bits")
+    rows = maybe_in(docs.select(F.col("doc_id").cast("bigint"), text_of().alias("t")), F.col("doc_id"), bits, buckets)
+    found = rows.where("_maybe").select("doc_id", "t").mapInArrow(run, "rep long, shingles binary")
+    return found.groupBy("rep").agg(F.min("shingles").alias("shingles"))  # rows that repeat an id
+
+
+def alike_documents(docs: DataFrame, tile: int = TILE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(doc_id, component_id): documents linked by their fingerprints, or by ALIKE of their five-word shingles in common.
+
+    The links of ``near_duplicates`` are all kept. Texts with a smaller likeness differ in more bits than any choice of equal
+    parts allows, so their candidates are those that share one of MINIMA smallest hashes. Inside such a bucket the bit-sliced
+    comparison leaves pairs up to APART bits, and these are verified on their whole shingle sets, which are only made for
+    documents with such a pair. Buckets of more than ``tile`` documents are cut into tiles that meet pairwise, so no task holds
+    more than two tiles and no pair is left out. Edges join what is alike; pairs already joined are not emitted.
+
+    Documents with equal shingle sets are one node. Null and blank texts are alike. Documents without a doc_id link with
+    nothing. An empty table gives no rows.
+    """
+    known = settled(signatures(docs), "alike-signatures")
+    by_print = _linked(known.select("doc_id", "fp"), bucket_rows).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    reps = settled(known.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("near").alias("near"), F.first("minima").alias("minima")), "alike-nodes")
+    equal = known.select("doc_id", "same").join(reps.select("same", "rep"), "same").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    partners = settled(_partners(_tiles(reps.where("rep is not null"), tile)), "alike-partners")
+    sets = settled(_shingle_sets(docs, partners.select("rep").distinct()), "alike-sets")
+    verified = settled(_verified(partners.join(sets, "rep")), "alike-edges")
+    found = settled(components(by_print.union(equal).union(verified), "alike-components"), "alike-components")
+    return known.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "doc_id", F.coalesce("component", "doc_id").alias("component_id")
+    )
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with one, that of the smallest doc_id, of each component; columns unchanged."""
-    found = near_duplicates(docs)
+    """The documents with one, that of the smallest doc_id, of each component of ``alike_documents``; columns unchanged."""
+    found = alike_documents(docs)
     return drop_ids(docs, settled(found.where("doc_id <> component_id").select("doc_id"), "simhash-dropped"))
