@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,10 +50,18 @@ def _value(kind: str, text: bytes) -> str:
     return (ASSIGN.match(text)[2] if kind == "assign" else text).decode()
 
 
+def _letter(c: str) -> str:
+    low, high = ("0", "0") if c.isdigit() else ("h", "l") if c.islower() else ("H", "U")
+    return low if c.lower() <= "f" else high
+
+
+LETTER = {ord(c): _letter(c) for c in string.digits + string.ascii_letters}
+
+
 # --- automata ------------------------------------------------------------------------------------------------
 def letters(value: str) -> str:
     """A value over a small alphabet: digits 0, a-f h, g-z l, A-F H, G-Z U; other characters stand for themselves."""
-    return re.sub(r"[G-Z]", "U", re.sub(r"[A-F]", "H", re.sub(r"[g-z]", "l", re.sub(r"[a-f]", "h", re.sub(r"[0-9]", "0", value)))))
+    return value.translate(LETTER)
 
 
 #: how many characters a letter stands for

@@ -118,9 +118,12 @@ def read_records(stream, chunk: int = CHUNK) -> Iterator[dict]:
     while data := pending or stream.read(chunk):
         pending, begun = b"", True
         try:
-            reader.feed(member.decompress(data, 4 * chunk))
-            while member.unconsumed_tail:
-                reader.feed(member.decompress(member.unconsumed_tail, 4 * chunk))
+            while True:  # output may be left after the input is used up
+                out = member.decompress(data, 4 * chunk)
+                reader.feed(out)
+                data = member.unconsumed_tail
+                if member.eof or (not data and len(out) < 4 * chunk):
+                    break
         except zlib.error as error:
             raise Damaged(str(error)) from error
         if member.eof:
