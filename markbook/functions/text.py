@@ -93,8 +93,16 @@ def exact_match(pred: Column, gold: Column) -> Column:
     return ((p == g) & (p != "")).cast("int")
 
 
-def _occurrences(text: Column, char: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, char, F.lit("")))
+def _numbered_chars(text: Column) -> Column:
+    """The characters of a text, each with its number among equal ones: sorted once, runs of equal ones cut by a pattern."""
+    ordered = F.array_join(F.array_sort(F.split(text, "")), "")
+    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*"), F.lit(0))
+
+    def numbered(run: Column) -> Column:
+        char = F.substring(run, 1, 1)
+        return F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: F.concat(char, i.cast("string")))
+
+    return F.flatten(F.transform(runs, numbered))
 
 
 def char_f1(pred: Column, gold: Column) -> Column:
@@ -102,12 +110,7 @@ def char_f1(pred: Column, gold: Column) -> Column:
     texts = F.struct(norm_metric(pred).alias("p"), norm_metric(gold).alias("g"))
 
     def score(t: Column) -> Column:
-        chars = F.array_distinct(F.split(t["p"], ""))
-        overlap = F.aggregate(
-            chars,
-            F.lit(0),
-            lambda acc, c: acc + F.least(_occurrences(t["p"], c), _occurrences(t["g"], c)),
-        )
+        overlap = F.size(F.array_intersect(_numbered_chars(t["p"]), _numbered_chars(t["g"])))
         # 2PR/(P+R) with P = overlap/|p| and R = overlap/|g| is 2*overlap/(|p|+|g|)
         f1 = 2.0 * overlap / (F.length(t["p"]) + F.length(t["g"]))
         return F.when((t["p"] == "") | (t["g"] == ""), F.lit(0.0)).otherwise(f1)
@@ -191,34 +194,31 @@ def highlight_segments(text: Column, details: Column) -> Column:
 def longest_common(text: Column, ref: Column, k: int) -> Column:
     """Longest common substring of at least ``k`` characters, '' when there is none.
 
-    Meant for a short ``ref``: every start of ``ref`` is looked up in ``text`` and grown as long as it
-    is still found. Among equally long ones the earliest in ``text`` is returned.
+    A window over ``ref`` grows at its end while ``text`` has it and moves its start on otherwise, so ``text`` is searched
+    at most twice per character of ``ref``. Among equally long ones the earliest in ``text`` is returned.
     """
     n = F.length(ref)
-
-    def grow(start: Column) -> Column:
-        # a longer match exists only if the shorter one does, so the first failure ends the growth
-        return F.aggregate(
-            F.sequence(F.lit(k), n - start),
-            F.lit(k - 1),
-            lambda best, size: F.when(
-                (best == size - 1) & F.contains(text, F.substring(ref, start + 1, size)), size
-            ).otherwise(best),
-        )
-
-    starts = F.filter(
-        F.sequence(F.lit(0), n - k), lambda s: F.contains(text, F.substring(ref, s + 1, F.lit(k)))
-    )
-    ranked = F.transform(
-        starts,
-        lambda s: let(
-            grow(s),
-            lambda size: F.struct(
-                (-size).alias("neg"),
-                F.instr(text, F.substring(ref, s + 1, size)).alias("at"),
-                F.substring(ref, s + 1, size).alias("hit"),
-            ),
-        ),
-    )
-    usable = (F.length(text) >= k) & (n >= k)
-    return F.when(usable, F.coalesce(F.array_min(ranked)["hit"], F.lit(""))).otherwise(F.lit(""))
+    state = "struct<start:int,size:int,found:int,at:int,hit:string>"
+
+    def step(acc: Column, _: Column) -> Column:
+        window = F.substring(ref, acc["start"] + 1, acc["size"])
+
+        def look(at: Column) -> Column:
+            better = (acc["size"] > acc["found"]) | ((acc["size"] == acc["found"]) & (at < acc["at"]))
+            grown = F.struct(
+                acc["start"],
+                acc["size"] + 1,
+                F.greatest(acc["found"], acc["size"]),
+                F.when(better, at).otherwise(acc["at"]),
+                F.when(better, window).otherwise(acc["hit"]),
+            ).cast(state)
+            moved = F.struct(
+                acc["start"] + 1, F.greatest(acc["size"] - 1, F.lit(k)), acc["found"], acc["at"], acc["hit"]
+            ).cast(state)
+            return F.when(at > 0, grown).otherwise(moved)
+
+        return F.when(acc["start"] + acc["size"] > n, acc).otherwise(let(F.instr(text, window), look))
+
+    first = F.struct(F.lit(0), F.lit(k), F.lit(0), F.lit(0), F.lit("")).cast(state)
+    found = F.aggregate(F.sequence(F.lit(1), 2 * n), first, step, lambda acc: acc["hit"])
+    return F.when((F.length(text) >= k) & (n >= k), found).otherwise(F.lit(""))

@@ -83,13 +83,8 @@ def align_spans(
     native = df.withColumn("_native", align_native(text, F.col(span)))
     still_open = F.col("_native").isNull() & (strip_space(F.coalesce(F.col(span), F.lit(""))) != "")
     block = _block_function(min_coverage)
-    tried = native.withColumn(
-        "_block",
-        block(
-            F.when(still_open, norm_align(text)),
-            F.when(still_open, norm_align(strip_space(F.col(span)))),
-        ),
-    )
+    # only the rows that nothing else could place go to Python
+    tried = native.where(still_open).withColumn("_block", block(norm_align(text), norm_align(strip_space(F.col(span)))))
     by_block = let(
         kept_positions(text, fixed.align_drop()),
         lambda places: _align(
@@ -99,9 +94,8 @@ def align_spans(
             "lcs",
         ),
     )
-    return tried.withColumn(
-        out, F.coalesce(F.col("_native"), F.when(F.col("_block.at").isNotNull(), by_block))
-    ).drop("_native", "_block")
+    placed = tried.withColumn(out, F.when(F.col("_block.at").isNotNull(), by_block)).drop("_native", "_block")
+    return native.where(~still_open).withColumnRenamed("_native", out).unionByName(placed)
 
 
 def align_report(df: DataFrame, hit: str = "hit", align: str = "align") -> DataFrame:

@@ -248,15 +248,16 @@ def strip_stems(
 
 
 def strip_training_rows(
-    spans: DataFrame, stems: DataFrame, min_match: int = fixed.MIN_STEM_MATCH, key: str = "question_id"
+    spans: DataFrame, stems: DataFrame, min_match: int = fixed.MIN_STEM_MATCH, key: str | None = "question_id"
 ) -> DataFrame:
     """Strip the context of full-answer rows; rows whose gold span would vanish stay unchanged.
 
-    ``stems`` is (``key``, stem_id, stem_text). Adds ``strip_status``: changed, guarded or same.
+    ``stems`` is (``key``, stem_id, stem_text); without a key every stem counts. Adds ``strip_status``: changed, guarded or same.
     """
     full = spans.where(F.col("origin") == "full")
+    keys = [key] if key else []
     stripped = strip_stems(
-        full.select("id", key, "context"), stems, min_match, "id", "stem_id", "context", "stem_text", [key]
+        full.select("id", *keys, "context"), stems, min_match, "id", "stem_id", "context", "stem_text", keys
     ).select("id", F.col("stripped_text").alias("_after"))
     gold_end = F.col("answer_end") - F.col("answer_start") + 1
     gold = F.substring(F.col("_after"), F.col("answer_start") + 1, gold_end)

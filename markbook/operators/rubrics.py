@@ -166,6 +166,7 @@ def config_rules() -> list[Rule]:
         ("total_score", F.coalesce(F.col("total_score") <= 0, F.lit(True))),
         ("points", F.coalesce(F.size(points) < 1, F.lit(True))),
         ("point_id", any_point(lambda p: p["point_id"] < 1)),
+        ("point_id_repeated", F.coalesce(F.size(F.array_distinct(points["point_id"])) < F.size(points), F.lit(False))),
         ("point_text", any_point(lambda p: p["point_text"] == "")),
         ("weight", any_point(lambda p: p["weight"] <= 0)),
         ("alias_empty", F.exists(points, lambda p: F.coalesce(F.array_contains(p["aliases"], ""), F.lit(False)))),

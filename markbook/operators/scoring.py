@@ -114,13 +114,16 @@ def best_span(candidates: Column, masked: Column, matcher, threshold: float) ->
 def score_points(text: Column, points: Column, matcher, threshold: float, finish) -> Column:
     """Option rules and span evidence in point order with credit masking, then ``finish``.
 
-    ``finish`` gets struct(masked, details), in which points without a hit have no entry yet. It is part of
-    the fold: the state is computed once and not looked at from outside.
+    ``finish`` gets struct(masked, details) with one entry per point, null for points without a hit. It is part
+    of the fold: the state is computed once and not looked at from outside.
     """
     state = f"struct<masked:string,details:array<{POINT_DETAIL}>>"
 
     def step(acc: Column, point: Column) -> Column:
         masked = acc["masked"]
+        missed = F.struct(
+            masked.alias("masked"), F.concat(acc["details"], F.array(F.lit(None).cast(POINT_DETAIL))).alias("details")
+        ).cast(state)
 
         def with_option(letter: Column) -> Column:
             detail = _detail(
@@ -130,7 +133,7 @@ def score_points(text: Column, points: Column, matcher, threshold: float, finish
             credited = F.struct(
                 masked.alias("masked"), F.concat(acc["details"], F.array(detail)).alias("details")
             ).cast(state)
-            return F.when(letter.isNotNull(), credited).otherwise(acc)
+            return F.when(letter.isNotNull(), credited).otherwise(missed)
 
         def with_span(best: Column) -> Column:
             raw = F.substring(masked, best["start"] + 1, best["end"] - best["start"] + 1)
@@ -147,7 +150,7 @@ def score_points(text: Column, points: Column, matcher, threshold: float, finish
                     F.concat(acc["details"], F.array(detail)).alias("details"),
                 ).cast(state)
 
-            return F.when(best.isNotNull(), let(trim_span(raw), credit)).otherwise(acc)
+            return F.when(best.isNotNull(), let(trim_span(raw), credit)).otherwise(missed)
 
         return F.when(F.size(point["letters"]) > 0, let(option_hit(masked, point["letters"]), with_option)).otherwise(
             let(best_span(point["candidates"], masked, matcher, threshold), with_span)
@@ -171,8 +174,8 @@ def from_similarity(point: Column, cosine: Column, high: Column, low: Column, pa
 def score_fallback(points: Column, scored: Column, matcher, high: Column, low: Column, partial: float) -> Column:
     """All details in point order; points without one yet are judged on the fully masked text."""
 
-    def fill(point: Column) -> Column:
-        known = F.get(F.filter(scored["details"], lambda d: d["point_id"] == point["point_id"]), F.lit(0))
+    def fill(point: Column, position: Column) -> Column:
+        known = F.get(scored["details"], position)
         similar = from_similarity(point, matcher.similarity(point["point_text"], scored["masked"]), high, low, partial)
         return F.when(known.isNotNull(), known).otherwise(similar)
 

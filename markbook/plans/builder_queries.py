@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from markbook.functions import fixed
 from markbook.operators import builders, ranking, tables
 from markbook.plans import views
-from markbook.plans.registry import ANSWERS, LABELS, LINES, POINTS, Registry, quoted
+from markbook.plans.registry import ANSWERS, LABELS, LINES, POINTS, QUESTION, Registry, quoted
 
 registry = Registry()
 add = registry.add
@@ -17,7 +17,7 @@ def _md5(seed: int, *keys: str) -> str:
     return f"md5('{seed}#' || {' || chr(35) || '.join(keys)})"
 
 
-_SPLIT = f"""q as (select distinct doc_id % 40 as question_id from documents),
+_SPLIT = f"""q as (select distinct {QUESTION} as question_id from documents),
     r as (select question_id, row_number() over (order by {_md5(42, 'question_id')}, question_id) as r, count(*) over () as n from q),
     split as (select question_id, case when r <= floor(n * 0.8) then 'train' when r <= floor(n * 0.8) + floor(n * 0.1) then 'val' else 'test' end as split from r)"""
 
@@ -333,7 +333,7 @@ def job_grid(spark, folder):
 
 @add(
     "render_prompts",
-    f"""with {ANSWERS}, {POINTS}, b as (select question_id, string_agg(point_id || '. ' || point_text || '（别名：' || aliases[1] || '、' || aliases[2] || '）', chr(10) order by point_id) as block from points group by 1)
+    f"""with {ANSWERS}, {POINTS}, b as (select question_id, string_agg(point_id || '. ' || point_text || '（别名：' || array_to_string(aliases, '、') || '）', chr(10) order by point_id) as block from points group by 1)
     select answer_id, 'Question ' || question_id || chr(10) || block || chr(10) || 'Answer: ' || answer_text || chr(10) || 'Question id again: ' || question_id as prompt
     from answers join b using (question_id)""",
 )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from markbook.operators import labels, rubrics
 from markbook.plans import views
-from markbook.plans.registry import LABELS, LINES, POINTS, VOTES, Registry
+from markbook.plans.registry import LABELS, LINES, POINTS, QUESTION, VOTES, Registry
 from markbook.schemas import LABELS as LABEL_SCHEMA
 
 registry = Registry()
@@ -195,8 +195,8 @@ def conflict_unify(spark, folder):
 
 @add(
     "patch_labels",
-    f"""with {POINTS}, base as (select doc_id as sample_id, doc_id % 40 as question_id, p.point_id, p.point_text, d.text, doc_id % 2 = 0 as hit
-      from documents d join points p on p.question_id = d.doc_id % 40),
+    f"""with {POINTS}, base as (select doc_id as sample_id, {QUESTION} as question_id, p.point_id, p.point_text, d.text, doc_id % 2 = 0 as hit
+      from documents d join points p on p.question_id = d.{QUESTION}),
     pa as (select question_id as patch_no, question_id, point_text, aliases[1] as loc, aliases[2] as span from points where point_id = 2),
     l as (select b.sample_id, b.point_id, pa.span, b.question_id, b.point_text, b.text from base b join pa using (question_id, point_text)
       where strpos(b.text, loc) > 0 and not hit and strpos(b.text, span) > 0)

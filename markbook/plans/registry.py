@@ -33,13 +33,14 @@ def quoted(text: str) -> str:
 
 
 # --- SQL forms of the table views ---------------------------------------------------------------
-ANSWERS = """answers as (
-  select doc_id as answer_id, doc_id % 40 as question_id, lang as subject, source as class_name,
+QUESTION = "doc_id % (select count(*) from benchmark)"
+ANSWERS = f"""answers as (
+  select doc_id as answer_id, {QUESTION} as question_id, lang as subject, source as class_name,
          text as answer_text from documents)"""
-POINTS = """words as (select item_id, string_split(lower(text), ' ') as w from benchmark where item_id < 40),
+POINTS = """words as (select item_id, string_split(lower(text), ' ') as w, len(w) as n from benchmark),
 points as (
-  select item_id as question_id, p as point_id, w[3 * p - 2] as point_text, [w[3 * p - 1], w[3 * p]] as aliases,
-         p::double as weight
+  select item_id as question_id, p as point_id, w[(p - 1) * n // 4 + 1] as point_text,
+         w[(p - 1) * n // 4 + 2 : p * n // 4] as aliases, p::double as weight
   from words, unnest([1, 2, 3, 4]::bigint[]) t(p))"""
 LINES = """lines as (
   select l_orderkey, l_linenumber, sum(l_quantity) as qty, max(l_partkey) as pk, max(l_suppkey) as sk,

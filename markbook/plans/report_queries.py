@@ -8,7 +8,7 @@ from markbook.functions import fixed
 from markbook.functions.scores import rating
 from markbook.operators import analytics, tables
 from markbook.plans import views
-from markbook.plans.registry import DETAILS, RATING, RESULTS, Registry
+from markbook.plans.registry import DETAILS, QUESTION, RATING, RESULTS, Registry
 from markbook.sources.io import parse_phases
 
 registry = Registry()
@@ -304,10 +304,10 @@ def latest_projects(spark, folder):
 
 @add(
     "scoring_input",
-    """select d.doc_id as answer_id, d.doc_id % 40 as question_id,
+    f"""select d.doc_id as answer_id, d.{QUESTION} as question_id,
     coalesce(case when d.source = 'src0' then p.url end, d.text, '') as text, b.text as stem_text,
-    case when d.source = 'src0' then (d.doc_id % 40) / 40.0::double end as ocr_confidence
-    from documents d left join benchmark b on b.item_id = d.doc_id % 40 left join pages p on p.page_id = d.doc_id""",
+    case when d.source = 'src0' then (d.{QUESTION}) / 40.0::double end as ocr_confidence
+    from documents d left join benchmark b on b.item_id = d.{QUESTION} left join pages p on p.page_id = d.doc_id""",
 )
 def scoring_input(spark, folder):
     docs = views.table(spark, folder, "documents")
@@ -315,14 +315,14 @@ def scoring_input(spark, folder):
     first = F.col("source") == "src0"
     answers = docs.join(pages, "doc_id", "left").select(
         F.col("doc_id").alias("answer_id"),
-        (F.col("doc_id") % 40).alias("question_id"),
+        views.question_id(spark, folder).alias("question_id"),
         F.when(first, F.col("url")).alias("ocr_text"),
         F.col("text").alias("answer_text"),
         F.when(first, "ocr").otherwise("text").alias("source"),
     )
     bench = views.table(spark, folder, "benchmark")
     questions = bench.select(F.col("item_id").alias("question_id"), F.col("text").alias("content"))
-    ocr = docs.select((F.col("doc_id") % 40).alias("question_id")).distinct().withColumn(
+    ocr = docs.select(views.question_id(spark, folder).alias("question_id")).distinct().withColumn(
         "confidence", F.col("question_id") / 40.0
     )
     out = tables.scoring_input(answers, questions, ocr)

@@ -33,11 +33,8 @@ def _fold_sql(texts: str) -> str:
     ]
     for p in range(1, 5):
         t = f"t{p - 1}"
-        tests = " ".join(
-            f"when strpos({t}, {c}) > 0 and length({c}) between 1 and 64 then {c}"
-            for c in (f"ps[{p}].t", f"ps[{p}].a[1]", f"ps[{p}].a[2]")
-        )
-        out.append(f"c{p} as (select *, case {tests} end as m{p} from s{p - 1})")
+        fits = f"strpos({t}, c) > 0 and length(c) between 1 and 64"
+        out.append(f"c{p} as (select *, [c for c in list_prepend(ps[{p}].t, ps[{p}].a) if {fits}][1] as m{p} from s{p - 1})")
         out.append(f"d{p} as (select *, {_trimmed(f'm{p}')} as x{p} from c{p})")
         out.append(
             f"""s{p} as (select *, case when m{p} is null then {t} else
@@ -110,8 +107,8 @@ def _candidates(spark, folder):
 
 
 _CANDIDATES = f"""{ANSWERS}, {POINTS},
-    listed as (select question_id, point_id, weight, unnest([0, 1, 2]) as pos,
-               unnest([point_text, aliases[1], aliases[2]]) as candidate from points),
+    listed as (select question_id, point_id, weight, unnest(range(len(aliases) + 1)) as pos,
+               unnest(list_prepend(point_text, aliases)) as candidate from points),
     candidates as (select answer_id, question_id, point_id, weight, pos::int as pos, candidate
                    from answers join listed using (question_id))"""
 
@@ -227,7 +224,7 @@ def score_fallback(spark, folder):
     "sentence_max",
     f"""with {ANSWERS}, {POINTS}, s as (select answer_id, question_id, point_id, point_text,
       unnest(regexp_split_to_array(answer_text, '[。！？；\n]+')) as raw
-      from answers join points using (question_id) where point_id = 1),
+      from answers join points using (question_id)),
     parts as (select *, trim(raw, {quoted(fixed.whitespace())}) as part from s),
     j as (select answer_id, point_id, max(case when part <> '' then case when strpos(part, point_text) > 0 then
       length(point_text) / length(part) else 0 end end)::double as best from parts group by 1, 2)
@@ -235,7 +232,7 @@ def score_fallback(spark, folder):
 )
 def sentence_max(spark, folder):
     """Sentence-wise evidence with a stand-in similarity: share of the sentence the point text fills."""
-    first = views.points(spark, folder).where("point_id = 1").select("question_id", "point_id", "point_text")
+    first = views.points(spark, folder).select("question_id", "point_id", "point_text")
     rows = views.answers(spark, folder).select("answer_id", "question_id", "answer_text").join(first, "question_id")
 
     def share(point, sentence):
@@ -290,7 +287,7 @@ def stream_scores(spark, folder):
 
     def score(batch):
         answers = batch.select(
-            F.col("doc_id").alias("answer_id"), (F.col("doc_id") % 40).alias("question_id"), F.col("text").alias("answer_text")
+            F.col("doc_id").alias("answer_id"), views.question_id(spark, folder).alias("question_id"), F.col("text").alias("answer_text")
         )
         return scoring.score_answers(answers, configs).select("answer_id", "total_score", "rating")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from markbook.functions import fixed, text
 from markbook.operators import align, builders, overlap
 from markbook.plans import views
-from markbook.plans.registry import ANSWERS, POINTS, Registry, quoted
+from markbook.plans.registry import ANSWERS, POINTS, QUESTION, Registry, quoted
 
 registry = Registry()
 add = registry.add
@@ -177,7 +177,7 @@ def _runs(k: int, on: str, left: str = "ln", right: str = "rn", ids: str = "answ
     runs as (select {ids}, i, diag, max(i) over (partition by {ids}, diag, grp) + {k} as run_end from isl)"""
 
 
-_NORM = f"""ln as (select doc_id as answer_id, doc_id % 40 as q, {sql_stem('text')} as norm from documents),
+_NORM = f"""ln as (select doc_id as answer_id, {QUESTION} as q, {sql_stem('text')} as norm from documents),
     rn as (select item_id as stem_id, item_id as q, {sql_stem('text')} as norm from benchmark)"""
 
 
@@ -234,16 +234,15 @@ def strip_training_rows(spark, folder):
     """Gold spans of five characters somewhere in the first two hundred."""
     a = F.col("answer_id")
     spans = views.answers(spark, folder).select(
-        a.alias("id"), F.lit(1).alias("one"), F.lit("full").alias("origin"), F.col("answer_text").alias("context"),
+        a.alias("id"), F.lit("full").alias("origin"), F.col("answer_text").alias("context"),
         (a % 200).cast("int").alias("answer_start"), (a % 200 + 5).cast("int").alias("answer_end"),
     )
-    stems = views.stems(spark, folder).withColumn("one", F.lit(1))
-    out = overlap.strip_training_rows(spans, stems, K, "one")
+    out = overlap.strip_training_rows(spans, views.stems(spark, folder), K, None)
     return out.select(F.col("id").alias("answer_id"), "strip_status", "context")
 
 
 _REFS = """refs as (select item_id, unnest(string_split(text, '. ')) as ref, generate_subscripts(string_split(text, '. '), 1) as no
-    from benchmark where item_id < 40)"""
+    from benchmark)"""
 
 
 def _hits(left: str) -> str:
@@ -259,7 +258,7 @@ def _hits(left: str) -> str:
 
 
 def _references(spark, folder):
-    items = views.table(spark, folder, "benchmark").where("item_id < 40")
+    items = views.table(spark, folder, "benchmark")
     return items.select(F.col("item_id").alias("question_id"), F.split("text", "\\. ").alias("refs"))
 
 
@@ -267,7 +266,7 @@ def _references(spark, folder):
     "leak_scan",
     f"""with {ANSWERS}, src as (select answer_id, question_id as q, answer_text as src from answers), {_hits('src')},
     st as (select item_id, {sql_stem('text')} as stem from benchmark),
-    j as (select h.*, stem from hits h join st on st.item_id = (h.q + 1) % 40),
+    j as (select h.*, stem from hits h join st on st.item_id = (h.q + 1) % (select count(*) from benchmark)),
     v as (select *, strpos(stem, hit) > 0
       or (length(hit) > 9 and (strpos(stem, substr(hit, 1, length(hit) - 1)) > 0 or strpos(stem, substr(hit, 2)) > 0))
       or (length(hit) > 10 and (strpos(stem, substr(hit, 1, length(hit) - 2)) > 0 or strpos(stem, substr(hit, 3)) > 0)) as own from j)
@@ -275,13 +274,13 @@ def _references(spark, folder):
 )
 def leak_scan(spark, folder):
     """Documents repeating a sentence part of their question's item; the next item plays the stem."""
-    stems = views.table(spark, folder, "benchmark").select(
-        ((F.col("item_id") + 39) % 40).alias("question_id"), F.col("text").alias("stem"), "item_id"
-    ).where("item_id < 40")
+    items = views.table(spark, folder, "benchmark")
+    count = items.agg(F.count(F.lit(1))).scalar()
+    stems = items.select(((F.col("item_id") + count - 1) % count).alias("question_id"), F.col("text").alias("stem"))
     rows = (
         views.answers(spark, folder)
         .join(_references(spark, folder), "question_id")
-        .join(stems.drop("item_id"), "question_id")
+        .join(stems, "question_id")
         .withColumnRenamed("answer_text", "context")
     )
     return overlap.leak_scan(rows).select("answer_id", "ref", "hit")
@@ -289,15 +288,15 @@ def leak_scan(spark, folder):
 
 @add(
     "fp_attribution",
-    f"""with {ANSWERS}, src as (select answer_id, question_id as q, substr(answer_text, 1, 64) as src from answers), {_hits('src')}
+    f"""with {ANSWERS}, src as (select answer_id, question_id as q, answer_text as src from answers), {_hits('src')}
     select a.answer_id, case when hit is null then 'semantic-discussion' else 'verbatim-leak' end as category, coalesce(hit, '') as hit
     from answers a left join (select *, row_number() over (partition by answer_id order by no) as f from hits) h
       on h.answer_id = a.answer_id and f = 1""",
 )
 def fp_attribution(spark, folder):
-    """Opening passages as wrongly credited spans, against the sentences of the question's item."""
+    """Whole documents as wrongly credited spans, against the sentences of the question's item."""
     rows = views.answers(spark, folder).join(_references(spark, folder), "question_id")
-    spans = rows.withColumn("extracted_span", F.substring("answer_text", 1, 64))
+    spans = rows.withColumn("extracted_span", F.col("answer_text"))
     return overlap.classify_fp(spans).select("answer_id", "category", "hit")
 
 
@@ -328,18 +327,18 @@ def _quoted_spans(spark, folder):
     return docs.select("doc_id", "text", span.alias("span"))
 
 
-@add(
-    "align_spans",
-    f"""with s as (select doc_id, text, case doc_id % 3 when 0 then substr(text, 11, 30)
+_ALIGNED = f"""s as (select doc_id, text, case doc_id % 3 when 0 then substr(text, 11, 30)
       when 1 then translate(substr(text, 11, 30), '{string.ascii_lowercase} .,', '{string.ascii_uppercase}---') else '' end as span from documents),
     t as (select doc_id, text, trim(span, {_SPACE}) as span from s),
     n as (select *, translate(text, {quoted(fixed.fold_table()[0] + fixed.align_drop())}, {quoted(fixed.fold_table()[1])}) as nt,
-      translate(span, {quoted(fixed.fold_table()[0] + fixed.align_drop())}, {quoted(fixed.fold_table()[1])}) as ns from t)
-    select doc_id, case when span = '' then null when strpos(text, span) > 0 then 'exact'
+      translate(span, {quoted(fixed.fold_table()[0] + fixed.align_drop())}, {quoted(fixed.fold_table()[1])}) as ns from t),
+    aligned as (select doc_id, case when span = '' then null when strpos(text, span) > 0 then 'exact'
       when ns <> '' and strpos(nt, ns) > 0 then 'fuzzy' end as strategy,
       case when span <> '' and strpos(text, span) > 0 then strpos(text, span) - 1 end::int as exact_start
-    from n""",
-)
+    from n)"""
+
+
+@add("align_spans", f"with {_ALIGNED} select doc_id, strategy, exact_start from aligned")
 def align_spans(spark, folder):
     out = align.align_spans(_quoted_spans(spark, folder), "text", "span")
     exact = F.col("align.strategy") == "exact"
@@ -357,11 +356,12 @@ def align_blocks(spark, folder):
 
 @add(
     "align_report",
-    """select count(*) filter (doc_id % 3 < 2) as hit_points from documents""",
+    f"""with {_ALIGNED} select count(*) filter (doc_id % 3 < 2) as hit_points, count(*) filter (doc_id % 3 < 2 and strategy is not null) as aligned,
+    count(*) filter (strategy = 'exact') as exact, count(*) filter (strategy = 'fuzzy') as fuzzy, 0::bigint as lcs from aligned""",
 )
 def align_report(spark, folder):
     rows = _quoted_spans(spark, folder).withColumn("hit", F.col("doc_id") % 3 < 2)
-    return align.align_report(align.align_spans(rows, "text", "span")).select("hit_points")
+    return align.align_report(align.align_spans(rows, "text", "span"))
 
 
 @add(

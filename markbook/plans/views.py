@@ -25,11 +25,17 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents"), "doc_id")
 
 
+def question_id(spark: SparkSession, folder: str, doc_id: str = "doc_id") -> Column:
+    """Documents answer the items of ``benchmark`` in turn, all of them."""
+    items = table(spark, folder, "benchmark").agg(F.count(F.lit(1)))
+    return F.col(doc_id) % items.scalar()
+
+
 def answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as answers to forty questions."""
+    """Documents as answers to the items of ``benchmark``."""
     return documents(spark, folder).select(
         F.col("doc_id").alias("answer_id"),
-        (F.col("doc_id") % 40).alias("question_id"),
+        question_id(spark, folder).alias("question_id"),
         F.col("lang").alias("subject"),
         F.col("source").alias("class_name"),
         F.col("text").alias("answer_text"),
@@ -41,22 +47,22 @@ def stems(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:
-    """Rubric points made of the words of the first forty benchmark items, four to a question."""
+    """Rubric points made of all words of the benchmark items, four to a question: a word and others as its aliases."""
     words = F.split(F.lower("text"), " ")
 
-    def word(i: Column) -> Column:
-        return F.get(words, i)
+    def edge(p: Column) -> Column:
+        return F.floor(p * F.size(words) / 4).cast("int")
 
     entries = F.transform(
         F.sequence(F.lit(1), F.lit(4)),
         lambda p: F.struct(
             p.cast("bigint").alias("point_id"),
-            word(p * 3 - 3).alias("point_text"),
-            F.array(word(p * 3 - 2), word(p * 3 - 1)).alias("aliases"),
+            F.get(words, edge(p - 1)).alias("point_text"),
+            F.slice(words, edge(p - 1) + 2, F.greatest(edge(p) - edge(p - 1) - 1, F.lit(0))).alias("aliases"),
             p.cast("double").alias("weight"),
         ),
     )
-    items = table(spark, folder, "benchmark").where("item_id < 40")
+    items = table(spark, folder, "benchmark")
     return items.select(F.col("item_id").alias("question_id"), F.inline(entries))
 
 

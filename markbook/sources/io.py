@@ -78,7 +78,7 @@ def warn_broken(broken: DataFrame, shown: int = 5) -> None:
 def read_tsv(spark: SparkSession, path: str, min_cols: int, max_cols: int | None = None) -> DataFrame:
     """Tab-separated rows as columns c0.. of text; rows with fewer than ``min_cols`` columns are dropped.
 
-    A byte-order mark before the first value is removed.
+    A byte-order mark before the first value is removed. Quoted values may hold tabs and line breaks.
     """
     n = max(max_cols or min_cols, min_cols)
     schema = ", ".join(f"c{i} string" for i in range(n))
@@ -89,10 +89,13 @@ def read_tsv(spark: SparkSession, path: str, min_cols: int, max_cols: int | None
         .option("sep", "\t")
         .option("columnNameOfCorruptRecord", "_raw")
         .option("escape", '"')
+        .option("multiLine", True)
         .csv(path)
     )
-    # the parser keeps the text of rows with another number of columns; an empty value reads as null
-    enough = F.col("_raw").isNull() | (F.size(F.split("_raw", "\t")) >= min_cols)
+    # the parser keeps the text of rows with another number of columns; an empty value reads as null.
+    # tabs inside quotes part no columns
+    bare = F.regexp_replace("_raw", '(?s)"(?:[^"]|"")*"', "")
+    enough = F.col("_raw").isNull() | (F.size(F.split(bare, "\t")) >= min_cols)
     values = [F.coalesce(f"c{i}", F.lit("")).alias(f"c{i}") if i < min_cols else F.col(f"c{i}") for i in range(n)]
     return raw.where(enough).select(*values).withColumn("c0", F.regexp_replace("c0", "^" + BOM, ""))
 

@@ -36,13 +36,21 @@ def matcher(request):
 
 
 def test_alias_hit(spark, matcher):
-    cfg = _config(spark, [(1, "戊戌变法", 2.0, ["百日维新"])])
-    r = scoring.score_answers(_answers(spark, "这场改革就是百日维新"), cfg, matcher).first()
+    cfg = _config(spark, [(1, "水的蒸发", 2.0, ["变成水汽"])])
+    r = scoring.score_answers(_answers(spark, "这场改革就是变成水汽"), cfg, matcher).first()
     d = r["point_details"][0]
-    assert (d["hit_status"], d["matched_alias"], d["extracted_span"], d["source"]) == ("hit_exact", "百日维新", "百日维新", "mrc")
+    assert (d["hit_status"], d["matched_alias"], d["extracted_span"], d["source"]) == ("hit_exact", "变成水汽", "变成水汽", "mrc")
     assert (r["total_score"], r["rating"]) == (2.0, "excellent")
 
 
+def test_points_that_share_an_id_keep_their_own_details(spark, matcher):
+    cfg = _config(spark, [(1, "第一句", 2.0, []), (1, "第二句", 2.0, [])], (0.95, 0.92))
+    r = scoring.score_answers(_answers(spark, "只有第一句"), cfg, matcher).first()
+    assert [d["hit_status"] for d in r["point_details"]] == ["hit_exact", "miss"] and r["total_score"] == 2.0
+    good, aside = rubrics.validate(cfg, rubrics.config_rules())
+    assert good.count() == 0 and list(aside.first()["violations"]) == ["point_id_repeated"]
+
+
 def test_credited_span_is_blanked_for_later_points(spark):
     def extract(candidates, texts):
         return [(0.97, t.find("AB"), t.find("AB") + 1) if "AB" in c and "AB" in t else (0.1, 0, 0) for c, t in zip(candidates, texts)]

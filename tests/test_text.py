@@ -141,3 +141,29 @@ def test_cosine_and_guarded_pearson(spark):
     assert abs(data.agg(scores.pearson(F.col("x"), F.col("y"))).first()[0] - 1) < 1e-12
     assert data.agg(scores.pearson(F.lit(1.0), F.col("y"))).first()[0] == 0.0
     assert data.limit(1).agg(scores.pearson(F.col("x"), F.col("y"))).first()[0] == 0.0
+
+
+def test_long_texts_with_many_characters_stay_cheap(spark):
+    import time
+
+    wide = "".join(chr(0x4E00 + i * 7 % 3000) for i in range(80_000))
+    noise = "".join(chr(0x4E00 + i * i % 997) for i in range(20_000))
+    copied = "".join(chr(0x5E00 + i) for i in range(400))
+    rows = [(wide, wide[::-1], noise[:9000] + copied + noise[9000:], copied)]
+    df = spark.createDataFrame(rows, "a string, b string, t string, r string")
+    out = df.select(text.char_f1(F.col("a"), F.col("b")).alias("f1"), text.longest_common(F.col("t"), F.col("r"), 8).alias("hit"))
+    out.first()
+    start = time.perf_counter()
+    assert tuple(out.first()) == (1.0, copied)
+    assert time.perf_counter() - start < 10
+
+
+def test_longest_common_like_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("ab") for _ in range(rng.randint(0, 60))), "".join(rng.choice("ab") for _ in range(rng.randint(0, 20)))) for _ in range(150)]
+    got = spark.createDataFrame(rows, "t string, r string").select("t", "r", text.longest_common(F.col("t"), F.col("r"), 3).alias("hit")).collect()
+    for t, r, hit in got:
+        found = {r[i:j] for i in range(len(r)) for j in range(i + 3, len(r) + 1) if r[i:j] in t}
+        assert hit == min(found, key=lambda x: (-len(x), t.find(x)), default="")
