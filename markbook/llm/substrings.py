@@ -246,14 +246,14 @@ def _shared_anchors(corpus: Corpus, hot_docs: int) -> DataFrame:
                     key, doc = key[order], doc[order]
                     new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) if len(key) else np.zeros(0, bool)
                     parts.append(np.unique(key[new], return_counts=True))
-                if not parts:
+                if not any(len(p[0]) for p in parts):  # no text of the chunk has a window
                     continue
                 every, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 docs = np.zeros(len(every), np.int64)
                 np.add.at(docs, place, np.concatenate([p[1] for p in parts]))
-                level = np.ceil(np.log2(docs)).astype(np.uint8) if len(docs) else docs.astype(np.uint8)
+                level = np.ceil(np.log2(docs)).astype(np.uint8)
                 bucket = (every >> np.uint64(32)).astype(np.int64)
-                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 stop = np.append(cut[1:], len(bucket))
                 data = [_packed(every[a:b].astype(np.uint32), level[a:b]) for a, b in zip(cut, stop, strict=True)]
                 yield _batch({
