@@ -21,7 +21,7 @@ _VOTED = f"""{VOTES},
     c as (select *, case when top * 2 > 3 then top_type else base_type end as hit_type from t),
     s as (select c.sample_id, c.point_id, extracted_span, row_number() over (partition by c.sample_id, c.point_id order by confidence desc, round) as r
       from c join votes v on v.sample_id = c.sample_id and v.point_id = c.point_id and v.hit_type = c.hit_type),
-    m as (select sample_id, point_id, round(sum(confidence) / count(*), 6) as confidence from votes group by 1, 2),
+    m as (select sample_id, point_id, round(sum(confidence) / count(*), 3) as confidence from votes group by 1, 2),
     voted as (select c.sample_id, c.point_id, c.hit_type <> 'miss' as hit, c.hit_type, s.extracted_span, m.confidence,
       {_CREDIT} as partial_credit, top / 3 as agreement, c.hit_type <> base_type as flipped
       from c join s on s.sample_id = c.sample_id and s.point_id = c.point_id and r = 1
@@ -30,11 +30,11 @@ _VOTED = f"""{VOTES},
 
 @add(
     "majority_vote",
-    f"""with {_VOTED} select sample_id, point_id, hit, hit_type, extracted_span, partial_credit,
+    f"""with {_VOTED} select sample_id, point_id, hit, hit_type, extracted_span, confidence, partial_credit,
     agreement, flipped from voted""",
 )
 def majority_vote(spark, folder):
-    return labels.majority_vote(views.votes(spark, folder)).drop("confidence")
+    return labels.majority_vote(views.votes(spark, folder))
 
 
 @add(
@@ -49,11 +49,12 @@ def vote_report(spark, folder):
 @add(
     "vote_counts",
     f"""with {VOTES} select sample_id, point_id, hit, hit_type, count(*) as votes, min(round)::int as first_round,
-    round(sum(confidence), 6) as confidence_sum from votes group by 1, 2, 3, 4""",
+    round(sum(confidence), 6) as confidence_sum, arg_max(extracted_span, (confidence, -round)) as surest_span from votes group by 1, 2, 3, 4""",
 )
 def vote_counts(spark, folder):
     out = labels.count_votes(views.votes(spark, folder))
-    return out.withColumn("confidence_sum", F.round("confidence_sum", 6)).drop("surest")
+    sums = out.withColumn("confidence_sum", F.round("confidence_sum", 6))
+    return sums.withColumn("surest_span", F.col("surest.extracted_span")).drop("surest")
 
 
 @add(
