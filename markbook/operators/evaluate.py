@@ -132,7 +132,8 @@ def auc(
     df: DataFrame, score: str, gold: str, cut: float, cuts: Sequence[float] | None = None
 ) -> DataFrame:
     """One row: AUC with half ties from running totals, means, recall and false-positive rate at ``cut``."""
-    counted = df.groupBy(score).agg(F.count_if(F.col(gold)).alias("p"), F.count_if(~F.col(gold)).alias("n"))
+    known = df.where(F.col(score).isNotNull() & F.col(gold).isNotNull())
+    counted = known.groupBy(score).agg(F.count_if(F.col(gold)).alias("p"), F.count_if(~F.col(gold)).alias("n"))
     runs = running_totals(counted, score, ["p", "n"], cuts=cuts)
     # twice the wins: a positive beats all lower negatives and half of the equal ones
     wins = F.col("p") * (2 * (F.col("n_upto") - F.col("n")) + F.col("n"))
@@ -389,3 +390,40 @@ def position_metrics(pred: DataFrame) -> DataFrame:
     return pred.agg(rate(~null).alias("span_exact"), rate(null).alias("null_acc")).withColumn(
         "key", F.col("span_exact") + 0.2 * F.col("null_acc")
     )
+
+
+def rmse(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, rmse): root of the mean squared difference; pairs with a null are left out."""
+    gap = F.col(a) - F.col(b)
+    return df.groupBy(*keys).agg(F.sqrt(F.avg(gap * gap)).alias("rmse"))
+
+
+def _midranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """(value, out): the mean rank of the rows of each distinct value."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
+    runs = running_totals(counts, value, ["_c"])
+    return runs.select(value, (F.col("_c_upto") - (F.col("_c") - 1) / 2).alias(out))
+
+
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: the correlation of mean ranks. Ranks come from counts per distinct value, so ties cost one row each."""
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
+    joint = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = joint.join(_midranks(pairs, a, "_x"), a).join(_midranks(pairs, b, "_y"), b)
+    n, x, y = F.col("_n"), F.col("_x"), F.col("_y")
+    means = ranked.agg((F.sum(n * x) / F.sum(n)).alias("mx"), (F.sum(n * y) / F.sum(n)).alias("my")).select(F.struct("mx", "my").alias("m"))
+    centred = ranked.withColumn("_m", means.scalar()).select("_n", (x - F.col("_m.mx")).alias("_x"), (y - F.col("_m.my")).alias("_y"))
+    spread = F.sqrt(F.sum(n * x * x)) * F.sqrt(F.sum(n * y * y))
+    return centred.agg(F.when(spread > 0, F.sum(n * x * y) / spread).alias("spearman"))
+
+
+def weighted_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: Cohen's kappa of two integer grades, disagreement weighted by its square.
+
+    Expected disagreement follows from sums and sums of squares, so the grades are never paired up.
+    """
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    observed = F.sum((x - y) * (x - y)) / F.count(F.lit(1))
+    expected = F.avg(x * x) + F.avg(y * y) - 2 * F.avg("x") * F.avg("y")
+    return pairs.agg(F.when(expected > 0, 1 - observed / expected).alias("kappa"))
