@@ -20,13 +20,13 @@ LEAST = 0.98
 class Graph:
     """Sizes of the index. None of them limits how many links a vector may have."""
 
-    cell: int = 4096  # vectors of a label that are searched together; larger labels are cut into overlapping cells
+    cell: int = 16_384  # vectors of a label that are searched together; larger labels are cut into overlapping cells
     shard: int = 1024  # vectors of a cell whose graph is built together
-    near: int = 32  # nearest vectors of the shard that compete for an edge
-    far: int = 16  # vectors drawn from the shard that compete too
-    degree: int = 40  # edges a shard may give a vector
+    near: int = 24  # nearest vectors of the shard that compete for an edge
+    far: int = 8  # vectors drawn from the shard that compete too
+    degree: int = 24  # edges a shard may give a vector; united and in both directions it keeps the nearest twice as many
     slack: float = 1.2  # an edge is dropped if a kept one leads so much nearer to its end
-    beam: int = 24  # best vectors held while a search approaches its query
+    beam: int = 4  # best vectors held while a search approaches its query
     most_centres: int = 16_384  # centres sent to every task, the bound of that broadcast
     sample: int = 65_536  # vectors the centres are fitted on, first by hash
 
@@ -84,10 +84,12 @@ def pruned_edges(vectors: np.ndarray, graph: Graph, rng: np.random.Generator, bl
     """
     n = len(vectors)
     near = min(graph.near, n - 1)
+    # a shard's own products are kept and looked up; only groups that no centre cuts are too large for that
+    products = vectors @ vectors.T if n <= 4 * graph.shard else None
     edges = np.full((n, graph.degree), -1, np.int64)
     for at in range(0, n, block) if near else ():
         own = np.arange(at, min(at + block, n))
-        like = vectors[own] @ vectors.T
+        like = products[own].copy() if products is not None else vectors[own] @ vectors.T
         like[np.arange(len(own)), own] = -np.inf
         close = np.argpartition(-like, near - 1, axis=1)[:, :near]
         drawn = rng.integers(0, n, (len(own), graph.far))
@@ -104,7 +106,10 @@ def pruned_edges(vectors: np.ndarray, graph: Graph, rng: np.random.Generator, bl
             edges[own[take], kept[take]] = pool[take, j]
             kept[take] += 1
             if j + 1 < pool.shape[1] and len(take):
-                between = np.einsum("qd,qcd->qc", vectors[pool[take, j]], vectors[pool[take, j + 1 :]])
+                if products is not None:
+                    between = products[pool[take, j, None], pool[take, j + 1 :]]
+                else:
+                    between = np.einsum("qd,qcd->qc", vectors[pool[take, j]], vectors[pool[take, j + 1 :]])
                 reach = graph.slack * np.sqrt(np.maximum(2 - 2 * between, 0))
                 alive[take, j + 1 :] &= reach > gap[take, j + 1 :]
     return edges
@@ -124,9 +129,12 @@ def flat_graph(vectors: np.ndarray, graph: Graph) -> tuple[np.ndarray, np.ndarra
     head, tail = np.concatenate(heads), np.concatenate(tails)
     both = np.unique(np.concatenate((head * len(vectors) + tail, tail * len(vectors) + head)))
     head, tail = both // len(vectors), both % len(vectors)
+    order = np.lexsort((-np.einsum("qd,qd->q", vectors[head], vectors[tail]), head))
+    head, tail = head[order], tail[order]
     many = np.bincount(head, minlength=len(vectors))
-    table = np.full((len(vectors), max(1, many.max(initial=1))), -1, np.int64)
-    table[head, np.arange(len(head)) - np.repeat(np.cumsum(many) - many, many)] = tail
+    place = np.arange(len(head)) - np.repeat(np.cumsum(many) - many, many)
+    table = np.full((len(vectors), 2 * graph.degree), -1, np.int64)
+    table[head[place < table.shape[1]], place[place < table.shape[1]]] = tail[place < table.shape[1]]
     return table, np.unique(medoids)
 
 
@@ -138,33 +146,44 @@ def range_search(vectors: np.ndarray, table: np.ndarray, medoids: np.ndarray, qu
     are, until none is left (range expansion).
     """
     n = len(vectors)
-    block = max(16, min(512, 4_000_000 // n))
+    block = max(16, min(1024, 16_000_000 // n))
     for at in range(0, len(queries), block):
         q = queries[at : at + block]
-        like = np.full((len(q), n), -2, np.float32)  # -2: not seen
-        followed = np.zeros((len(q), n), bool)
-        line = np.arange(len(q))
-        for start in (*np.broadcast_to(medoids[:, None], (len(medoids), len(q))), q):
-            like[line, start] = np.einsum("qd,qd->q", vectors[q], vectors[start])
-        active = line
-        while len(active):
-            open_ = np.where(followed[active], -2, like[active])
-            best = open_.argmax(1)
-            value = open_[np.arange(len(active)), best]
-            ranked = -np.partition(-like[active], min(beam, n) - 1, axis=1)[:, min(beam, n) - 1]
-            go = (value > -2) & ((value >= ranked) | (value >= least))
-            active, best = active[go], best[go]
-            if not len(active):
-                break
-            followed[active, best] = True
-            near = table[best]
-            row, slot = np.nonzero(near >= 0)
-            new = near[row, slot]
-            fresh = like[active[row], new] == -2
+        seen = np.zeros((len(q), n), bool)
+        ids = np.full((len(q), beam), -1, np.int64)
+        like = np.full((len(q), beam), -2, np.float32)
+        done = np.ones((len(q), beam), bool)
+        row = np.repeat(np.arange(len(q)), len(medoids) + 1)
+        new = np.column_stack((q, np.broadcast_to(medoids, (len(q), len(medoids))))).ravel()
+        while len(row):
+            # what is new: once per query, with its likeness
+            row, new = np.divmod(np.unique(row * n + new), n)
+            fresh = ~seen[row, new]
             row, new = row[fresh], new[fresh]
-            like[active[row], new] = np.einsum("qd,qd->q", vectors[q[active[row]]], vectors[new])
-        row, found = np.nonzero(like >= least)
-        yield q[row], found
+            seen[row, new] = True
+            value = np.einsum("qd,qd->q", vectors[q[row]], vectors[new])
+            close = value >= least
+            if close.any():
+                yield q[row[close]], new[close]
+            # the beam takes the best of what it holds and what is new but not in range
+            far_row, far, far_value = row[~close], new[~close], value[~close]
+            if len(far):
+                all_row = np.concatenate((np.repeat(np.arange(len(q)), beam), far_row))
+                all_like = np.concatenate((like.ravel(), far_value))
+                order = np.lexsort((-all_like, all_row))
+                many = np.bincount(all_row, minlength=len(q))
+                place = order[(np.cumsum(many) - many)[:, None] + np.arange(beam)]
+                ids = np.concatenate((ids.ravel(), far))[place]
+                done = np.concatenate((done.ravel(), np.zeros(len(far), bool)))[place]
+                like = all_like[place]
+            # followed next: all that is new in range, and the best of the beam
+            best = np.where(done, -2, like).argmax(1)
+            go = np.flatnonzero(~done[np.arange(len(q)), best])
+            done[go, best[go]] = True
+            heads = np.concatenate((row[close], go))
+            near = table[np.concatenate((new[close], ids[go, best[go]]))]
+            which, slot = np.nonzero(near >= 0)
+            row, new = heads[which], near[which, slot]
 
 
 def links_in_cell(exact: np.ndarray, weight: np.ndarray, cells: np.ndarray, cell: int, least: float, graph: Graph):
