@@ -16,7 +16,7 @@ CAPACITY = 2048
 END = 0
 VOCABULARY = "word_bpe_49k.json"
 #: words whose ids a Python worker remembers; then it starts anew
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: parts into which the pieces of one length are cut for numbering
 SALTS = 64
 

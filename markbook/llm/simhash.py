@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 # --- bit-sliced comparison -----------------------------------------------------------------------------------
-def linked_pairs(fps: np.ndarray, last: np.ndarray, radius: int = RADIUS, chunk: int = 65_536):
+def linked_pairs(fps: np.ndarray, last: np.ndarray, radius: int = RADIUS, chunk: int = 16_384):
     """Yield (i, j) arrays, i < j, of rows within ``radius`` bits; row i is compared with rows up to ``last[i]``, excluded.
 
     Rows are stored as bit planes: word w of plane b has bit b of rows 64 w to 64 w + 63. A (row, word) pair adds plane after
@@ -274,6 +274,10 @@ WORDS, ALIKE = 5, 0.8
 MINIMA = 4
 #: differing bits up to which pairs of a bucket are verified; texts as alike as ALIKE differ in 10 of 64, give or take 3
 APART = 20
+#: bytes of a signature that a pair is looked up by before its sets are compared, and the share that must agree: four
+#: standard errors below ALIKE
+SIGNS, LIKELY = 128, 0.66
+STEP = 8192
 #: documents of a bucket that meet in one task; larger buckets are cut into tiles that meet pairwise
 TILE = 4096
 
@@ -374,21 +378,21 @@ def _verified(tiles: DataFrame) -> DataFrame:
     def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         near, rep = rows.column("near").to_numpy().view(np.uint64), rows.column("rep").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("shingles")]
-        root = list(range(len(rep)))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        edges = []
-        for first, second in linked_pairs(near, np.full(len(near), len(near)), APART):
-            for i, j in zip(first.tolist(), second.tolist(), strict=True):
-                a, b = top(i), top(j)
-                if a != b and alike(sets[i], sets[j]):
-                    root[max(a, b)] = min(a, b)
-                    edges.append((rep[i], rep[j]))
+        signs = np.array([_signs(x) for x in sets])
+        root, edges = np.arange(len(rep)), []
+        for i, j in linked_pairs(near, np.full(len(near), len(near)), APART):
+            while len(i):
+                while (jumped := root[root]).tobytes() != root.tobytes():
+                    root = jumped
+                part = root[i[:STEP]] != root[j[:STEP]]  # pairs already joined need no look
+                first, second = i[:STEP][part], j[:STEP][part]
+                i, j = i[STEP:], j[STEP:]
+                likely = (signs[first] == signs[second]).mean(axis=1) >= LIKELY
+                for a, b in zip(first[likely].tolist(), second[likely].tolist(), strict=True):
+                    x, y = _top(root, a), _top(root, b)
+                    if x != y and alike(sets[a], sets[b]):
+                        root[max(x, y)] = min(x, y)
+                        edges.append((rep[a], rep[b]))
         if edges:
             a, b = zip(*edges, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -396,6 +400,24 @@ def _verified(tiles: DataFrame) -> DataFrame:
     return _by_tile(tiles, run, "a long, b long")
 
 
+def _top(root: np.ndarray, i: int) -> int:
+    while root[i] != i:
+        i = root[i]
+    return i
+
+
+def _signs(hashes: np.ndarray) -> np.ndarray:
+    """SIGNS low bytes of smallest hashes: the share that two sets have in common estimates their likeness."""
+    if not len(hashes):
+        return np.zeros(SIGNS, np.uint8)
+    factors = (np.arange(1, SIGNS + 1, dtype=np.uint32) * np.uint32(0x9E3779B1)) | np.uint32(1)
+    least = np.full(SIGNS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(hashes), 4096):
+        x = hashes[at : at + 4096, None] * factors
+        least = np.minimum(least, (x ^ x >> np.uint32(15)).min(axis=0))
+    return (least * np.uint32(0x85EBCA77) >> np.uint32(24)).astype(np.uint8)
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets of hashes have ALIKE of their union in common; two empty ones have."""
     small, large = sorted((len(a), len(b)))
@@ -434,7 +456,7 @@ def alike_documents(docs: DataFrame, tile: int = TILE, bucket_rows: int = BUCKET
     """
     known = settled(signatures(docs), "alike-signatures")
     by_print = _linked(known.select("doc_id", "fp"), bucket_rows).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    reps = settled(known.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("near").alias("near"), F.first("minima").alias("minima")), "alike-nodes")
+    reps = settled(known.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("near").alias("near"), F.min("minima").alias("minima")), "alike-nodes")
     equal = known.select("doc_id", "same").join(reps.select("same", "rep"), "same").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     partners = settled(_partners(_tiles(reps.where("rep is not null"), tile)), "alike-partners")
     sets = settled(_shingle_sets(docs, partners.select("rep").distinct()), "alike-sets")
