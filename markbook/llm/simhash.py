@@ -274,9 +274,9 @@ WORDS, ALIKE = 5, 0.8
 MINIMA = 4
 #: differing bits up to which pairs of a bucket are verified; texts as alike as ALIKE differ in 10 of 64, give or take 3
 APART = 20
-#: bytes of a signature that a pair is looked up by before its sets are compared, and the share that must agree: four
-#: standard errors below ALIKE
-SIGNS, LIKELY = 128, 0.66
+#: bytes of a signature that a pair is looked up by before its sets are compared, and the share that must agree: over
+#: four standard errors below ALIKE
+SIGNS, LIKELY = 128, 0.65
 STEP = 8192
 #: documents of a bucket that meet in one task; larger buckets are cut into tiles that meet pairwise
 TILE = 4096
@@ -410,11 +410,12 @@ def _signs(hashes: np.ndarray) -> np.ndarray:
     """SIGNS low bytes of smallest hashes: the share that two sets have in common estimates their likeness."""
     if not len(hashes):
         return np.zeros(SIGNS, np.uint8)
-    factors = (np.arange(1, SIGNS + 1, dtype=np.uint32) * np.uint32(0x9E3779B1)) | np.uint32(1)
+    seeds = np.arange(1, SIGNS + 1, dtype=np.uint32) * np.uint32(0x9E3779B1)
     least = np.full(SIGNS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(hashes), 4096):
-        x = hashes[at : at + 4096, None] * factors
-        least = np.minimum(least, (x ^ x >> np.uint32(15)).min(axis=0))
+        x = (hashes[at : at + 4096, None] ^ seeds) * np.uint32(0x85EBCA6B)
+        x = (x ^ x >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        least = np.minimum(least, (x ^ x >> np.uint32(16)).min(axis=0))
     return (least * np.uint32(0x85EBCA77) >> np.uint32(24)).astype(np.uint8)
 
 
