@@ -272,12 +272,9 @@ def _linked(prints: DataFrame, bucket_rows: int) -> DataFrame:
 WORDS, ALIKE = 5, 0.8
 #: smallest hashes of a text, one per function: two alike texts share none with probability (1 - ALIKE) ** MINIMA
 MINIMA = 4
-#: differing bits up to which pairs of a bucket are verified; texts as alike as ALIKE differ in 10 of 64, give or take 3
-APART = 20
-#: bytes of a signature that a pair is looked up by before its sets are compared, and the share that must agree: over
-#: four standard errors below ALIKE
-SIGNS, LIKELY = 128, 0.65
-STEP = 8192
+#: bits of the parity sketches that bound what two sets have in common: one goes with each row of a bucket, the wider one is
+#: made where whole sets are at hand. The bound holds for all sets; a narrow sketch only leaves more sets to compare
+BITS, WIDE = 1024, 4096
 #: documents of a bucket that meet in one task; larger buckets are cut into tiles that meet pairwise
 TILE = 4096
 
@@ -295,43 +292,66 @@ def _shingle_set(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The set as it is compared: the upper halves of the hashes."""
+    return np.unique(hashes >> np.uint64(32)).astype(np.uint32)
+
+
+def _parity(short: np.ndarray, width: int) -> np.ndarray:
+    """``width`` bits as words: for each remainder, whether an odd number of the set leaves it."""
+    return np.packbits((np.bincount(short & np.uint32(width - 1), minlength=width) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def _within(size: np.ndarray, bits: np.ndarray, own_size: int, own: np.ndarray) -> np.ndarray:
+    """Which sets may have ALIKE in common with one; those left out certainly have not.
+
+    A bit that differs stands for an element that only one of the sets has, and sets with ALIKE of their union in common
+    have (1 - ALIKE) / (1 + ALIKE) of their summed sizes or fewer of these.
+    """
+    differing = np.bitwise_count(bits ^ own).sum(axis=1, dtype=np.int64)
+    return differing <= (size + own_size) * (1 - ALIKE) / (1 + ALIKE) + 1e-6
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, near, minima, same): both fingerprints, smallest hashes and a digest of the set of five-word shingles."""
+    """(doc_id, fp, many, bits, minima, same): the fingerprint; of the set of five-word shingles size, parities, smallest
+    hashes and a digest. How often a shingle is repeated plays no part in these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for one in batch.column(1).cast(pa.binary()):
                 text = one.as_py()
-                parts = list(shingle_hashes(text, WORDS))
-                every = np.unique(np.concatenate(parts).view(">u8").astype(np.uint64)) if parts else np.zeros(0, np.uint64)
+                every = _shingle_set(text)
+                short = _short(every)
                 minima = np.array(_minima(every), np.uint64).view(np.int64).tolist()
-                rows.append((fingerprint(text), majority(parts), minima, xxhash.xxh3_128_digest(every.tobytes())))
-            fp, near, minima, same = zip(*rows, strict=True) if rows else ((), (), (), ())
+                same = xxhash.xxh3_128_digest(every.tobytes())
+                rows.append((fingerprint(text), len(short), _parity(short, BITS).tobytes(), minima, same))
+            fp, many, bits, minima, same = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(np.array(fp, np.uint64).view(np.int64)),
-                    pa.array(np.array(near, np.uint64).view(np.int64)),
+                    pa.array(many, pa.int64()),
+                    pa.array(bits, pa.binary()),
                     pa.array(minima, pa.list_(pa.int64())),
                     pa.array(same, pa.binary()),
                 ],
-                ["doc_id", "fp", "near", "minima", "same"],
+                ["doc_id", "fp", "many", "bits", "minima", "same"],
             )
 
     return docs.select(F.col("doc_id").cast("bigint"), text_of().alias("t")).mapInArrow(
-        run, "doc_id long, fp long, near long, minima array<long>, same binary"
+        run, "doc_id long, fp long, many long, bits binary, minima array<long>, same binary"
     )
 
 
 def _tiles(nodes: DataFrame, tile: int) -> DataFrame:
-    """(no, key, i, j, near, rep): the rows of each bucket of two or more, dealt to tasks that each pair of rows meets in."""
-    rows = nodes.select("rep", "near", F.posexplode("minima").alias("no", "key"))
+    """(no, key, i, j, rep, many, bits): the rows of each bucket of two or more, dealt to tasks that each pair of rows meets in."""
+    rows = nodes.select("rep", "many", "bits", F.posexplode("minima").alias("no", "key"))
     counts = settled(rows.groupBy("no", "key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "alike-buckets")
     many = F.ceil(F.col("_n") / tile).cast("int")
     own = F.pmod(F.xxhash64("rep"), many).cast("int")
     met = rows.join(counts, ["no", "key"]).withColumn("_t", own).withColumn("_o", F.explode(F.sequence(F.lit(0), many - 1)))
-    return met.select("no", "key", F.least("_t", "_o").alias("i"), F.greatest("_t", "_o").alias("j"), "near", "rep")
+    return met.select("no", "key", F.least("_t", "_o").alias("i"), F.greatest("_t", "_o").alias("j"), "rep", "many", "bits")
 
 
 def _by_tile(rows: DataFrame, run, schema: str) -> DataFrame:
@@ -358,41 +378,49 @@ def _by_tile(rows: DataFrame, run, schema: str) -> DataFrame:
 
 
 def _partners(tiles: DataFrame) -> DataFrame:
-    """The rows of tiles that have a partner within APART bits there."""
+    """The rows of tiles that may be alike to another one there, by the bound of their sizes and parities."""
 
     def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         if rows.num_rows < 2:
             return
-        near = rows.column("near").to_numpy().view(np.uint64)
-        found = np.zeros(len(near), bool)
-        for i, j in linked_pairs(near, np.full(len(near), len(near)), APART):
-            found[i] = found[j] = True
-        yield from rows.filter(pa.array(found)).combine_chunks().to_batches()
-
-    return _by_tile(tiles, run, "no int, key long, i int, j int, near long, rep long")
+        size = rows.column("many").to_numpy()
+        order = np.argsort(size, kind="stable")
+        size = size[order]
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(size), -1)[order]
+        end = np.searchsorted(size, size / ALIKE + 1e-6, "right")
+        found = np.zeros(len(size), bool)
+        for i in range(len(size) - 1):
+            near = np.arange(i + 1, end[i])
+            near = near[~found[near]] if found[i] else near
+            near = near[_within(size[near], bits[near], size[i], bits[i])]
+            if len(near):
+                found[i] = found[near] = True
+        yield from rows.take(np.sort(order[found])).drop_columns(["many", "bits"]).combine_chunks().to_batches()
+
+    return _by_tile(tiles, run, "no int, key long, i int, j int, rep long")
 
 
 def _verified(tiles: DataFrame) -> DataFrame:
     """(a, b): per tile, edges that join the documents whose shingle sets are alike. Pairs already joined are not asked again."""
 
     def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        near, rep = rows.column("near").to_numpy().view(np.uint64), rows.column("rep").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("shingles")]
-        signs = np.array([_signs(x) for x in sets])
+        size = np.array([len(x) for x in sets])
+        order = np.argsort(size, kind="stable")
+        sets, size, rep = [sets[k] for k in order], size[order], rows.column("rep").to_numpy()[order]
+        wide = np.array([_parity(x, WIDE) for x in sets])
+        bits = np.bitwise_xor.reduce(wide.reshape(len(sets), WIDE // BITS, -1), axis=1)
+        end = np.searchsorted(size, size / ALIKE + 1e-6, "right")
         root, edges = np.arange(len(rep)), []
-        for i, j in linked_pairs(near, np.full(len(near), len(near)), APART):
-            while len(i):
-                while (jumped := root[root]).tobytes() != root.tobytes():
-                    root = jumped
-                part = root[i[:STEP]] != root[j[:STEP]]  # pairs already joined need no look
-                first, second = i[:STEP][part], j[:STEP][part]
-                i, j = i[STEP:], j[STEP:]
-                likely = (signs[first] == signs[second]).mean(axis=1) >= LIKELY
-                for a, b in zip(first[likely].tolist(), second[likely].tolist(), strict=True):
-                    x, y = _top(root, a), _top(root, b)
-                    if x != y and alike(sets[a], sets[b]):
-                        root[max(x, y)] = min(x, y)
-                        edges.append((rep[a], rep[b]))
+        for i in range(len(rep) - 1):
+            near = np.arange(i + 1, end[i])
+            near = near[root[near] != root[i]]  # pairs already joined need no look
+            for every in (bits, wide):
+                near = near[_within(size[near], every[near], size[i], every[i])]
+            for j in near.tolist():
+                if root[i] != root[j] and alike(sets[i], sets[j]):
+                    root[root == root[j]] = root[i]
+                    edges.append((rep[i], rep[j]))
         if edges:
             a, b = zip(*edges, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -400,25 +428,6 @@ def _verified(tiles: DataFrame) -> DataFrame:
     return _by_tile(tiles, run, "a long, b long")
 
 
-def _top(root: np.ndarray, i: int) -> int:
-    while root[i] != i:
-        i = root[i]
-    return i
-
-
-def _signs(hashes: np.ndarray) -> np.ndarray:
-    """SIGNS low bytes of smallest hashes: the share that two sets have in common estimates their likeness."""
-    if not len(hashes):
-        return np.zeros(SIGNS, np.uint8)
-    seeds = np.arange(1, SIGNS + 1, dtype=np.uint32) * np.uint32(0x9E3779B1)
-    least = np.full(SIGNS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(hashes), 4096):
-        x = (hashes[at : at + 4096, None] ^ seeds) * np.uint32(0x85EBCA6B)
-        x = (x ^ x >> np.uint32(13)) * np.uint32(0xC2B2AE35)
-        least = np.minimum(least, (x ^ x >> np.uint32(16)).min(axis=0))
-    return (least * np.uint32(0x85EBCA77) >> np.uint32(24)).astype(np.uint8)
-
-
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets of hashes have ALIKE of their union in common; two empty ones have."""
     small, large = sorted((len(a), len(b)))
@@ -433,7 +442,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(_shingle_set(t.as_py()) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).cast(pa.binary())]
+            sets = [_short(_shingle_set(t.as_py())).tobytes() for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
     buckets = buckets_for(wanted.count(), 1 << 26)
@@ -447,9 +456,9 @@ def alike_documents(docs: DataFrame, tile: int = TILE, bucket_rows: int = BUCKET
     """(doc_id, component_id): documents linked by their fingerprints, or by ALIKE of their five-word shingles in common.
 
     The links of ``near_duplicates`` are all kept. Texts with a smaller likeness differ in more bits than any choice of equal
-    parts allows, so their candidates are those that share one of MINIMA smallest hashes. Inside such a bucket the bit-sliced
-    comparison leaves pairs up to APART bits, and these are verified on their whole shingle sets, which are only made for
-    documents with such a pair. Buckets of more than ``tile`` documents are cut into tiles that meet pairwise, so no task holds
+    parts allows, so their candidates are those that share one of MINIMA smallest hashes. Inside such a bucket the sizes and
+    parities of the sets rule out pairs that cannot be alike, and no others; the rest is verified on whole shingle sets, which
+    are only made for documents with such a pair. Buckets of more than ``tile`` documents are cut into tiles that meet pairwise, so no task holds
     more than two tiles and no pair is left out. Edges join what is alike; pairs already joined are not emitted.
 
     Documents with equal shingle sets are one node. Null and blank texts are alike. Documents without a doc_id link with
@@ -457,7 +466,7 @@ def alike_documents(docs: DataFrame, tile: int = TILE, bucket_rows: int = BUCKET
     """
     known = settled(signatures(docs), "alike-signatures")
     by_print = _linked(known.select("doc_id", "fp"), bucket_rows).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    reps = settled(known.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("near").alias("near"), F.min("minima").alias("minima")), "alike-nodes")
+    reps = settled(known.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("many").alias("many"), F.min("bits").alias("bits"), F.min("minima").alias("minima")), "alike-nodes")
     equal = known.select("doc_id", "same").join(reps.select("same", "rep"), "same").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     partners = settled(_partners(_tiles(reps.where("rep is not null"), tile)), "alike-partners")
     sets = settled(_shingle_sets(docs, partners.select("rep").distinct()), "alike-sets")

@@ -112,3 +112,32 @@ def test_run(spark, small, steps):
     out = corpus_pipeline.queries()["pipeline"](spark, small)
     key = ["doc_id", "piece", "length", "ids_crc32"]
     assert sorted(map(tuple, out.select(key).collect())) == sorted(map(tuple, steps["packing"][1].select(key).collect()))
+
+
+def test_alike_with_lines_repeated_unequally(spark):
+    """Sets of shingles 0.95 alike, one line of them repeated 30 times in one text and once in the other."""
+    import random
+
+    rng = random.Random(8)
+    texts = {}
+    for i in range(0, 60, 2):
+        body, line = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (200, 16))
+        texts[i] = " ".join(body + line * 30)
+        texts[i + 1] = " ".join([f"own{i}"] * 4 + body + line)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.alike_documents(df).collect()}
+    assert got == {i: i - i % 2 for i in texts} == near(texts)
+
+
+def test_bound_rules_out_no_alike_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 40, 400, 5000, 30_000):
+        for _ in range(20):
+            base = rng.integers(0, 2**32, size, dtype=np.uint32)
+            own = rng.integers(0, 2**32, size, dtype=np.uint32)
+            a, b = np.unique(base), np.unique(np.concatenate((base[size // 9 :], own[: size // 9])))
+            assert simhash.alike(a, b) <= simhash._within(
+                np.array([len(b)]), simhash._parity(b, 1024)[None], len(a), simhash._parity(a, 1024)
+            )[0]
