@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +12,10 @@ from pyspark.sql import functions as F
 from markbook.llm.common import bits_table, buckets_for, drop_ids, maybe_in, settled, text_of
 
 THRESHOLD = 0.3
-#: words are counted in 2 ** SLOT_BITS slots by hash: the size of the model, whatever the size of the corpus
-SLOT_BITS = 20
-BLOCKS = 16
+#: words that are sent to every task, those with most contexts; a larger model is joined for the others
+SENT_WORDS = 1 << 22
+#: tokens a task holds before it passes on which pairs of words it saw
+HELD_TOKENS = 1 << 20
 #: contexts taken from each count and given to the backoff distribution: that of these which fits the labels best
 DISCOUNTS = (0.75, 2.0, 4.0)
 #: expressions are runs of so many words; a document is as toxic as its most toxic expression
@@ -36,83 +36,141 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.frombuffer(b"".join([digest(w) for w in words]), ">u8").astype(np.uint64)
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
 def counted(labelled: DataFrame) -> DataFrame:
-    """(block, tokens, contexts): per class and slot the tokens, and which of 64 left-hand contexts were seen, as bits.
+    """(word, seen, rest0, rest1, rest, all0, all1, all): different left-hand neighbours of each word, exactly.
 
-    Rows (text, toxic). Each task counts its rows into arrays of fixed size and sends them compressed, BLOCKS rows; one task
-    adds up a block. Both statistics add up in any order, so a repeated task gives the same model.
+    Rows (text, toxic, sampled). ``rest`` counts what rows outside the sample show, ``all`` what all rows show; with 0 and 1
+    in the class, without in either. The table has a row per word hash of 64 bits, so it grows with the corpus.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = np.zeros((2, 1 << SLOT_BITS), np.int64)
-        contexts = np.zeros((2, 1 << SLOT_BITS), np.uint64)
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def seen() -> pa.RecordBatch:
+            word, left, mark = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((mark, left, word))
+            word, left, mark = word[order], left[order], mark[order]
+            new = np.ones(len(word), bool)
+            new[1:] = (word[1:] != word[:-1]) | (left[1:] != left[:-1]) | (mark[1:] != mark[:-1])
+            found = [pa.array(word[new].view(np.int64)), pa.array(left[new].view(np.int64)), pa.array(mark[new])]
+            return pa.RecordBatch.from_arrays(found, ["word", "left", "mark"])
+
         for batch in batches:
-            for text, toxic in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
+            rows = zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            for text, toxic, sampled in rows:
                 hashes = word_hashes(text.as_py())
-                slots = _slots(hashes)
-                np.add.at(tokens[toxic], slots, 1)
                 left = np.concatenate((np.zeros(min(1, len(hashes)), np.uint64), hashes[:-1]))
-                np.bitwise_or.at(contexts[toxic], slots, np.uint64(1) << (left & np.uint64(63)))
-        yield from packed(range(BLOCKS), tokens, contexts)
-
-    def packed(blocks, tokens, contexts) -> Iterator[pa.RecordBatch]:
-        width = (1 << SLOT_BITS) // BLOCKS
-        for i, block in enumerate(blocks):
-            part = slice(i * width, (i + 1) * width)
-            data = [pa.array([zlib.compress(a[:, part].tobytes(), 1)]) for a in (tokens, contexts)]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *data], ["block", "tokens", "contexts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = (1 << SLOT_BITS) // BLOCKS
-        sums: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                tokens = np.frombuffer(zlib.decompress(row["tokens"]), np.int64).reshape(2, width)
-                contexts = np.frombuffer(zlib.decompress(row["contexts"]), np.uint64).reshape(2, width)
-                if row["block"] in sums:
-                    sums[row["block"]][0] += tokens
-                    sums[row["block"]][1] |= contexts
-                else:
-                    sums[row["block"]] = [tokens.copy(), contexts.copy()]
-        for block, (tokens, contexts) in sums.items():
-            yield from packed([block], tokens, contexts)
+                held.append((hashes, left, np.full(len(hashes), 1 << toxic + 2 * sampled, np.int32)))
+                n += len(hashes)
+                if n >= HELD_TOKENS:
+                    yield seen()
+                    held, n = [], 0
+        if n:
+            yield seen()
 
-    schema = "block int, tokens binary, contexts binary"
-    return labelled.select("text", "toxic").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
+    marks = labelled.select("text", "toxic", "sampled").mapInArrow(pairs, "word long, left long, mark int")
+    once = marks.groupBy("word", "left").agg(F.bit_or("mark").alias("mark"))
+    any_of = {"rest0": 1, "rest1": 2, "rest": 3, "all0": 5, "all1": 10, "all": 15}
+    sums = [F.count_if(F.col("mark").bitwiseAND(F.lit(m)) != 0).alias(name) for name, m in any_of.items()]
+    return once.groupBy("word").agg(F.count(F.lit(1)).alias("seen"), *sums)
 
 
-def log_ratios(tokens: np.ndarray, contexts: np.ndarray, discount: float) -> np.ndarray:
-    """log P(word | toxic) - log P(word | ordinary) per slot.
+def rated(words: DataFrame) -> DataFrame:
+    """(word, seen, r0, r1, r2, a0, a1, a2): per discount log P(word | toxic) - log P(word | ordinary), of rest and of all.
 
     A word's count in a class is the number of different contexts it follows there, as Kneser-Ney takes it, so that copies of
-    one document count once; where the 64 context bits are nearly full it is the number of tokens. Each class gives
-    ``discount`` of each count, and both the same share of their mass, to one backoff distribution made of the contexts of
-    both classes: a word rare in both has the same probability in both.
+    one document count once. Each class gives ``discount`` of each count, and both the same share of their mass, to one backoff
+    distribution made of the contexts of both classes: a word rare in both has the same probability in both.
     """
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for g in ("rest", "all") for c in (g, f"{g}0", f"{g}1")]
+    sums += [F.count_if(F.col(g) > 0).alias(f"{g}_words") for g in ("rest", "all")]
+    over = lambda c, d: F.greatest(F.col(c) - F.lit(d), F.lit(0.0))
+    for g in ("rest", "all"):
+        sums += [F.coalesce(F.sum(over(f"{g}{k}", d)), F.lit(0.0)).alias(f"{g}{k}_{i}") for k in (0, 1) for i, d in enumerate(DISCOUNTS)]
+    total = words.agg(*sums).head()
+    found = []
+    for g in ("rest", "all"):
+        shared = (F.col(g) + 0.5) / F.lit(float(total[g] + 0.5 * (total[f"{g}_words"] + 1)))
+        for i, discount in enumerate(DISCOUNTS):
+            kept = [total[f"{g}{k}_{i}"] / max(total[f"{g}{k}"], 1) for k in (0, 1)]
+            backoff = min(1.0, max(1 - k for k in kept))
+            p = [
+                over(f"{g}{k}", discount) / max(total[f"{g}{k}"], 1) / max(kept[k], 1e-12) * (1 - backoff) + shared * backoff
+                for k in (0, 1)
+            ]
+            found.append(F.log(p[1] / p[0]).cast("float").alias(f"{g[0]}{i}"))
+    return words.select("word", "seen", *found)
+
+
+def with_ratios(rows: DataFrame, model: DataFrame, names: list[str], finish: Callable, sent: int) -> DataFrame:
+    """(doc_id, toxic, x): ``finish`` of the ratios of each row's words, an array of words by ``names``; 0 for unknown words.
+
+    Rows (doc_id, toxic, text). The words with most contexts, about ``sent``, go to every task. Where the model has more, the
+    other words meet their ratios in a join, which then has no word that many rows share.
+    """
+    levels = model.groupBy(F.least("seen", F.lit(1000)).alias("seen")).count().orderBy(F.desc("seen")).collect()
+    least, room = 1001, sent
+    for level in levels:
+        room -= level["count"]
+        if room < 0:
+            break
+        least = level["seen"]
+    whole = room >= 0
+    table = model.where(F.col("seen") >= (0 if whole else least)).select("word", *names).toArrow()
+    words = table.column("word").to_numpy()
+    order = np.argsort(words)
+    ratios = np.column_stack([table.column(c).to_numpy()[order] for c in names])
+    known = rows.sparkSession.sparkContext.broadcast((words[order], ratios))
+    width = len(names)
+
+    def look_up(hashes: np.ndarray, words: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(words):
+            return np.zeros((len(hashes), width)), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+        there = words[at] == hashes
+        return np.where(there[:, None], ratios[at], 0).astype(float), there
+
+    def result(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+
+    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = (word_hashes(t.as_py()).view(np.int64) for t in batch.column(2).cast(pa.binary()))
+            yield result(batch, [finish(look_up(h, *known.value)[0]) for h in hashes])
 
-    def contexts_of(bits: np.ndarray) -> np.ndarray:
-        seen = np.minimum(np.bitwise_count(bits), 63).astype(float)
-        return -64 * np.log1p(-seen / 64)  # linear counting
-
-    def counts(tokens: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        return np.where(np.bitwise_count(bits) > 48, tokens, np.minimum(tokens, contexts_of(bits))).astype(float)
-
-    shared = counts(tokens.sum(0), contexts[0] | contexts[1]) + 0.5
-    shared /= shared.sum()
-    own = [counts(tokens[k], contexts[k]) for k in (0, 1)]
-    kept = [np.maximum(c - discount, 0) / max(c.sum(), 1) for c in own]
-    backoff = min(1.0, max(1 - k.sum() for k in kept))
-    probability = [k / max(k.sum(), 1e-12) * (1 - backoff) + backoff * shared for k in kept]
-    return np.log(probability[1] / probability[0]).astype(np.float32)
-
-
-def features(text: bytes, ratios: np.ndarray) -> np.ndarray:
-    """Length-normalised log-likelihood ratios of a text: best expression of each span, best three, excess, mean, length."""
-    values = ratios[_slots(word_hashes(text))].astype(float)
+    def unsent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = []
+            for text in batch.column(1).cast(pa.binary()):
+                hashes = np.unique(word_hashes(text.as_py()).view(np.int64))
+                asked.append(hashes[~look_up(hashes, *known.value)[1]])
+            row = np.repeat(batch.column(0).to_numpy(), [len(a) for a in asked])
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.concatenate([*asked, np.zeros(0, np.int64)]))], ["row", "word"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text, more in zip(batch.column(2).cast(pa.binary()), batch.column(3).to_pylist(), strict=True):
+                hashes = word_hashes(text.as_py()).view(np.int64)
+                values = look_up(hashes, *known.value)[0]
+                if more:
+                    own = sorted(tuple(m.values()) for m in more)
+                    values += look_up(hashes, np.array([m[0] for m in own]), np.array([m[1:] for m in own]))[0]
+                found.append(finish(values))
+            yield result(batch, found)
+
+    schema = "doc_id long, toxic int, x array<double>"
+    if whole:
+        return rows.select("doc_id", "toxic", "text").mapInArrow(direct, schema)
+    numbered = settled(rows.select("doc_id", "toxic", "text").withColumn("row", F.monotonically_increasing_id()), "toxicity-rows")
+    others = model.where(F.col("seen") < least).select("word", *names)
+    met = numbered.select("row", "text").mapInArrow(unsent, "row long, word long").join(others, "word")
+    lists = met.groupBy("row").agg(F.collect_list(F.struct("word", *names)).alias("more"))
+    return numbered.join(lists, "row", "left").select("doc_id", "toxic", "text", "more").mapInArrow(joined, schema)
+
+
+def features(values: np.ndarray) -> np.ndarray:
+    """From a text's ratios word by word: best expression of each span, best three, excess, mean, length."""
     found = np.zeros(FEATURES)
     if not len(values):
         return found
@@ -160,19 +218,19 @@ def _remainder(column: str):
 
 
 def _labelled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the documents in ``chosen`` (doc_id, toxic). Texts without a label are not shuffled."""
+    """Columns of ``chosen`` and the text of each document in it. Texts without a label are not shuffled."""
     buckets = buckets_for(chosen.count(), 1 << 26)
     bits = settled(bits_table(chosen, "doc_id", buckets), "toxicity-bits")
     rows = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text"))
     return maybe_in(rows, F.col("doc_id"), bits, buckets).where("_maybe").drop("_maybe").join(chosen, "doc_id")
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, sent: int = SENT_WORDS, calibration: int = CALIBRATION_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= THRESHOLD).
 
     labels: doc_id, toxic. Only labels of documents whose crc32(doc_id) leaves another remainder than 2 by 4 are used: the
-    language models count all documents of remainders 0 and 1, the classifier over their likelihoods is fitted on remainder
-    3, so on likelihoods of documents the models have not seen. Texts are all a score sees.
+    language models count all documents of remainders 0 and 1, the classifier over their likelihoods is fitted on a sample of
+    remainder 3, at most ``calibration`` rows. Texts are all a score sees.
 
     Null texts count as empty; empty texts and texts without words have a score too. Of several labels of a document the
     largest counts; null labels and labels of no document are left out. If only one class is labelled, every score is its
@@ -180,42 +238,27 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     usable = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     usable = settled(usable.withColumn("_r", _remainder("doc_id")).where("_r <> 2"), "toxicity-labels")
-    model = counted(_labelled(docs, usable.where("_r <> 3").select("doc_id", "toxic"))).collect()
-    width = (1 << SLOT_BITS) // BLOCKS
-    tokens, contexts = np.zeros((2, 1 << SLOT_BITS), np.int64), np.zeros((2, 1 << SLOT_BITS), np.uint64)
-    for row in model:  # BLOCKS rows
-        part = slice(row["block"] * width, (row["block"] + 1) * width)
-        tokens[:, part] = np.frombuffer(zlib.decompress(row["tokens"]), np.int64).reshape(2, width)
-        contexts[:, part] = np.frombuffer(zlib.decompress(row["contexts"]), np.uint64).reshape(2, width)
-    context = docs.sparkSession.sparkContext
-    trials = context.broadcast(np.stack([log_ratios(tokens, contexts, d) for d in DISCOUNTS]))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            rows = [np.concatenate([features(t.as_py(), r) for r in trials.value]).tolist() for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"]
-            )
-
-    sample = (
-        usable.where("_r = 3").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).select("doc_id", "toxic")
-    )
+    sample = usable.where("_r = 3").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration).select("doc_id", F.lit(1).alias("sampled"))
     sample = settled(sample, "toxicity-sample")
-    fitted = _labelled(docs, sample).mapInArrow(measure, "doc_id long, toxic int, x array<double>").orderBy("doc_id", "x").collect()
-    rows = np.array([r["x"] for r in fitted]).reshape(-1, len(DISCOUNTS), FEATURES)
-    toxic = np.array([r["toxic"] for r in fitted], float)
-    tried = [Classifier(rows[:, i], toxic) for i in range(len(DISCOUNTS))]
-    best = min(range(len(DISCOUNTS)), key=lambda i: tried[i].loss(rows[:, i], toxic))
-    classifier, ratios = tried[best], context.broadcast(trials.value[best])
+    chosen = usable.join(sample, "doc_id", "left").select("doc_id", "toxic", "_r", F.coalesce("sampled", F.lit(0)).alias("sampled"))
+    chosen = settled(chosen, "toxicity-chosen")
+    words = settled(counted(_labelled(docs, chosen.where("_r <> 3"))), "toxicity-words")
+    model = settled(rated(words), "toxicity-model")
+    trials = range(len(DISCOUNTS))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [classifier(features(t.as_py(), ratios.value)) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
+    def tried(values: np.ndarray) -> list[float]:
+        return np.concatenate([features(values[:, i]) for i in trials]).tolist()
 
-    texts = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("t"))
-    return texts.mapInArrow(score, "doc_id long, score double").select(
+    asked = _labelled(docs, chosen.where("sampled = 1"))
+    fitted = with_ratios(asked, model, [f"r{i}" for i in trials], tried, sent).orderBy("doc_id", "x").collect()
+    rows = np.array([r["x"] for r in fitted]).reshape(-1, len(DISCOUNTS), FEATURES)
+    toxic = np.array([r["toxic"] for r in fitted], float)
+    classifiers = [Classifier(rows[:, i], toxic) for i in trials]
+    best = min(trials, key=lambda i: classifiers[i].loss(rows[:, i], toxic))
+    classifier = classifiers[best]
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.lit(None).cast("int").alias("toxic"), text_of().alias("text"))
+    scores = with_ratios(texts, model, [f"a{best}"], lambda values: [classifier(features(values[:, 0]))], sent)
+    return scores.select("doc_id", F.col("x")[0].alias("score")).select(
         "doc_id",
         F.coalesce(_remainder("doc_id") == 2, F.lit(False)).alias("held_out"),
         "score",

@@ -384,6 +384,25 @@ def test_toxicity_edges(spark, docs):
     assert len({r.score for r in one}) == 1
 
 
+def test_toxicity_counts_are_contexts_of_all_labelled_rows(spark):
+    """Different left-hand words, exactly: over 64 of them, copies once, rows of the sample too."""
+    rows = [(" ".join(f"w{i} bad" for i in range(300)), 1, 0)] * 3 + [("w1 bad only", 0, 1), ("bad", 0, 0)]
+    labelled = spark.createDataFrame(rows, "text string, toxic int, sampled int")
+    got = {r.word: r for r in toxicity.counted(labelled).collect()}
+    bad, only = (got[int(toxicity.word_hashes(w).view(np.int64)[0])] for w in (b"bad", b"only"))
+    assert len(got) == 302
+    assert (bad.rest0, bad.rest1, bad.rest, bad.all0, bad.all1, bad["all"]) == (1, 300, 301, 2, 300, 301)
+    assert (only.rest0, only.rest, only.all0, only.all1, only["all"]) == (0, 0, 1, 0, 1)
+
+
+def test_toxicity_does_not_depend_on_what_is_sent(spark):
+    rows = [(i, words(i, 40) + (" vile filth" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(60)] + [(None, None, None), (7, "vile", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = docs.select("doc_id", "toxic")
+    one, few, none = (sorted((r.doc_id or -1, r.score) for r in toxicity.scored(docs, labels, sent).collect()) for sent in (1 << 22, 20, 0))
+    assert len(one) == len(rows) and one == few == none
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
