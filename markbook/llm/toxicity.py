@@ -229,8 +229,8 @@ def scored(docs: DataFrame, labels: DataFrame, sent: int = SENT_WORDS, calibrati
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= THRESHOLD).
 
     labels: doc_id, toxic. Only labels of documents whose crc32(doc_id) leaves another remainder than 2 by 4 are used: the
-    language models count all documents of remainders 0 and 1, the classifier over their likelihoods is fitted on a sample of
-    remainder 3, at most ``calibration`` rows. Texts are all a score sees.
+    language models count all of these documents. The classifier over their likelihoods is fitted on a sample of remainder 3, at
+    most ``calibration`` rows, with likelihoods of models that count all but the sample. Texts are all a score sees.
 
     Null texts count as empty; empty texts and texts without words have a score too. Of several labels of a document the
     largest counts; null labels and labels of no document are left out. If only one class is labelled, every score is its
@@ -240,9 +240,9 @@ def scored(docs: DataFrame, labels: DataFrame, sent: int = SENT_WORDS, calibrati
     usable = settled(usable.withColumn("_r", _remainder("doc_id")).where("_r <> 2"), "toxicity-labels")
     sample = usable.where("_r = 3").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration).select("doc_id", F.lit(1).alias("sampled"))
     sample = settled(sample, "toxicity-sample")
-    chosen = usable.join(sample, "doc_id", "left").select("doc_id", "toxic", "_r", F.coalesce("sampled", F.lit(0)).alias("sampled"))
+    chosen = usable.join(sample, "doc_id", "left").select("doc_id", "toxic", F.coalesce("sampled", F.lit(0)).alias("sampled"))
     chosen = settled(chosen, "toxicity-chosen")
-    words = settled(counted(_labelled(docs, chosen.where("_r <> 3"))), "toxicity-words")
+    words = settled(counted(_labelled(docs, chosen)), "toxicity-words")
     model = settled(rated(words), "toxicity-model")
     trials = range(len(DISCOUNTS))
 

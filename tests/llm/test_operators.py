@@ -395,6 +395,15 @@ def test_toxicity_counts_are_contexts_of_all_labelled_rows(spark):
     assert (only.rest0, only.rest, only.all0, only.all1, only["all"]) == (0, 0, 1, 0, 1)
 
 
+def test_toxicity_counts_every_usable_labelled_document(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, words(i, 9), i % 2) for i in range(60)], "doc_id long, text string, toxic int")
+    seen, count = [], toxicity.counted
+    monkeypatch.setattr(toxicity, "counted", lambda rows: seen.append(rows) or count(rows))
+    toxicity.scored(docs, docs.select("doc_id", "toxic"))
+    usable = {words(i, 9) for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert {r.text for r in seen[0].collect()} == usable
+
+
 def test_toxicity_does_not_depend_on_what_is_sent(spark):
     rows = [(i, words(i, 40) + (" vile filth" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(60)] + [(None, None, None), (7, "vile", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
