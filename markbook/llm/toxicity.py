@@ -15,7 +15,7 @@ THRESHOLD = 0.3
 #: words that are sent to every task, those with most contexts; a larger model is joined for the others
 SENT_WORDS = 1 << 22
 #: tokens a task holds before it passes on which pairs of words it saw
-HELD_TOKENS = 1 << 20
+HELD_TOKENS = 1 << 17
 #: contexts taken from each count and given to the backoff distribution: that of these which fits the labels best
 DISCOUNTS = (0.75, 2.0, 4.0)
 #: expressions are runs of so many words; a document is as toxic as its most toxic expression
