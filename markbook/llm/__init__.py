@@ -8,5 +8,5 @@ import importlib
 
 from pyspark import cloudpickle
 
-for _name in ("common", "packing", "secrets", "simhash", "substrings", "toxicity", "vectors", "warc"):
+for _name in ("common", "crosstok", "packing", "quality", "secrets", "simhash", "substrings", "toxicity", "vectors", "warc", "whitening"):
     cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_name}"))

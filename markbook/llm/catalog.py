@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from markbook.llm import chat, exact, mixing, packing, secrets, simhash, substrings, toxicity, vectors, warc
+from markbook.llm import chat, crosstok, exact, mixing, packing, quality, secrets, simhash, substrings, toxicity, vectors, warc, whitening
 from markbook.llm.common import table
 from markbook.plans.registry import Registry
 
@@ -63,6 +64,23 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@registry.add("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+@registry.add("op12_quality", quality.QUALITY_SQL)
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(table(spark, sf_dir, "documents"))
+    return found.drop("class_distance", "word_distance")
+
+
+@registry.add("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.alignments(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return dict(registry.queries)
 

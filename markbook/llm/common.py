@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from markbook.session import settled, work_dir
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["settled", "work_dir", "table", "text_of", "lowered", "filesystem", "drop_ids", "hash_bits", "bits_table"]
+__all__ = ["settled", "work_dir", "table", "text_of", "lowered", "filesystem", "drop_ids", "hash_bits", "bits_table", "joined_back", "worker_memory"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,3 +115,26 @@ def drop_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", most_bits
         .select("_row.*")
     )
     return straight.unionByName(checked)
+
+
+#: a key is hot if it holds 1 of so many rows; there are at most so many hot keys
+HOT_KEYS = 4_096
+
+
+def joined_back(rows: DataFrame, found: DataFrame, key: str, copies: str) -> DataFrame:
+    """``rows`` joined with ``found`` (a settled table, one row per key; ``copies``: how many rows have it) on ``key``.
+
+    Keys that hold 1 of HOT_KEYS of all rows are at most HOT_KEYS, so they may be broadcast; a key with a third of all rows
+    is never shuffled. The other rows are shuffled, and no key of theirs has more than that share.
+    """
+    total = found.agg(F.sum(copies)).head()[0] or 0
+    hot = F.col(copies) * HOT_KEYS >= total
+    of_hot = F.broadcast(found.where(hot))
+    near = rows.join(of_hot, key)
+    cold = rows.join(F.broadcast(found.where(hot).select(key)), key, "left_anti").join(found.where(~hot), key)
+    return near.unionByName(cold)
+
+
+def worker_memory() -> dict:
+    """A dictionary that lives as long as this Python worker: functions that travel to it arrive anew with every task."""
+    return sys.modules.setdefault("markbook_worker_memory", types.ModuleType("markbook_worker_memory")).__dict__

@@ -92,3 +92,77 @@ def token_pieces(docs, tokenizer, capacity=2048):
             part = ids[at : at + capacity]
             found[doc, no] = (at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
     return found
+
+
+def alignments(docs):
+    """[(n_a, n_b, n_groups, n_links, n_best, count_sum, digest)] of [text], token by token and pair by pair."""
+    import public_tokenizers
+    import sentencepiece
+    from collections import Counter
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(c): c for c in printable}
+    byte |= {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in printable)}
+
+    def groups(text):
+        ids_a = a.encode(" " + text, add_special_tokens=False).ids
+        ids_b = b.encode(text)
+        of_a = [bytes(byte[c] for c in a.id_to_token(i)) for i in ids_a]
+        of_b = [bytes([i - 3]) if b.is_byte(i) else b.id_to_piece(i).replace("\u2581", " ").encode() for i in ids_b]
+        raw = (" " + text).encode()
+        if not text or b"".join(of_a) != raw or b"".join(of_b) != raw:
+            return []
+        found, i, j, x, y = [([], [])], 0, 0, 0, 0
+        while i < len(ids_a) or j < len(ids_b):
+            if x <= y and i < len(ids_a):
+                found[-1][0].append(ids_a[i])
+                x += len(of_a[i])
+                i += 1
+            else:
+                found[-1][1].append(ids_b[j])
+                y += len(of_b[j])
+                j += 1
+            if x == y:
+                found.append(([], []))
+        return found[:-1]
+
+    every = [groups(t or "") for t in docs]
+    links = [Counter((x, y) for p, q in g for x in p for y in q) for g in every]
+    count = Counter(k for found in links for k in found)
+    most = {}
+    for (x, _), n in count.items():
+        most[x] = max(most.get(x, 0), n)
+    rows = []
+    for g, found in zip(every, links):
+        text = ";".join(",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in g)
+        best = sum(n for k, n in found.items() if count[k] == most[k[0]])
+        total = sum(n * count[k] for k, n in found.items())
+        sizes = [sum(len(p) for p, _ in g), sum(len(q) for _, q in g), len(g), sum(found.values())]
+        rows.append((*sizes, best, total, hashlib.sha256(text.encode()).hexdigest() if g else ""))
+    return rows
+
+
+def whitened(rows, components=16, weigh=lambda copies: 1):
+    """(n, {vec_id: (deviation, projections)}, explained) of [(vec_id, vector)], vectors of one length, by numpy on all at once."""
+    from collections import Counter
+    from math import floor, isfinite
+
+    x = {i: tuple(floor(64 * c) + 1_000_000 for c in v) for i, v in rows if v is not None and all(c is not None and isfinite(c) for c in v)}
+    copies = Counter(x.values())
+    fit = np.array(list(copies), float)
+    w = np.array([weigh(c) for c in copies.values()], float)
+    n = int(w.sum())
+    sums = [int(sum(int(v) * int(k) for v, k in zip(column, w))) for column in zip(*copies)]
+    mean = np.array([s / n for s in sums])
+    values, axes = np.linalg.eigh((fit - mean).T @ ((fit - mean) * w[:, None]) / n)
+    values, axes = values[::-1][:components], axes[:, ::-1][:, :components]
+    trace = ((fit - mean) ** 2 * w[:, None]).sum() / n
+    found = {}
+    for i, v in x.items():
+        deviation = sum((n * a - s) ** 2 for a, s in zip(v, sums))
+        found[i] = (deviation, (np.array(v, float) - mean) @ axes / np.sqrt(np.maximum(values, 1e-300)))
+    return n, found, values / trace

@@ -30,7 +30,7 @@ def test_sql(spark, small, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_packing(spark, small, documents):
@@ -88,3 +88,9 @@ def test_toxicity_on_held_out_documents(spark):
     toxic = sum(t == 1 for t in labels.values())
     wrong = sum(t == 0 and got[d].predicted == 1 for d, t in labels.items())
     assert len(hits) >= 0.8 * toxic and wrong <= 0.03 * (len(labels) - toxic)
+
+
+def test_alignment(spark, small, documents):
+    got = rows(spark, small, "op13_alignment", "doc_id")
+    names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    assert [tuple(got[d][n] for n in names) for d, _ in documents] == plain.alignments([t for _, t in documents])
