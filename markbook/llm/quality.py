@@ -20,7 +20,7 @@ OWN_LANGUAGE = 1_000
 #: common are words that make up 1 of so many words of the language, hence at most 400 words
 COMMON = 400
 #: words held by a task before it passes on those that make up 1 of 10 * COMMON of them
-HELD_WORDS = 1_000_000
+HELD_WORDS = 500_000
 #: shares of character classes are counted in so many steps, of which a reference takes the median
 STEPS = 1_000
 #: a histogram of fewer characters or words is not judged
@@ -86,6 +86,11 @@ def _batches(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that few documents are Python objects at a time."""
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def frequent_words(rows: DataFrame) -> DataFrame:
     """(lang, word, n, docs): a language's words that some task found frequent, and how often; word null: all its words.
 
@@ -135,7 +140,7 @@ class References:
     def __init__(self, classes: dict[str, np.ndarray], words: dict[str, np.ndarray]) -> None:
         self.classes, self.words = classes, words
 
-    def strays(self, ref: str, classes: list[int], letters: int, common: list[dict]) -> tuple[float | None, float | None, bool]:
+    def strays(self, ref: str, classes: list[int], letters: int, places: list[int], counts: list[int]) -> tuple[float | None, float | None, bool]:
         """(distance of classes, distance of words, whether either is too far); None where too short to be judged."""
         of_classes = of_words = None
         if sum(classes) >= LEAST_CHARS:
@@ -144,8 +149,7 @@ class References:
         bins = int((shares[:-1] > 0).sum())
         if letters >= LEAST_JUDGED and bins:
             seen = np.zeros(len(shares))
-            for c in common:
-                seen[c["place"]] = c["n"]
+            seen[places] = counts
             seen[:-1][shares[:-1] == 0] = 0
             seen[-1] = letters - seen.sum()
             of_words = distance(seen, shares)
@@ -189,8 +193,8 @@ def judged(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     references = spark.sparkContext.broadcast(_references(found, {k: len(v) for k, v in places.items()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            far = [references.value.strays(**row) for row in batch.select(["ref", "classes", "letters", "common"]).to_pylist()]
+        for batch in (part for whole in batches for part in _parts(whole)):
+            far = [references.value.strays(**row) for row in batch.select(["ref", "classes", "letters", "places", "counts"]).to_pylist()]
             columns = {n: batch.column(n) for n in FAULTS}
             base = np.array(columns["n_words"]) < LEAST_WORDS
             base |= 100 * np.array(columns["n_repeat_words"]) > round(100 * MOST_REPEATED) * np.array(columns["n_words"])
@@ -204,13 +208,12 @@ def judged(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
 
 
 def _measured(rows: DataFrame, known) -> DataFrame:
-    """(doc_id, ref, faults, classes, letters, common): one document each, common words as their places in ``known[ref]``."""
-    common = pa.list_(pa.struct([("place", pa.int32()), ("n", pa.int64())]))
+    """(doc_id, ref, faults, classes, letters, places, counts): one document each; of words in ``known[ref]`` their places and counts."""
     fields = [("doc_id", pa.int64()), ("ref", pa.string()), *[(n, pa.int64()) for n in FAULTS]]
-    schema = pa.schema([*fields, ("classes", pa.list_(pa.int64())), ("letters", pa.int64()), ("common", common)])
+    schema = pa.schema([*fields, ("classes", pa.list_(pa.int64())), ("letters", pa.int64()), *[(n, pa.list_(pa.int64())) for n in ("places", "counts")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             found = []
             for doc, ref, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
                 raw = text.as_py()
@@ -218,13 +221,13 @@ def _measured(rows: DataFrame, known) -> DataFrame:
                 places = known.value.get(ref, {})
                 words = raw.translate(_LETTERS).split()
                 counts = Counter(places[w] for w in words if w in places)
-                found.append((doc, ref, *faults, classes.tolist(), len(words), [{"place": k, "n": n} for k, n in counts.items()]))
+                found.append((doc, ref, *faults, classes.tolist(), len(words), list(counts), list(counts.values())))
             if found:
                 yield _batches(found, schema)
 
     faults = ", ".join(f"{n} long" for n in FAULTS)
     return rows.select("doc_id", "ref", "text").mapInArrow(
-        run, f"doc_id long, ref string, {faults}, classes array<long>, letters long, common array<struct<place:int,n:long>>"
+        run, f"doc_id long, ref string, {faults}, classes array<long>, letters long, places array<long>, counts array<long>"
     )
 
 
@@ -242,8 +245,9 @@ def _references(found: DataFrame, sizes: dict[str, int]) -> References:
         below = np.cumsum([steps_of[s] for s in order])
         classes.setdefault(ref, np.zeros(len(CLASSES)))[no] = order[int(np.searchsorted(2 * below, below[-1]))] + 0.5
     words = {ref: np.zeros(n) for ref, n in sizes.items()}
-    for r in found.select("ref", F.explode("common").alias("c")).groupBy("ref", "c.place").agg(F.sum("c.n").alias("n")).collect():
-        words[r.ref][r.place] = r.n
+    every = found.select("ref", F.explode(F.arrays_zip("places", "counts")).alias("c"))
+    for r in every.groupBy("ref", "c.places").agg(F.sum("c.counts").alias("n")).collect():
+        words[r.ref][r.places] = r.n
     shares = {}
     for r in found.groupBy("ref").agg(F.sum("letters").alias("n")).collect():
         counts = words.get(r.ref, np.zeros(0))
