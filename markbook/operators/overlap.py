@@ -7,6 +7,11 @@ taken: one long text spreads over tasks and no k-gram is lost.
 The large side is first reduced with sampled grams: any common substring of length >= k contains a
 w-gram that starts at a multiple of s when k >= w + s - 1. Only texts with such a gram go on. That step
 loses nothing.
+
+Which pairs share something is answered by `matching_runs`: a shared passage gives two rows, its first and
+its last gram, however long it is. Where only the longest match of each left position counts, no pairs are made at all
+(`longest_matches`): a gram's continuations on the right side are a list in its one dictionary row, or, where a gram
+has many, the closest two in alphabetical order.
 """
 
 from __future__ import annotations
@@ -21,50 +26,61 @@ from markbook.functions import fixed
 from markbook.functions.text import dedup_key, kept_positions, let, longest_common, norm_stem
 
 PIECE = 256
-# references of at most this many characters give at most as many grams, some hundred bytes each
-BROADCAST_CHARS = 500_000
+#: a reference side of at most so many bytes, by the planner's statistics, is broadcast as grams
+BROADCAST_BYTES = 131_072
+#: characters after a gram that are compared at once; one less than a power of two
+SPAN = 127
+#: a gram with more different continuations than this is heavy: they do not fit its dictionary row
+LISTED = 16
+#: parts into which the left positions of heavy grams are cut
+SALTS = 64
 
 
 def grams(
-    df: DataFrame, ids: Sequence[str], text: str, size: int, step: int = 1, place: str = "i"
+    df: DataFrame, ids: Sequence[str], text: str, size: int, step: int = 1, place: str = "i", after: int = 0
 ) -> DataFrame:
-    """(ids, place, gram): every ``size``-gram that starts at a multiple of ``step``, 0-based."""
+    """(ids, place, gram): every ``size``-gram that starts at a multiple of ``step``, 0-based.
+
+    With ``after`` also ``before``, the character before it ('' at the beginning), and ``tail``, up to ``after`` characters after it.
+    """
     stride = step * max(1, -(-PIECE // step))
     n = F.length(text)
     first_starts = F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)), F.lit(stride))
+    lead = (lambda b: F.least(b, F.lit(1))) if after else (lambda b: F.lit(0))
     pieces = df.where(n >= size).select(
         *ids,
         F.explode(
             F.transform(
                 first_starts,
                 lambda b: F.struct(
-                    b.alias("base"), F.substring(F.col(text), b + 1, F.lit(stride + size - 1)).alias("piece")
+                    b.alias("base"),
+                    F.substring(F.col(text), b + 1 - lead(b), lead(b) + (stride + size - 1 + after)).alias("piece"),
                 ),
             )
         ).alias("_p"),
     )
-    offsets = F.sequence(
-        F.lit(0), F.least(F.length("_p.piece") - size, F.lit(stride - 1)), F.lit(step)
-    )
-    taken = F.transform(
-        offsets,
-        lambda o: F.struct(
-            (F.col("_p.base") + o).alias(place),
-            F.substring(F.col("_p.piece"), o + 1, F.lit(size)).alias("gram"),
-        ),
-    )
-    return pieces.where(F.length("_p.piece") >= size).select(*ids, F.inline(taken))
+    base, piece = F.col("_p.base"), F.col("_p.piece")
+    skip = lead(base)
+    offsets = F.sequence(F.lit(0), F.least(F.length(piece) - skip - size, F.lit(stride - 1)), F.lit(step))
+
+    def gram(o: Column) -> Column:
+        fields = [(base + o).alias(place), F.substring(piece, o + 1 + skip, F.lit(size)).alias("gram")]
+        if after:
+            fields.append(F.when(o + skip > 0, F.substring(piece, o + skip, F.lit(1))).otherwise("").alias("before"))
+            fields.append(F.substring(piece, o + 1 + skip + size, F.lit(after)).alias("tail"))
+        return F.struct(*fields)
+
+    return pieces.where(F.length(piece) - skip >= size).select(*ids, F.inline(F.transform(offsets, gram)))
 
 
-def _joined_side(grams_of_refs: DataFrame, refs: DataFrame, text: str) -> DataFrame:
-    """The reference side of a gram join, marked by its measured size.
+def _joined_side(grams_of_refs: DataFrame, refs: DataFrame) -> DataFrame:
+    """The reference side of a gram join: broadcast if the references are small, otherwise both sides are shuffled.
 
-    The optimizer sizes exploded grams by the text they came from and would broadcast far too much. So the
-    characters of the references are counted (one small job): few enough are broadcast, otherwise both sides
-    are shuffled, where adaptive execution splits the partitions of very common grams.
+    The optimizer sizes exploded grams by the text they came from and would broadcast far too much. So the size it knows of
+    the references decides; that starts no job.
     """
-    chars = refs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
-    return F.broadcast(grams_of_refs) if chars <= BROADCAST_CHARS else grams_of_refs.hint("merge")
+    size = refs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(grams_of_refs) if int(size) <= BROADCAST_BYTES else grams_of_refs.hint("merge")
 
 
 def _row_shares(text: Column, refs: Column, width: int, step: int) -> Column:
@@ -101,7 +117,7 @@ def sharing_rows(
         shares = F.when(F.length(text) >= k, _row_shares(F.col(text), F.col("_refs"), width, step))
         return long_enough.join(refs, list(keys)).where(shares).select(*left.columns)
     left_grams = grams(left, [left_id], text, width, step)
-    right_grams = _joined_side(grams(right, [], text, width).select("gram").distinct(), right, text)
+    right_grams = _joined_side(grams(right, [], text, width).select("gram").distinct(), right)
     ids = left_grams.join(right_grams, "gram", "left_semi").select(left_id).distinct()
     return left.join(ids, left_id, "left_semi")
 
@@ -115,24 +131,79 @@ def matching_runs(
     text: str = "norm",
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """(left_id, right_id, i, diag, run_end): each left position that starts a shared k-gram.
+    """(left_id, right_id, i, j, run_end): the passages of at least k characters that a left and a right text share.
 
-    ``diag`` is left minus right position. Positions next to each other on a diagonal belong to one
-    shared substring; ``run_end`` is the position just after it.
+    A passage begins at i on the left and j on the right, can be prolonged neither way, and ends before ``run_end``. Two grams meet in the
+    join only if a passage begins or ends with them, so it gives one row or two; on its diagonal a beginning is followed by its end.
     """
     candidates = sharing_rows(left, right, k, left_id, text, keys)
-    lg = grams(candidates, [left_id, *keys], text, k)
-    rg = _joined_side(grams(right, [right_id, *keys], text, k, place="j"), right, text)
-    met = lg.join(rg, [*keys, "gram"]).select(left_id, right_id, "i", (F.col("i") - F.col("j")).alias("diag"))
-    line = W.partitionBy(left_id, right_id, "diag")
-    islands = met.withColumn("_g", F.col("i") - F.row_number().over(line.orderBy("i")))
-    return islands.select(
-        left_id,
-        right_id,
-        "i",
-        "diag",
-        (F.max("i").over(W.partitionBy(left_id, right_id, "diag", "_g")) + k).alias("run_end"),
-    )
+    lg = grams(candidates, [left_id, *keys], text, k, after=1)
+    rg = grams(right, [right_id, *keys], text, k, place="j", after=1)
+    rg = rg.withColumnsRenamed({"before": "_before", "tail": "_tail"})
+    begins = (F.col("before") == "") | (F.col("before") != F.col("_before"))
+    ends = (F.col("tail") == "") | (F.col("tail") != F.col("_tail"))
+    met = lg.join(_joined_side(rg, right), [*keys, "gram"]).where(begins | ends)
+    met = met.select(left_id, right_id, "i", "j", begins.alias("_begins"), ends.alias("_ends"))
+    line = W.partitionBy(left_id, right_id, F.col("i") - F.col("j")).orderBy("i")
+    last = F.when(F.col("_ends"), F.col("i")).otherwise(F.lead("i").over(line))
+    return met.withColumn("_last", last).where("_begins").select(left_id, right_id, "i", "j", (F.col("_last") + k).alias("run_end"))
+
+
+def _shared_prefix(a: Column, b: Column) -> Column:
+    """How many of at most SPAN characters two texts begin with in common."""
+    steps = [1 << p for p in range(SPAN.bit_length() - 1, -1, -1)]
+
+    def longer(n: Column, s: Column) -> Column:
+        same = (F.length(a) >= n + s) & (F.length(b) >= n + s) & (F.substring(a, n + 1, s) == F.substring(b, n + 1, s))
+        return F.when(same, n + s).otherwise(n)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), longer)
+
+
+def longest_matches(
+    left: DataFrame, right: DataFrame, k: int, left_id: str, text: str = "norm", keys: Sequence[str] = ()
+) -> DataFrame:
+    """(left_id, i, run_end): per left position the longest match of at least k characters with any right text.
+
+    No pairs are made. The right side becomes a dictionary with a row per gram: how many different continuations it has and, up
+    to LISTED, which. A left position meets that one row and compares its own continuation with the list. For a heavy gram,
+    left positions and continuations are sorted together: the longest match of a text among sorted ones is with the one just
+    before or just after it. So rows grow with left positions plus right grams, not with their product; left
+    positions of a heavy gram are cut into SALTS parts, each of which gets the continuations.
+
+    A match that goes on beyond SPAN characters after the gram lies in a shared passage of k + SPAN characters. Texts that have so
+    much in common meet in `matching_runs`, where equal right texts are one.
+    """
+    candidates = sharing_rows(left, right, k, left_id, text, keys)
+    lg = grams(candidates, [left_id, *keys], text, k, after=SPAN)
+    texts = right.where(F.length(text) >= k).select(*keys, text).distinct()
+    of_gram = [*keys, "gram"]
+    tails = grams(texts, list(keys), text, k, after=SPAN).groupBy(*of_gram, "tail").agg(F.lit(1).alias("_one"))
+    counted = tails.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*of_gram)))
+    listed = F.when(F.max("_n") <= LISTED, F.collect_list(F.when(F.col("_n") <= LISTED, F.col("tail")))).alias("_tails")
+    dictionary = counted.groupBy(*of_gram).agg(listed)
+    best = F.array_max(F.transform("_tails", lambda t: _shared_prefix(F.col("tail"), t)))
+    salt = F.pmod(F.xxhash64(left_id, "i"), F.lit(SALTS)).cast("int").alias("_salt")
+    hits = lg.join(_joined_side(dictionary, right), of_gram).select(*of_gram, salt, "tail", left_id, "i", best.alias("_listed"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    given = counted.where(F.col("_n") > LISTED).select(*of_gram, parts, "tail", F.col("tail").alias("_given"))
+    both = hits.unionByName(given, allowMissingColumns=True)
+    group = W.partitionBy(*of_gram, "_salt").rowsBetween(W.unboundedPreceding, 0)
+    # of equal continuations the right one comes first
+    below = F.last("_given", ignorenulls=True).over(group.orderBy("tail", F.col("_given").isNull()))
+    above = F.last("_given", ignorenulls=True).over(group.orderBy(F.desc("tail"), F.col("_given").isNull()))
+    near = both.withColumns({"_below": below, "_above": above}).where(F.col("_given").isNull())
+    closest = F.greatest(*[_shared_prefix(F.col("tail"), F.coalesce(F.col(c), F.lit(""))) for c in ("_below", "_above")])
+    found = near.select(left_id, "i", F.coalesce("_listed", closest).alias("_more"))
+
+    wide = k + SPAN
+    long_texts = texts.where(F.length(text) >= wide).withColumn("_text", F.xxhash64(*keys, text))
+    runs = matching_runs(left, long_texts, wide, left_id, "_text", text, keys)
+    of_runs = runs.groupBy(left_id, "i").agg(F.max("run_end").alias("run_end"))
+    inside = F.explode(F.sequence(F.col("i"), F.col("run_end") - k)).alias("i")
+    long = of_runs.select(left_id, inside, "run_end")
+    every = found.select(left_id, "i", (F.col("i") + k + F.col("_more")).alias("run_end")).unionByName(long)
+    return every.groupBy(left_id, "i").agg(F.max("run_end").alias("run_end"))
 
 
 def lcs_pairs(
@@ -175,8 +246,7 @@ def strip_ranges(
 
     ln = answers.select(answer_id, *keys, norm(answer_text).alias("norm"))
     rn = stems.select(stem_id, *keys, norm(stem_text).alias("norm"))
-    runs = matching_runs(ln, rn, min_match, answer_id, stem_id, keys=keys)
-    longest = runs.groupBy(answer_id, "i").agg(F.max("run_end").alias("end"))
+    longest = longest_matches(ln, rn, min_match, answer_id, keys=keys).withColumnRenamed("run_end", "end")
     # one text's own positions: bounded by the text
     ordered = longest.groupBy(answer_id).agg(F.sort_array(F.collect_list(F.struct("i", "end"))).alias("m"))
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -338,6 +408,23 @@ def leak_scan(
     )
 
 
+def containing(left: DataFrame, right: DataFrame, k: int, left_id: str, text: str = "norm") -> DataFrame:
+    """(left_id) of left texts that hold a whole right text of at least k characters.
+
+    Each right text is looked for by its rarest gram alone, so grams that many texts share bring no pairs.
+    """
+    texts = right.where(F.length(text) >= k).select(F.col(text).alias("_whole")).distinct()
+    taken = grams(texts, ["_whole"], "_whole", k, place="j").groupBy("_whole", "gram").agg(F.min("j").alias("j"))
+    counted = taken.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = F.min_by(F.struct("gram", "j"), F.struct("_n", "gram")).alias("_r")
+    keyed = taken.join(counted, "gram").groupBy("_whole").agg(rarest).select("_whole", "_r.gram")
+    candidates = sharing_rows(left, right, k, left_id, text)
+    places = grams(candidates, [left_id], text, k).select(left_id, "gram").distinct()
+    pairs = places.join(_joined_side(keyed, right), "gram").select(left_id, "_whole")
+    held = pairs.join(candidates.select(left_id, text), left_id).where(F.contains(F.col(text), F.col("_whole")))
+    return held.select(left_id).distinct()
+
+
 def overlap_report(
     own: DataFrame, external: DataFrame, own_id: str, external_id: str, text: str, k: int
 ) -> DataFrame:
@@ -350,24 +437,16 @@ def overlap_report(
         .withColumn("overlap", F.lit("exact"))
         .withColumn("lcs_len", F.lit(None).cast("int"))
     )
-    pairs = lcs_pairs(
-        theirs.withColumnRenamed("norm", "text"),
-        mine.withColumnRenamed("norm", "text"),
-        k,
-        external_id,
-        own_id,
-        normalize=lambda c: c,
-    )
-    sized = (
-        pairs.join(theirs.select(external_id, F.length("norm").alias("_t")), external_id)
-        .join(mine.select(own_id, F.length("norm").alias("_m")), own_id)
-        .withColumn("_contained", (F.col("lcs_len") == F.least("_t", "_m")).cast("int"))
-        .groupBy(external_id)
-        .agg(F.max("_contained").alias("_contained"), F.max("lcs_len").alias("lcs_len"))
-    )
+    longest = longest_matches(theirs, mine, k, external_id)
+    # an external text inside an own one matches from its beginning to its end
+    within = longest.join(theirs.select(external_id, F.length("norm").alias("_len")), external_id)
+    whole = (F.max((F.col("i") == 0) & (F.col("run_end") == F.col("_len")))).alias("_within")
+    sized = within.groupBy(external_id).agg(F.max(F.col("run_end") - F.col("i")).alias("lcs_len"), whole)
+    held = containing(theirs, mine, k, external_id).withColumn("_holds", F.lit(True))
+    sized = sized.join(held, external_id, "left").withColumn("_contained", F.coalesce("_holds", F.lit(False)) | F.col("_within"))
     near = (
         sized.join(exact, external_id, "left_anti")
-        .withColumn("overlap", F.when(F.col("_contained") == 1, "containment").otherwise("shared"))
+        .withColumn("overlap", F.when(F.col("_contained"), "containment").otherwise("shared"))
         .select(external_id, "overlap", "lcs_len")
     )
     return exact.unionByName(near)

@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -30,13 +31,78 @@ def test_shuffled_gram_join_gives_the_same(spark, monkeypatch):
     rng = random.Random(15)
     left = spark.createDataFrame([(i, "".join(rng.choices("abc", k=14))) for i in range(30)], "l int, text string")
     right = spark.createDataFrame([(i, "".join(rng.choices("abc", k=12))) for i in range(30)], "r int, text string")
+    monkeypatch.setattr(overlap, "BROADCAST_BYTES", 1 << 62)
     small = {tuple(r) for r in overlap.lcs_pairs(left, right, 4, "l", "r").collect()}
-    monkeypatch.setattr(overlap, "BROADCAST_CHARS", 0)
+    monkeypatch.setattr(overlap, "BROADCAST_BYTES", 0)
     large = overlap.lcs_pairs(left, right, 4, "l", "r")
     assert "SortMergeJoin" in large._jdf.queryExecution().sparkPlan().toString()
     assert {tuple(r) for r in large.collect()} == small
 
 
+def _longest(left, right, k):
+    return {
+        (i, p): p + n
+        for i, a in left
+        for p in range(len(a))
+        if (n := max((n for n in range(k, len(a) - p + 1) if any(a[p : p + n] in b for _, b in right)), default=0))
+    }
+
+
+def test_longest_matches_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(25)
+    monkeypatch.setattr(overlap, "SPAN", 3)  # continuations are cut, so long matches go the second way
+    left = [(i, "".join(rng.choices("ab", k=rng.randint(0, 30)))) for i in range(80)]
+    right = [(i, "".join(rng.choices("ab", k=rng.randint(0, 20)))) for i in range(40)]
+    dfs = spark.createDataFrame(left, "l int, norm string"), spark.createDataFrame(right, "r int, norm string")
+    want = _longest(left, right, 3)
+    for listed in (1, 16):
+        monkeypatch.setattr(overlap, "LISTED", listed)
+        got = overlap.longest_matches(*dfs, 3, "l").collect()
+        assert {(r.l, r.i): r.run_end for r in got} == want and len(got) == len(want)
+
+
+def test_a_gram_in_every_text_gives_rows_in_proportion(spark, monkeypatch):
+    """Each of n documents and n references has the same twelve characters: no step makes n * n rows."""
+    monkeypatch.setattr(overlap, "SALTS", 4)
+    n, rng = 200, random.Random(26)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=9))
+    left = [(i, word() + "COMMONPHRASE" + word()) for i in range(n)]
+    right = [(i, word() + "COMMONPHRASE" + word()) for i in range(n)]
+    dfs = spark.createDataFrame(left, "l int, norm string"), spark.createDataFrame(right, "r int, norm string")
+    got = overlap.longest_matches(*dfs, 10, "l")
+    assert {(r.l, r.i): r.run_end for r in got.collect()} == _longest(left, right, 10)
+    rows = [int(r) for r in re.findall(r"number of output rows: ([\d,]+)", _metrics(got)) for r in [r.replace(",", "")]]
+    assert rows and max(rows) <= 30 * n  # 26 short and 21 long grams a text; SALTS copies of the continuations of some of them
+
+
+def _metrics(df):
+    """Row counts of every node of the plan that just ran."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            found.append(f"number of output rows: {metric.get().value()}")
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return "\n".join(found)
+
+
+def test_no_job_while_planning(spark):
+    left = spark.createDataFrame([(1, "abcdefgh")], "l int, text string")
+    right = spark.createDataFrame([(1, "xbcdefgx")], "r int, text string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    overlap.lcs_pairs(left, right, 4, "l", "r").explain()
+    spark.sparkContext.setJobGroup("other", "other")
+    assert not tracker.getJobIdsForGroup("planning")
+
+
 def test_lcs_pairs_over_long_texts_cut_into_pieces(spark):
     rng = random.Random(6)
     shared = "".join(rng.choices("xyz", k=700))
