@@ -191,11 +191,39 @@ def highlight_segments(text: Column, details: Column) -> Column:
     )
 
 
-def longest_common(text: Column, ref: Column, k: int) -> Column:
+def kgrams(text: Column, k: int, piece: int = 128) -> Column:
+    """All substrings of ``k`` characters, in order. Taken from short pieces, because finding a place in a text costs its distance."""
+
+    def of_piece(start: Column) -> Column:
+        def taken(part: Column) -> Column:
+            last = F.length(part) - k
+            return F.transform(F.sequence(F.lit(0), last), lambda o: F.substring(part, o + 1, F.lit(k)))
+
+        return let(F.substring(text, start + 1, F.lit(piece + k - 1)), taken)
+
+    starts = F.sequence(F.lit(0), F.length(text) - k, F.lit(piece))
+    none = F.array().cast("array<string>")
+    return F.when(F.length(text) >= k, F.flatten(F.transform(starts, of_piece))).otherwise(none)
+
+
+def shared_grams(text: Column, wanted: Column, k: int, block: int = 4096) -> Column:
+    """Which of the ``wanted`` k-grams occur in the text: a hash look-up per character, block by block."""
+
+    def of_block(start: Column) -> Column:
+        return let(F.substring(text, start + 1, F.lit(block + k - 1)), lambda part: F.array_intersect(kgrams(part, k), wanted))
+
+    starts = F.sequence(F.lit(0), F.length(text) - k, F.lit(block))
+    none = F.array().cast("array<string>")
+    worth = (F.length(text) >= k) & (F.size(wanted) > 0)
+    return F.when(worth, F.array_distinct(F.flatten(F.transform(starts, of_block)))).otherwise(none)
+
+
+def longest_common(text: Column, ref: Column, k: int, shared: Column | None = None) -> Column:
     """Longest common substring of at least ``k`` characters, '' when there is none.
 
     A window over ``ref`` grows at its end while ``text`` has it and moves its start on otherwise, so ``text`` is searched
-    at most twice per character of ``ref``. Among equally long ones the earliest in ``text`` is returned.
+    at most twice per character of ``ref``. Among equally long ones the earliest in ``text`` is returned. With ``shared``, the k-grams
+    of ``ref`` that the text has (`shared_grams`), the text is searched only where the window's last k-gram is one of them.
     """
     n = F.length(ref)
     state = "struct<start:int,size:int,found:int,at:int,hit:string>"
@@ -217,7 +245,11 @@ def longest_common(text: Column, ref: Column, k: int) -> Column:
             ).cast(state)
             return F.when(at > 0, grown).otherwise(moved)
 
-        return F.when(acc["start"] + acc["size"] > n, acc).otherwise(let(F.instr(text, window), look))
+        place = F.instr(text, window)
+        if shared is not None:
+            newest = F.substring(ref, acc["start"] + acc["size"] - k + 1, F.lit(k))
+            place = F.when(F.array_contains(shared, newest), place).otherwise(0)
+        return F.when(acc["start"] + acc["size"] > n, acc).otherwise(let(place, look))
 
     first = F.struct(F.lit(0), F.lit(k), F.lit(0), F.lit(0), F.lit("")).cast(state)
     found = F.aggregate(F.sequence(F.lit(1), 2 * n), first, step, lambda acc: acc["hit"])

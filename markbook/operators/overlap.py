@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from markbook.functions import fixed
-from markbook.functions.text import dedup_key, kept_positions, let, longest_common, norm_stem
+from markbook.functions.text import dedup_key, kept_positions, kgrams, let, longest_common, norm_stem, shared_grams
 
 PIECE = 256
 #: a reference side of at most so many bytes, by the planner's statistics, is broadcast as grams
@@ -357,25 +357,46 @@ def in_stem(hit: Column, stem: Column, k: int = fixed.MIN_STEM_MATCH) -> Column:
     return F.coalesce(inside & (stem != ""), F.lit(False))
 
 
-def first_shared(text: Column, refs: Column, k: int, usable=lambda hit: F.lit(True)) -> Column:
-    """struct(ref, hit) of the first reference sharing >= k normalised characters, else null."""
+def reference_grams(refs: Column, k: int = fixed.MIN_STEM_MATCH) -> Column:
+    """The normalised k-grams of each reference. Made once per question, before references meet answers."""
+    return F.transform(refs, lambda r: F.array_distinct(kgrams(norm_stem(F.coalesce(r, F.lit(""))), k)))
+
+
+def first_shared(text: Column, refs: Column, grams_of_refs: Column, k: int, usable=lambda hit: F.lit(True)) -> Column:
+    """struct(ref, hit) of the first reference sharing >= k normalised characters, else null.
+
+    The text's k-grams are looked up once among those of all references. Without one in common nothing else is done; a
+    reference without one is passed over, and in the others only places with one are searched for.
+    """
 
     def search(norm_text: Column) -> Column:
-        def with_hit(r: Column) -> Column:
-            hit = let(norm_stem(r), lambda norm_ref: longest_common(norm_text, norm_ref, k))
-            return F.struct(r.alias("ref"), hit.alias("hit"))
+        def compared(shared: Column) -> Column:
+            def with_hit(r: Column) -> Column:
+                hit = let(norm_stem(r["ref"]), lambda norm_ref: longest_common(norm_text, norm_ref, k, shared))
+                met = F.arrays_overlap(r["grams"], shared)
+                return F.struct(r["ref"].alias("ref"), F.when(met, hit).otherwise("").alias("hit"))
+
+            pairs = F.zip_with(refs, grams_of_refs, lambda ref, g: F.struct(ref.alias("ref"), g.alias("grams")))
+            found = F.filter(F.transform(pairs, with_hit), lambda s: (s["hit"] != "") & usable(s["hit"]))
+            return F.when(F.size(shared) > 0, F.get(found, F.lit(0)))
 
-        found = F.transform(refs, with_hit)
-        return F.get(F.filter(found, lambda s: (s["hit"] != "") & usable(s["hit"])), F.lit(0))
+        return let(shared_grams(norm_text, F.flatten(grams_of_refs), k), compared)
 
     return let(norm_stem(text), search)
 
 
+def _grams_of(refs: str, grams: str | None, k: int) -> Column:
+    return F.col(grams) if grams else reference_grams(F.col(refs), k)
+
+
 def classify_fp(
-    points: DataFrame, span: str = "extracted_span", refs: str = "refs", k: int = fixed.MIN_STEM_MATCH
+    points: DataFrame, span: str = "extracted_span", refs: str = "refs", k: int = fixed.MIN_STEM_MATCH, grams: str | None = None
 ) -> DataFrame:
-    """Why a wrongly credited point was credited: copied from a reference, or said in other words."""
-    shared = first_shared(F.coalesce(F.col(span), F.lit("")), F.col(refs), k)
+    """Why a wrongly credited point was credited: copied from a reference, or said in other words.
+
+    ``grams`` names a column of `reference_grams`, for references that many rows have.
+    """
+    shared = first_shared(F.coalesce(F.col(span), F.lit("")), F.col(refs), _grams_of(refs, grams, k), k)
     return (
         points.withColumn("_s", shared)
         .withColumn("category", F.when(F.col("_s").isNotNull(), "verbatim-leak").otherwise("semantic-discussion"))
@@ -390,22 +411,20 @@ def leak_scan(
     refs: str = "refs",
     stem: str = "stem",
     k: int = fixed.MIN_STEM_MATCH,
+    grams: str | None = None,
 ) -> DataFrame:
     """Rows whose context repeats >= k characters of one of their references, not explained by the stem.
 
-    Give it the unanswerable full-answer rows. References are short, so the search stays in the row
-    and no text is shuffled.
+    Give it the unanswerable full-answer rows. References are short, so the search stays in the row and no text is
+    shuffled. ``grams`` names a column of `reference_grams`, for references that many rows have.
     """
     stem_norm = norm_stem(F.coalesce(F.col(stem), F.lit("")))
-    shared = first_shared(F.col(context), F.col(refs), k, lambda hit: ~in_stem(hit, F.col("_stem"), k))
-    return (
-        spans.withColumn("_stem", stem_norm)
-        .withColumn("_s", shared)
-        .where(F.col("_s").isNotNull())
-        .withColumn("ref", F.col("_s.ref"))
-        .withColumn("hit", F.col("_s.hit"))
-        .drop("_s", "_stem")
+    shared = first_shared(
+        F.col(context), F.col(refs), _grams_of(refs, grams, k), k, lambda hit: ~in_stem(hit, F.col("_stem"), k)
     )
+    # a generator, so that no filter makes the search run twice
+    hits = F.inline(F.filter(F.array(shared), lambda s: s.isNotNull()))
+    return spans.withColumn("_stem", stem_norm).select(*spans.columns, hits)
 
 
 def containing(left: DataFrame, right: DataFrame, k: int, left_id: str, text: str = "norm") -> DataFrame:

@@ -279,10 +279,11 @@ def grade_answers(spark, folder):
 
 @add("stream_scores", f"with {_SCORED}, {_TOTALS} select answer_id, total_score, {RATING} as rating from totals")
 def stream_scores(spark, folder):
-    """Documents arriving as files, each scored once."""
+    """Documents arriving as six files, two in a batch, each scored once."""
     base = work_dir(spark, "scores")
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    stream = spark.readStream.schema(schema).parquet(f"{folder}/document*.parquet")
+    documents = views.documents(spark, folder)
+    documents.repartition(6, "doc_id").write.parquet(f"{base}/in")
+    stream = jobs.arriving(spark, f"{base}/in", "doc_id bigint, text string, lang string, source string, n_chars bigint", 2)
     configs = views.configs(spark, folder)
 
     def score(batch):
@@ -306,11 +307,13 @@ def stream_scores(spark, folder):
     count(*) filter (rating = 'pass') as pass, count(*) filter (rating = 'fail') as fail from r group by 1""",
 )
 def stream_stats(spark, folder):
-    """Events as results that are scored again and again; statistics follow the latest of each answer."""
+    """Events in five files by time, a batch each, as results scored again and again; statistics follow the latest of each answer."""
     base = work_dir(spark, "stats")
     # event times are read as the given files store them, without a time zone
     schema = views.EVENTS.replace("ts timestamp", "ts timestamp_ntz")
-    stream = spark.readStream.schema(schema).parquet(f"{folder}/event*.parquet")
+    events = spark.read.schema(schema).parquet(f"{folder}/events.parquet")
+    events.repartitionByRange(5, "ts").write.parquet(f"{base}/in")
+    stream = jobs.arriving(spark, f"{base}/in", schema, 1)
     query = jobs.stream_stats(views.submissions(stream), f"{base}/out", f"{base}/checkpoint", ["ts", "event_id"])
     query.awaitTermination()
     out = jobs.read_stats(spark, f"{base}/out")

@@ -259,7 +259,8 @@ def _hits(left: str) -> str:
 
 def _references(spark, folder):
     items = views.table(spark, folder, "benchmark")
-    return items.select(F.col("item_id").alias("question_id"), F.split("text", "\\. ").alias("refs"))
+    refs = F.split("text", "\\. ")
+    return items.select(F.col("item_id").alias("question_id"), refs.alias("refs"), overlap.reference_grams(refs).alias("grams"))
 
 
 @add(
@@ -283,7 +284,7 @@ def leak_scan(spark, folder):
         .join(stems, "question_id")
         .withColumnRenamed("answer_text", "context")
     )
-    return overlap.leak_scan(rows).select("answer_id", "ref", "hit")
+    return overlap.leak_scan(rows, grams="grams").select("answer_id", "ref", "hit")
 
 
 @add(
@@ -297,7 +298,7 @@ def fp_attribution(spark, folder):
     """Whole documents as wrongly credited spans, against the sentences of the question's item."""
     rows = views.answers(spark, folder).join(_references(spark, folder), "question_id")
     spans = rows.withColumn("extracted_span", F.col("answer_text"))
-    return overlap.classify_fp(spans).select("answer_id", "category", "hit")
+    return overlap.classify_fp(spans, grams="grams").select("answer_id", "category", "hit")
 
 
 @add(

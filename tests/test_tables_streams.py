@@ -1,10 +1,12 @@
 """Analytics, table maintenance and the incremental jobs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from markbook import schemas
 from markbook.functions import fixed
 from markbook.operators import analytics, evaluate, tables
+from markbook.sources import shards
 from markbook.streaming import jobs
 
 RESULTS = "answer_id string, question_id string, class_name string, total_score double, max_score double, rating string"
@@ -128,3 +130,90 @@ def test_stream_stats_follow_the_latest_result(spark, tmp_path):
     _put(spark, src, [("a", "q1", 5.0, 5.0, "excellent", 9), ("b", "q1", 0.0, 5.0, "fail", 1)], "two")
     # a is replaced, the late older result of b is not taken
     assert run() == {"q1": (2, 5.0, 0), "q2": (1, 3.0, 0)}
+
+
+class _Stopped(RuntimeError):
+    pass
+
+
+def _stop_once(monkeypatch, name):
+    """Let the job fail once just before ``jobs.<name>`` says that a batch is done."""
+    real, calls = getattr(jobs, name), []
+
+    def finish(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise _Stopped
+        real(*args)
+
+    monkeypatch.setattr(jobs, name, finish)
+
+
+def test_stream_scores_stopped_between_write_and_commit(spark, tmp_path, monkeypatch):
+    src, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    schema = "answer_id string, answer_text string"
+    for i in range(4):
+        spark.createDataFrame([(f"a{i}", "x"), (f"b{i}", "y")], schema).coalesce(1).write.mode("append").parquet(src)
+    _stop_once(monkeypatch, "finish_scores")
+    scored = []
+
+    def score(batch):
+        scored.append(sorted(r.answer_id for r in batch.collect()))
+        return batch.withColumn("total_score", F.lit(1.0))
+
+    with pytest.raises(Exception):  # noqa: B017  the stream wraps what stopped it
+        jobs.stream_scores(jobs.arriving(spark, src, schema, 1), score, out, check).awaitTermination()
+    # the second batch is written, but does not count yet
+    assert jobs.read_scores(spark, out).count() == 2 and (tmp_path / "out" / "batch=1").exists()
+    jobs.stream_scores(jobs.arriving(spark, src, schema, 1), score, out, check).awaitTermination()
+    got = sorted(r.answer_id for r in jobs.read_scores(spark, out).collect())
+    assert got == sorted(f"{c}{i}" for c in "ab" for i in range(4))
+    assert len(scored) == 5 and scored[1] == scored[2]  # only the stopped batch was done twice
+
+
+def test_stream_stats_stopped_between_write_and_commit(spark, tmp_path, monkeypatch):
+    src, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    schema = "answer_id string, question_id string, total_score double, max_score double, rating string, seq int"
+    for i in range(3):
+        rows = [("a", "q1", 1.0 + i, 5.0, "pass", i), (f"n{i}", "q2", 2.0, 5.0, "fail", i)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    _stop_once(monkeypatch, "finish_stats")
+    run = lambda: jobs.stream_stats(jobs.arriving(spark, src, schema, 1), out, check, ["seq"]).awaitTermination()
+    with pytest.raises(Exception):  # noqa: B017
+        run()
+    half = {r["question_id"]: r["n"] for r in jobs.read_stats(spark, out).collect()}
+    assert half == {"q1": 1, "q2": 1}
+    run()
+    assert {r["question_id"]: (r["n"], r["avg_score"]) for r in jobs.read_stats(spark, out).collect()} == {"q1": (1, 3.0), "q2": (3, 2.0)}
+
+
+def test_stream_stats_do_not_grow_with_batches(spark, tmp_path):
+    out, check = (str(tmp_path / n) for n in ("out", "check"))
+    schema = "answer_id string, question_id string, total_score double, max_score double, rating string, seq int"
+    sizes = []
+    for i in range(8):
+        rows = [(f"a{k}", f"q{k % 3}", float(i), 9.0, "pass", i) for k in range(30)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.stream_stats(jobs.arriving(spark, str(tmp_path / "in"), schema), out, check, ["seq"]).awaitTermination()
+        sizes.append(sum(f.is_file() and f.suffix == ".parquet" for f in (tmp_path / "out").rglob("*")))
+    # every batch rescores the same answers: the same state, and what it took to write it is gone
+    assert sizes[2] == sizes[-1]
+    got = {r["question_id"]: (r["n"], r["avg_score"]) for r in jobs.read_stats(spark, out).collect()}
+    assert got == {f"q{k}": (10, 7.0) for k in range(3)}
+
+
+def test_upsert_rewrites_touched_shards_only(spark, tmp_path):
+    folder, schema = str(tmp_path / "t"), "k string, v int, at int"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    assert shards.upsert_shards(frame([(f"k{i}", i, 0) for i in range(200)]), folder, ["k"], shards=16) == 0
+    shards.upsert_shards(frame([("k1", 10, 1), ("k2", 20, 1)]), folder, ["k"], shards=16)
+    before = {f.name for f in (tmp_path / "t" / "rows").rglob("*.parquet")}
+    assert shards.upsert_shards(frame([("k7", -7, 3), ("k7", -8, 2), ("new", 1, 1), (None, 5, 1)]), folder, ["k"], ["at"], shards=16) == 2
+    want = {f"k{i}": i for i in range(200)} | {"k1": 10, "k2": 20, "k7": -7, "new": 1, None: 5}
+    got = shards.read_upserted(spark, folder, schema).collect()
+    assert {r.k: r.v for r in got} == want and len(got) == len(want)
+    kept = [f for f in (tmp_path / "t" / "rows").rglob("*.parquet") if f.name in before]
+    assert {f.parent.name for f in kept} == {f"shard={i}" for i in range(16)} and len(kept) >= 13  # first and second version
+    # doing the last batch again changes nothing
+    shards.upsert_shards(frame([("k7", -7, 3), ("new", 1, 1), (None, 5, 1)]), folder, ["k"], ["at"], shards=16, batch=2)
+    assert {r.k: r.v for r in shards.read_upserted(spark, folder, schema).collect()} == want

@@ -158,6 +158,38 @@ def test_long_texts_with_many_characters_stay_cheap(spark):
     assert time.perf_counter() - start < 10
 
 
+def test_a_leak_in_a_long_text_is_found_fast(spark):
+    import time
+
+    from markbook.operators import overlap
+
+    noise = "".join(chr(0x4E00 + i * i % 997) for i in range(20_000))
+    copied = "".join(chr(0x5E00 + i) for i in range(400))
+    rows = [(noise[:9000] + copied + noise[9000:], ["nothing of it", copied + "more", noise[:5]])]
+    one = spark.createDataFrame(rows, "t string, refs array<string>").cache()
+    shared = overlap.first_shared(F.col("t"), F.col("refs"), overlap.reference_grams(F.col("refs")), 8)
+    one.select(shared.alias("s")).first()
+    for n in (1, 41):  # the difference is forty texts, without what a job costs
+        many = one.crossJoin(spark.range(0, n, 1, 1)).select(F.length(shared["hit"]).alias("n"))
+        start = time.perf_counter()
+        assert many.agg(F.min("n")).first()[0] == 400
+        spent = time.perf_counter() - start
+        first = spent if n == 1 else first
+    assert (spent - first) / 40 < 0.1
+
+
+def test_longest_common_with_shared_grams(spark):
+    rng = random.Random(14)
+    cases = [("".join(rng.choices("abc", k=rng.randint(0, 40))), "".join(rng.choices("abc", k=rng.randint(0, 25)))) for _ in range(300)]
+    t, r = F.col("t"), F.col("r")
+    shared = text.shared_grams(t, text.kgrams(r, 3, piece=4), 3, block=7)
+    df = _rows(spark, cases, "t string, r string")
+    got = df.select(t, r, text.longest_common(t, r, 3).alias("want"), text.longest_common(t, r, 3, shared).alias("hit"), shared.alias("s")).collect()
+    for row in got:
+        assert row.hit == row.want
+        assert set(row.s) == {row.t[i : i + 3] for i in range(len(row.t) - 2)} & {row.r[i : i + 3] for i in range(len(row.r) - 2)}
+
+
 def test_longest_common_like_brute_force(spark):
     import random
 
