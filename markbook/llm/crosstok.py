@@ -15,8 +15,8 @@ from markbook.llm.common import joined_back, settled, text_of, worker_memory
 BYTES_A, PIECES_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: an id pair is one number, id of A times this plus id of B
 RADIX = 1 << 20
-#: stretches of text whose alignment a Python worker remembers, twice so many at most
-REMEMBERED = 150_000
+#: stretches of text whose ids a Python worker remembers, twice so many at most, and the longest of them in characters
+REMEMBERED, LONGEST = 250_000, 48
 #: numbers of linked pairs that a task holds before it passes on what it counted
 HELD_PAIRS = 4_000_000
 #: pairs that are sent to every task (24 bytes each), those with the highest counts; rarer ones are joined
@@ -25,22 +25,12 @@ SENT_PAIRS = 1 << 21
 LISTED = 4_096
 
 
-class Aligned:
-    """What one stretch of text gives: counts, groups as text, and linked pairs, each as bytes that may be joined."""
-
-    __slots__ = ("counts", "groups", "pairs", "times")
-
-    def __init__(self, counts: bytes, groups: bytes, pairs: bytes, times: bytes | None) -> None:
-        self.counts, self.groups, self.pairs, self.times = counts, groups, pairs, times
-
-
 class Aligner:
-    """Aligns texts by the two tokenizers, remembering stretches between single spaces.
+    """Aligns texts by the two tokenizers.
 
     Neither tokenizer joins anything across a single space that stands between two characters that are no white space: A splits
     there before it merges, and B has no piece with a space mark after another character. So the tokens of a text are those of
-    its stretches in turn, both end where a stretch ends, and a stretch seen before needs no tokenizer. A stretch that B does not
-    give back byte for byte sends the whole text through both tokenizers.
+    its stretches between such spaces, one after another, and the ids of a stretch seen before are remembered.
     """
 
     def __init__(self, path_a: str | None = None, path_b: str | None = None) -> None:
@@ -54,79 +44,98 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b or public_tokenizers.path(PIECES_B))
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
+        self.odd = re.compile(r" \s|[^\S ] |^\s|\s\Z").search  # else every space stands between two such characters
+        self.fresh: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.older: dict[str, tuple[bytes, bytes, bool]] = {}
         # the byte spelling of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         spelled = {chr(c): b for b, c in [*zip(printable, printable, strict=True), *((b, 256 + i) for i, b in enumerate(others))]}
-        self.bytes_a = {i: bytes(spelled[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.bytes_a[self.a.token_to_id("<|endoftext|>")] = b"<|endoftext|>"
+        words = self.a.get_vocab(with_added_tokens=True)
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        self.bytes_a = [b""] * (max(words.values()) + 1)
+        for word, i in words.items():
+            self.bytes_a[i] = word.encode() if word in special else bytes(spelled[c] for c in word)
         pieces = range(self.b.get_piece_size())
         self.bytes_b = [
             bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
             for i in pieces
         ]
-        self.fresh: dict[str, Aligned | None] = {}
-        self.older: dict[str, Aligned | None] = {}
+        self.sizes_a, self.sizes_b = (np.array([len(t) for t in of], np.int64) for of in (self.bytes_a, self.bytes_b))
+        # each id as text: inside its side of a group, and as the last of it
+        self.texts = [b"%d%s" % (i, end) for i in range(len(self.bytes_a)) for end in (b",", b"|")]
+        self.texts += [b"%d%s" % (i, end) for i in range(len(self.bytes_b)) for end in (b",", b";")]
 
-    def whole(self, text: str) -> Aligned | None:
-        """The alignment of " " + text; None if a tokenizer does not give its bytes back."""
+    def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
+        """(ids of " " + text by A, of text by B, which sets the space itself, whether both give the bytes back)."""
         ids_a, ids_b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text, num_threads=1)
-        of_a, of_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
         raw = b" " + text.encode()
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
-            return None
-        ends_a, ends_b = np.cumsum([len(t) for t in of_a]), np.cumsum([len(t) for t in of_b])
-        both = np.intersect1d(ends_a, ends_b)
-        # tokens of no bytes would end where the one before ends; neither vocabulary has any
-        to_a, to_b = np.searchsorted(ends_a, both, "right"), np.searchsorted(ends_b, both, "right")
-        groups, pairs, times, from_a, from_b = [], [], [], 0, 0
-        for i, j in zip(to_a.tolist(), to_b.tolist(), strict=True):
-            a, b = ids_a[from_a:i], ids_b[from_b:j]
-            groups.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
-            if len(a) * len(b) <= LISTED:
-                pairs += [x * RADIX + y for x in a for y in b]
-                times += [1] * (len(a) * len(b))
-            else:
-                (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-                pairs += (x[:, None] * RADIX + y).ravel().tolist()
-                times += (n[:, None] * m).ravel().tolist()
-            from_a, from_b = i, j
-        counts = np.array([len(ids_a), len(ids_b), len(groups), sum(times)], "<i8").tobytes()
-        many = None if max(times) == 1 else np.array(times, "<i8").tobytes()
-        return Aligned(counts, ";".join(groups).encode(), np.array(pairs, "<i8").tobytes(), many)
-
-    def stretch(self, text: str) -> Aligned | None:
-        found = self.fresh.get(text, self)
-        if found is self:
-            found = self.older.get(text, self)
-            if found is self:
-                found = self.whole(text)
-            if len(text) <= 64:
-                if len(self.fresh) >= REMEMBERED:
-                    self.older, self.fresh = self.fresh, {}
-                self.fresh[text] = found
+        same = b"".join([self.bytes_a[i] for i in ids_a]) == raw == b"".join([self.bytes_b[i] for i in ids_b])
+        return np.array(ids_a, np.int32), np.array(ids_b, np.int32), same
+
+    def learn(self, stretches: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
+        """The ids of stretches that are not among the fresh ones: remembered, or of all others in one go."""
+        found = {s: self.older[s] for s in stretches if s in self.older}
+        new = [s for s in dict.fromkeys(stretches) if s not in found]
+        plain = [s for s in new if not s[:1].isspace() and not s[-1:].isspace() and s]
+        a, b, same = self.encoded(" ".join(plain)) if plain else (None, None, False)
+        if same:
+            ends = np.cumsum([len(s.encode()) + 1 for s in plain])
+            to_a = (np.searchsorted(self.sizes_a[a].cumsum(), ends) + 1).tolist()
+            to_b = (np.searchsorted(self.sizes_b[b].cumsum(), ends) + 1).tolist()
+            raw_a, raw_b = a.tobytes(), b.tobytes()
+            for s, i, k, j, m in zip(plain, [0, *to_a], to_a, [0, *to_b], to_b, strict=False):
+                found[s] = raw_a[4 * i : 4 * k], raw_b[4 * j : 4 * m], True
+        for s in new:
+            if s not in found:
+                a, b, same = self.encoded(s)
+                found[s] = a.tobytes(), b.tobytes(), same
+        if len(self.fresh) >= REMEMBERED:
+            self.older, self.fresh = self.fresh, {}
+        self.fresh.update((s, ids) for s, ids in found.items() if len(s) <= LONGEST)
         return found
 
-    def __call__(self, text: str) -> tuple[list[int], bytes, np.ndarray, np.ndarray] | None:
-        """([n_a, n_b, n_groups, n_links], groups as text, linked pairs, how often each); None: no tokens."""
-        if not text:
-            return None
-        parts = [self.stretch(s) for s in self.cut(text)]
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
+        stretches = self.cut(text) if self.odd(text) else text.split(" ")
+        parts = [*map(self.fresh.get, stretches)]
         if None in parts:
-            parts = [self.whole(text)]
-            if None in parts:
-                return None
-        counts = np.frombuffer(b"".join([p.counts for p in parts]), "<i8").reshape(-1, 4).sum(0).tolist()
-        pairs = np.frombuffer(b"".join([p.pairs for p in parts]), "<i8")
-        groups = b";".join([p.groups for p in parts])
-        if any([p.times for p in parts]):
-            times = np.frombuffer(b"".join([p.times or ONE * (len(p.pairs) // 8) for p in parts]), "<i8")
-            pairs, at = np.unique(pairs, return_inverse=True)
-            return counts, groups, pairs, np.bincount(at, times, len(pairs)).astype(np.int64)
-        return counts, groups, *np.unique(pairs, return_counts=True)
-
+            found = self.learn([s for s, p in zip(stretches, parts, strict=True) if p is None])
+            parts = [p or found[s] for s, p in zip(stretches, parts, strict=True)]
+        of_a, of_b, same = zip(*parts, strict=True)
+        return np.frombuffer(b"".join(of_a), np.int32).astype(np.int64), np.frombuffer(b"".join(of_b), np.int32).astype(np.int64), all(same)
 
-ONE = (1).to_bytes(8, "little")
+    def __call__(self, text: str) -> tuple[tuple[int, ...], str, np.ndarray, np.ndarray] | None:
+        """((n_a, n_b, n_groups, n_links), digest of the groups, linked pairs, how often each); None: no tokens."""
+        if not text:
+            return None
+        a, b, same = self.tokens(text)
+        if not same:
+            return None
+        ends_a, ends_b = self.sizes_a[a].cumsum(), self.sizes_b[b].cumsum()
+        # a token is the last of a group where a token of the other side ends as well; both sides end with the text
+        last_a = ends_b[np.searchsorted(ends_b, ends_a)] == ends_a
+        last_b = ends_a[np.searchsorted(ends_a, ends_b)] == ends_b
+        group_a, group_b = last_a.cumsum() - last_a, last_b.cumsum() - last_b
+        in_a, in_b = np.bincount(group_a), np.bincount(group_b)
+        links = in_a * in_b
+
+        # every token of A with those of B in its group; very long groups by distinct ids
+        many = np.where(links <= LISTED, in_b, 0)[group_a]
+        first = (in_b.cumsum() - in_b)[group_a]
+        place = np.arange(many.sum()) - np.repeat(many.cumsum() - many, many) + np.repeat(first, many)
+        pairs, times = np.unique(np.repeat(a, many) * RADIX + b[place], return_counts=True)
+        long = [(pairs, times)]
+        for g in np.flatnonzero(links > LISTED):
+            (p, n), (q, m) = np.unique(a[group_a == g], return_counts=True), np.unique(b[group_b == g], return_counts=True)
+            long.append(((p[:, None] * RADIX + q).ravel(), (n[:, None] * m).ravel()))
+        if len(long) > 1:
+            pairs, at = np.unique(np.concatenate([p for p, _ in long]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([t for _, t in long]), len(pairs)).astype(np.int64)
+
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        written = np.concatenate((2 * a + last_a, 2 * (len(self.bytes_a) + b) + last_b))[order]
+        groups = b"".join([self.texts[i] for i in written.tolist()])[:-1]
+        return (len(a), len(b), len(in_a), int(links.sum())), hashlib.sha256(groups).hexdigest(), pairs, times
 
 
 def aligner(path_a: str | None, path_b: str | None) -> Aligner:
@@ -160,7 +169,7 @@ def aligned_texts(texts: DataFrame, path_a: str | None = None, path_b: str | Non
                     continue
                 counts, groups, pairs, times = found
                 packed = pairs.astype("<i8").tobytes(), times.astype("<i4").tobytes()
-                rows.append((key, copies, *counts, hashlib.sha256(groups).hexdigest(), *packed))
+                rows.append((key, copies, *counts, groups, *packed))
                 size += len(packed[0]) + len(packed[1])
                 if size > 8_000_000:
                     yield flushed()
