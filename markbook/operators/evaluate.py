@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from markbook.functions import fixed
 from markbook.functions.scores import half_even, pearson
 from markbook.functions.text import char_f1, exact_match
-from markbook.operators.ranking import running_totals, value_rank
+from markbook.operators.ranking import hash_rank, running_totals
 
 
 def decode_spans(
@@ -291,19 +291,26 @@ def disagreements(aligned: DataFrame, carry: Sequence[str]) -> DataFrame:
 def systematic_sample(
     df: DataFrame, by: str, n: int, keys: Sequence[str], seed: int = 42, cuts: Sequence[float] | None = None
 ) -> DataFrame:
-    """``n`` rows evenly spread over the order of ``by``: places floor(i * total / n)."""
-    ranked = value_rank(df, by, keys, seed, cuts=cuts)
-    place = F.col("rank") - 1
-    # place p is taken when some i has floor(i * total / n) = p, that is i = ceil(p * n / total)
-    i = F.ceil(place * F.lit(n) / F.col("total"))
-    taken = (i < n) & (F.floor(i * F.col("total") / F.lit(n)) == place)
-    return ranked.where(taken | (F.col("total") <= n)).drop("rank", "total")
+    """``n`` rows evenly spread over the order of ``by``: places floor(i * total / n); rows of one value in seeded order of ``keys``.
+
+    Counts per value, added up, tell in which values the places lie: at most ``n``. Only rows of these values are ranked.
+    """
+    counted = df.groupBy(by).agg(F.count(F.lit(1)).alias("_c"))
+    runs = running_totals(counted, by, ["_c"], cuts=cuts)
+    before, total = F.col("_c_upto") - F.col("_c"), F.col("_c_all")
+    # the i with before <= floor(i * total / n) < upto, if places are fewer than rows
+    some = F.sequence(F.ceil(before * F.lit(n) / total), F.ceil(F.col("_c_upto") * F.lit(n) / total) - 1)
+    places = F.transform(some, lambda i: F.floor(i * total / F.lit(n)) - before + 1)
+    has_some = F.ceil(before * F.lit(n) / total) < F.ceil(F.col("_c_upto") * F.lit(n) / total)
+    taken = F.when(total <= n, F.sequence(F.lit(1).cast("bigint"), F.col("_c"))).when(has_some, places)
+    wanted = F.broadcast(runs.select(F.struct(by).alias("_v"), taken.alias("_taken")).where(F.col("_taken").isNotNull()))
+    rows = df.withColumn("_v", F.struct(by)).join(wanted, "_v")
+    ranked = hash_rank(rows, keys, seed, [by], rank="_rank", total="_of")
+    return ranked.where(F.array_contains("_taken", F.col("_rank"))).select(*df.columns)
 
 
 def stride_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """At most ``n`` distinct key combinations, every step-th in seeded order."""
-    from markbook.operators.ranking import hash_rank
-
     ranked = hash_rank(df.select(*keys).distinct(), keys, seed)
     step = F.greatest(F.lit(1), F.floor(F.col("total") / F.lit(n)))
     place = F.col("rank") - 1

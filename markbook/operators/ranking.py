@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-MIN_RANGES, MAX_RANGES = 64, 4096
-STEP = 64
+MIN_RANGES = 64
+#: values drawn for each cut between two ranges
+DRAWN = 8
+#: a search halves the cuts so often: enough for a million ranges
+HALVINGS = 20
 
 
 def _partitions(df: DataFrame) -> int:
@@ -33,7 +36,7 @@ def hash_digits(df: DataFrame) -> int:
 
 
 def value_ranges(df: DataFrame) -> int:
-    return min(MAX_RANGES, max(MIN_RANGES, 2 * _partitions(df)))
+    return max(MIN_RANGES, 2 * _partitions(df))
 
 
 def seeded(seed: int | str, *keys: Column) -> Column:
@@ -87,32 +90,32 @@ def _key(group: Sequence[str]) -> Column:
     return F.struct(*group) if group else F.struct(F.lit(0).alias("all"))
 
 
-def split_points(df: DataFrame, column: str, ranges: int | None = None) -> list[float]:
-    """At most ``ranges`` cut values for a numeric column, read once. They affect balance, not results."""
-    ranges = ranges or value_ranges(df)
-    wanted = [i / ranges for i in range(1, ranges)]
-    found = df.select(F.col(column).cast("double").alias(column)).approxQuantile(column, wanted, 0.25 / ranges)
-    return sorted({float(v) for v in found})
+def split_points(df: DataFrame, column: str, ranges: int | None = None) -> Column:
+    """At most ``ranges`` - 1 cut values of a column of different numbers, in order. They affect balance, not results.
 
+    A subquery of the plan that uses it, so nothing runs before that. The values with the smallest hashes are a sample that is
+    the same in every run; every DRAWN-th of them is a cut. Only these few leave a task.
+    """
+    ranges = ranges or value_ranges(df)
+    value = F.col(column).cast("double")
+    drawn = df.where(value.isNotNull()).select(value.alias("v")).orderBy(F.xxhash64("v"), "v").limit(DRAWN * ranges)
+    every = F.filter(F.sort_array(F.collect_list("v")), lambda _, i: i % DRAWN == DRAWN - 1)
+    return drawn.agg(every.alias("cuts")).scalar()
 
-def range_of(value: Column, cuts: Sequence[float]) -> Column:
-    """How many of the sorted cuts lie below the value: first among every 64th cut, then among its 64."""
-    if not cuts:
-        return F.lit(0)
-    blocks = [list(cuts[i : i + STEP]) for i in range(0, len(cuts), STEP)]
 
-    def literal(values: Sequence[float]) -> Column:
-        return F.array(*[F.lit(float(v)) for v in values])
+def range_of(value: Column, cuts: Column | Sequence[float]) -> Column:
+    """How many of the sorted cuts lie below the value, by halving."""
+    if not isinstance(cuts, Column):
+        cuts = F.array(*[F.lit(float(v)) for v in cuts]) if cuts else F.array().cast("array<double>")
 
-    def below(values: Column) -> Column:
-        return F.size(F.filter(values, lambda c: c < value))
+    def narrower(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.coalesce(F.get(s["cuts"], middle) < s["value"], F.lit(False)) & (s["lo"] < s["hi"])
+        lo, hi = F.when(below, middle + 1).otherwise(s["lo"]), F.when(below, s["hi"]).otherwise(F.least(middle, s["hi"]))
+        return F.struct(lo.alias("lo"), hi.alias("hi"), s["value"].alias("value"), s["cuts"].alias("cuts"))
 
-    if len(blocks) == 1:
-        return below(literal(blocks[0]))
-    # the block is the last one whose first cut lies below the value
-    block = F.greatest(below(literal([b[0] for b in blocks])) - 1, F.lit(0))
-    inside = F.get(F.array(*[literal(b) for b in blocks]), block)
-    return block * STEP + below(inside)
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"), value.cast("double").alias("value"), cuts.alias("cuts"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, narrower, lambda s: s["lo"])
 
 
 def running_totals(
@@ -126,9 +129,11 @@ def running_totals(
 
     ``df`` holds one row per (group, order) pair.
     """
-    if cuts is None:
-        cuts = split_points(df, order)
-    ranged = df.withColumns({"_g": _key(group), "_r": range_of(F.col(order).cast("double"), sorted(cuts))})
+    cuts = split_points(df.select(order).distinct() if group else df, order) if cuts is None else sorted(cuts)
+    # a subquery may not stand inside a function over arrays
+    with_cuts = df.withColumn("_cuts", cuts) if isinstance(cuts, Column) else df
+    placed = range_of(F.col(order), F.col("_cuts") if isinstance(cuts, Column) else cuts)
+    ranged = with_cuts.withColumns({"_g": _key(group), "_r": placed}).select(*df.columns, "_g", "_r")
     parts = ranged.groupBy("_g", "_r").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     earlier = W.partitionBy("_g").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
     bases = parts.select(

@@ -6,7 +6,7 @@ import importlib
 
 from markbook.plans.registry import Query
 
-_MODULES = ("report_queries", "scoring_queries", "text_queries", "label_queries", "builder_queries", "evaluation_queries", "source_queries")
+_MODULES = ("report_queries", "scoring_queries", "text_queries", "label_queries", "builder_queries", "evaluation_queries", "source_queries", "adapter_queries")
 
 
 def _registries():

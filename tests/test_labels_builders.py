@@ -1,6 +1,7 @@
 """Labels, builders and evaluation on small cases and against plain Python."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -300,6 +301,38 @@ def test_ranges_in_two_steps(spark):
     assert all(r["r"] == sum(c < r["v"] for c in cuts) for r in df.collect())
 
 
+def test_value_orders_run_nothing_while_they_are_planned(spark):
+    df = spark.range(20_000).select(F.col("id").alias("k"), F.xxhash64("id").cast("double").alias("v"), (F.col("id") % 2 == 0).alias("g"))
+    spark.sparkContext.setJobGroup("planning", "planning")
+    planned = [
+        evaluate.auc(df, "v", "g", 0.0), evaluate.tune_threshold(df, "v", "g"), evaluate.systematic_sample(df, "v", 9, ["k"]),
+        ranking.order_statistics(df, "v", [0.5, 0.99]), ranking.value_rank(df, "v", ["k"], 1),
+    ]
+    spark.sparkContext.setJobGroup("running", "running")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    values = sorted(r.v for r in df.collect())
+    assert {r.q: r.value for r in planned[3].collect()} == {0.5: values[10_000], 0.99: values[19_800]}
+    want = [values[i * 20_000 // 9] for i in range(9)]
+    assert sorted(r.v for r in planned[2].collect()) == want
+
+
+def test_many_ranges(spark):
+    df = spark.range(60_000).select(F.xxhash64("id").cast("double").alias("v"))
+    cuts = ranking.split_points(df, "v", 6000)
+    found = df.withColumn("c", cuts).select(ranking.range_of(F.col("v"), F.col("c")).alias("r")).groupBy("r").count().collect()
+    assert len(found) > 5500 and max(r["count"] for r in found) < 60
+
+
+def test_systematic_sample_exchanges(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = evaluate.systematic_sample(df, "v", 9, ["k"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(re.findall(r"(?m)^[\s:+*()\d-]*Exchange ", plan)) <= 10  # nodes of their own, not those used again
+
+
 def test_rank_only_as_far_as_wanted(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     whole = {r["k"] for r in ranking.hash_rank(df, ["k"], 1).where("rank <= 7").collect()}
