@@ -83,8 +83,9 @@ def align_spans(
     native = df.withColumn("_native", align_native(text, F.col(span)))
     still_open = F.col("_native").isNull() & (strip_space(F.coalesce(F.col(span), F.lit(""))) != "")
     block = _block_function(min_coverage)
-    # only the rows that nothing else could place go to Python
-    tried = native.where(still_open).withColumn("_block", block(norm_align(text), norm_align(strip_space(F.col(span)))))
+    # one pass: only texts of rows that nothing else could place go to Python, the others are null there
+    asked = F.when(still_open, norm_align(text)), F.when(still_open, norm_align(strip_space(F.col(span))))
+    tried = native.withColumn("_block", block(*asked))
     by_block = let(
         kept_positions(text, fixed.align_drop()),
         lambda places: _align(
@@ -94,8 +95,8 @@ def align_spans(
             "lcs",
         ),
     )
-    placed = tried.withColumn(out, F.when(F.col("_block.at").isNotNull(), by_block)).drop("_native", "_block")
-    return native.where(~still_open).withColumnRenamed("_native", out).unionByName(placed)
+    placed = F.coalesce("_native", F.when(F.col("_block.at").isNotNull(), by_block))
+    return tried.withColumn(out, placed).drop("_native", "_block")
 
 
 def align_report(df: DataFrame, hit: str = "hit", align: str = "align") -> DataFrame:
