@@ -55,34 +55,37 @@ def point_hits(details: DataFrame) -> DataFrame:
 
 
 def admin_stats(questions: DataFrame, answers: DataFrame, results: DataFrame) -> DataFrame:
-    """Dashboard figures as (section, name, value): questions by status, answers, score averages, ratings, buckets."""
+    """Dashboard figures as (section, name, value): questions by status, answers, score averages, ratings, buckets.
 
-    def section(df: DataFrame, name: str, label: Column, value: Column) -> DataFrame:
-        return df.select(F.lit(name).alias("section"), label.alias("name"), value.cast("double").alias("value"))
+    Each row adds to the figures it belongs to, and all figures are one grouping: every table is read once.
+    """
 
-    by_status = questions.groupBy("config_status").agg(F.count(F.lit(1)).alias("n"))
-    totals = results.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.avg("total_score"), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.avg("max_score"), F.lit(0.0)).alias("mean_max"),
+    def figure(section: str, name: Column | str, n: int = 1, x: Column | None = None) -> Column:
+        label = F.lit(name) if isinstance(name, str) else name
+        value = F.lit(None) if x is None else x
+        return F.struct(
+            F.lit(section).alias("section"), label.cast("string").alias("name"),
+            F.lit(n).cast("bigint").alias("n"), value.cast("double").alias("x"),
+        )
+
+    bucket = bucket_label(ratio_bucket(ratio(F.col("total_score"), F.col("max_score"))))
+    averages = [("average", F.col("total_score")), ("max_score_average", F.col("max_score"))]
+    of_result = [figure("scores", "total"), *[figure("scores", k, 0, x) for k, x in averages], figure("rating", F.col("rating"))]
+    placed = F.array_compact(F.array(*of_result, F.when(bucket.isNotNull(), figure("distribution", bucket))))
+    of_question = F.array(figure("questions", "total"), figure("questions", F.col("config_status")))
+    always = [("questions", "total"), ("answers", "total"), ("scores", "total"), *[("scores", k) for k, _ in averages]]
+    always += [("distribution", label) for label in fixed.BUCKET_LABELS]
+    empty = results.sparkSession.createDataFrame([(*k, 0, None) for k in always], "section string, name string, n bigint, x double")
+    every = (
+        questions.select(F.inline(of_question))
+        .unionByName(answers.select(F.inline(F.array(figure("answers", "total")))))
+        .unionByName(results.select(F.inline(placed)))
+        .unionByName(empty)
     )
-    figures = F.array(
-        *[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")) for k, c in
-          (("total", "n"), ("average", "mean"), ("max_score_average", "mean_max"))]
-    )
-    scores = totals.select(F.inline(figures))
-    parts = [
-        section(questions.agg(F.count(F.lit(1)).alias("n")), "questions", F.lit("total"), F.col("n")),
-        section(by_status, "questions", F.col("config_status"), F.col("n")),
-        section(answers.agg(F.count(F.lit(1)).alias("n")), "answers", F.lit("total"), F.col("n")),
-        section(scores, "scores", F.col("k"), F.col("v")),
-        section(rating_counts(results), "rating", F.col("rating"), F.col("n")),
-        section(score_buckets(results), "distribution", F.col("label"), F.col("n")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    is_average = (F.col("section") == "scores") & F.col("name").isin([k for k, _ in averages])
+    value = F.when(is_average, F.coalesce("_avg", F.lit(0.0))).otherwise(F.col("_n").cast("double"))
+    sums = every.groupBy("section", "name").agg(F.sum("n").alias("_n"), F.avg("x").alias("_avg"))
+    return sums.select("section", "name", value.alias("value"))
 
 
 def question_summary(results: DataFrame, class_name: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from markbook.functions import fixed
@@ -77,8 +78,8 @@ def normalize_labels(raw: DataFrame, samples: DataFrame, points: DataFrame) -> D
     return joined.withColumn("label", F.coalesce("label", missing)).select("sample_id", "point_id", *kept, "label.*")
 
 
-def count_votes(votes: DataFrame) -> DataFrame:
-    """Votes per (sample, point, hit, hit_type) with the first round and the surest vote of each.
+def count_votes(votes: DataFrame, *more: Column) -> DataFrame:
+    """Votes per (sample, point, hit, hit_type) with the first round and the surest vote of each, and ``more`` aggregates.
 
     ``votes``: sample_id, point_id, round, hit, hit_type, extracted_span, confidence, partial_credit.
     """
@@ -90,6 +91,7 @@ def count_votes(votes: DataFrame) -> DataFrame:
         F.min("round").alias("first_round"),
         F.sum("confidence").alias("confidence_sum"),
         surest.alias("surest"),
+        *more,
     )
 
 
@@ -99,7 +101,7 @@ def majority_vote(votes: DataFrame, rounds: int | None = None) -> DataFrame:
     The most frequent (hit, hit_type) wins when it holds more than half of all rounds of the sample, else
     the first round's does. Adds ``agreement`` (share of the most frequent) and ``flipped``.
     """
-    counted = count_votes(votes)
+    counted = count_votes(votes, F.collect_set("round").alias("rounds_seen"))
     group = F.struct("hit", "hit_type", "surest")
     per_point = counted.groupBy("sample_id", "point_id").agg(
         F.max_by(group, F.struct(F.col("votes"), -F.col("first_round"))).alias("top"),
@@ -107,15 +109,15 @@ def majority_vote(votes: DataFrame, rounds: int | None = None) -> DataFrame:
         F.min_by(group, "first_round").alias("base"),
         F.min("first_round").alias("first_round"),
         (F.sum("confidence_sum") / F.sum("votes")).alias("mean_confidence"),
+        F.array_distinct(F.flatten(F.collect_list("rounds_seen"))).alias("rounds_seen"),
     )
-    per_point = per_point.where(F.col("first_round") == 0)
     if rounds is None:
-        held = votes.select("sample_id", "round").distinct().groupBy("sample_id").agg(
-            F.count(F.lit(1)).alias("rounds")
-        )
-        per_point = per_point.join(held, "sample_id")
+        # a point has few rounds and a sample few points, so this needs no second look at the votes
+        of_sample = F.flatten(F.collect_list("rounds_seen").over(W.partitionBy("sample_id")))
+        per_point = per_point.withColumn("rounds", F.size(F.array_distinct(of_sample)).cast("bigint"))
     else:
         per_point = per_point.withColumn("rounds", F.lit(rounds).cast("bigint"))
+    per_point = per_point.where(F.col("first_round") == 0)
     decided = F.col("top_votes") * 2 > F.col("rounds")
     chosen = per_point.withColumn("c", F.when(decided, F.col("top")).otherwise(F.col("base")))
     changed = (F.col("c.hit") != F.col("base.hit")) | (F.col("c.hit_type") != F.col("base.hit_type"))
