@@ -14,6 +14,8 @@ from markbook.llm.common import bits_table, buckets_for, drop_ids, maybe_in, set
 THRESHOLD = 0.3
 #: words that are sent to every task, those with most contexts; a larger model is joined for the others
 SENT_WORDS = 1 << 22
+#: labels that are sent to every task (13 bytes each); more of them are joined, which shuffles the texts of labelled documents
+SENT_LABELS = 1 << 23
 #: tokens a task holds before it passes on which pairs of words it saw
 HELD_TOKENS = 1 << 17
 #: contexts taken from each count and given to the backoff distribution: that of these which fits the labels best
@@ -217,15 +219,36 @@ def _remainder(column: str):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 4
 
 
-def _labelled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Columns of ``chosen`` and the text of each document in it. Texts without a label are not shuffled."""
-    buckets = buckets_for(chosen.count(), 1 << 26)
-    bits = settled(bits_table(chosen, "doc_id", buckets), "toxicity-bits")
+def _labelled(docs: DataFrame, chosen: DataFrame, sent: int) -> DataFrame:
+    """(doc_id, text, toxic, sampled): the rows of ``docs`` that ``chosen`` (doc_id, toxic, sampled; settled, one row an id) has.
+
+    Up to ``sent`` labels go to the tasks, so no text is shuffled. Of a larger table a bounded bit table goes there; texts that it
+    does not know pass, the others are joined.
+    """
     rows = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text"))
-    return maybe_in(rows, F.col("doc_id"), bits, buckets).where("_maybe").drop("_maybe").join(chosen, "doc_id")
+    count = chosen.count()
+    if count > sent:
+        buckets = buckets_for(count, 1 << 26)
+        bits = settled(bits_table(chosen, "doc_id", buckets), "toxicity-bits")
+        return maybe_in(rows, F.col("doc_id"), bits, buckets).where("_maybe").drop("_maybe").join(chosen, "doc_id")
+    table = chosen.select("doc_id", "toxic", "sampled").toArrow().sort_by("doc_id")
+    known = docs.sparkSession.sparkContext.broadcast([table.column(c).to_numpy() for c in ("doc_id", "toxic", "sampled")])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, toxic, sampled = known.value
+        for batch in batches:
+            asked = batch.column(0).fill_null(0).to_numpy()
+            at = np.minimum(np.searchsorted(ids, asked), max(len(ids) - 1, 0))
+            there = batch.column(0).is_valid().to_numpy(zero_copy_only=False) & (ids[at] == asked if len(ids) else False)
+            arrays = [*batch.filter(pa.array(there)).columns, pa.array(toxic[at[there]]), pa.array(sampled[at[there]])]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "toxic", "sampled"])
+
+    return rows.mapInArrow(pick, "doc_id long, text string, toxic int, sampled int")
 
 
-def scored(docs: DataFrame, labels: DataFrame, sent: int = SENT_WORDS, calibration: int = CALIBRATION_ROWS) -> DataFrame:
+def scored(
+    docs: DataFrame, labels: DataFrame, sent: int = SENT_WORDS, calibration: int = CALIBRATION_ROWS, sent_labels: int = SENT_LABELS
+) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= THRESHOLD).
 
     labels: doc_id, toxic. Only labels of documents whose crc32(doc_id) leaves another remainder than 2 by 4 are used: the
@@ -242,14 +265,14 @@ def scored(docs: DataFrame, labels: DataFrame, sent: int = SENT_WORDS, calibrati
     sample = settled(sample, "toxicity-sample")
     chosen = usable.join(sample, "doc_id", "left").select("doc_id", "toxic", F.coalesce("sampled", F.lit(0)).alias("sampled"))
     chosen = settled(chosen, "toxicity-chosen")
-    words = settled(counted(_labelled(docs, chosen)), "toxicity-words")
+    words = settled(counted(_labelled(docs, chosen, sent_labels)), "toxicity-words")
     model = settled(rated(words), "toxicity-model")
     trials = range(len(DISCOUNTS))
 
     def tried(values: np.ndarray) -> list[float]:
         return np.concatenate([features(values[:, i]) for i in trials]).tolist()
 
-    asked = _labelled(docs, chosen.where("sampled = 1"))
+    asked = _labelled(docs, chosen.where("sampled = 1"), sent_labels)
     fitted = with_ratios(asked, model, [f"r{i}" for i in trials], tried, sent).orderBy("doc_id", "x").collect()
     rows = np.array([r["x"] for r in fitted]).reshape(-1, len(DISCOUNTS), FEATURES)
     toxic = np.array([r["toxic"] for r in fitted], float)

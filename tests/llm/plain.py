@@ -166,3 +166,26 @@ def whitened(rows, components=16, weigh=lambda copies: 1):
         deviation = sum((n * a - s) ** 2 for a, s in zip(v, sums))
         found[i] = (deviation, (np.array(v, float) - mean) @ axes / np.sqrt(np.maximum(values, 1e-300)))
     return n, found, values / trace
+
+
+def context_ratios(rows, discount):
+    """{word: log P(word | toxic) - log P(word | ordinary)} of [(text, toxic)]: Kneser-Ney counts of contexts with one backoff."""
+    from math import log
+
+    split = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", lowered(t).encode())
+    seen = [{}, {}]
+    for text, toxic in rows:
+        words = split(text)
+        for left, word in zip([None, *words], words):
+            seen[toxic].setdefault(word, set()).add(left)
+    every = {w: seen[0].get(w, set()) | seen[1].get(w, set()) for w in {*seen[0], *seen[1]}}
+    total = [sum(len(c) for c in of.values()) for of in seen]
+    kept = [sum(max(len(c) - discount, 0) for c in of.values()) / max(n, 1) for of, n in zip(seen, total)]
+    backoff = min(1.0, max(1 - k for k in kept))
+    mass = sum(len(c) for c in every.values()) + 0.5 * (len(every) + 1)
+
+    def p(k, word):
+        own = max(len(seen[k].get(word, ())) - discount, 0) / max(total[k], 1) / max(kept[k], 1e-12)
+        return own * (1 - backoff) + (len(every[word]) + 0.5) / mass * backoff
+
+    return {w: log(p(1, w) / p(0, w)) for w in every}

@@ -395,6 +395,20 @@ def test_toxicity_counts_are_contexts_of_all_labelled_rows(spark):
     assert (only.rest0, only.rest, only.all0, only.all1, only["all"]) == (0, 0, 1, 0, 1)
 
 
+def test_toxicity_model_equals_plain_model(spark):
+    rng = random.Random(31)
+    vocabulary = words(30, 40).split() + ["É1", "don't"]
+    rows = [(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 30))), int(i % 4 == 0)) for i in range(80)]
+    labelled = spark.createDataFrame([(t, k, 0) for t, k in rows] + [(rows[0][0], rows[0][1], 1)], "text string, toxic int, sampled int")
+    got = {r.word: r for r in toxicity.rated(toxicity.counted(labelled)).collect()}
+    for i, discount in enumerate(toxicity.DISCOUNTS):
+        want = plain.context_ratios(rows, discount)
+        assert len(got) == len(want)
+        for word, ratio in want.items():
+            r = got[int(toxicity.word_hashes(word).view(np.int64)[0])]
+            assert abs(r[f"a{i}"] - ratio) < 1e-5 and abs(r[f"r{i}"] - ratio) < 1e-5
+
+
 def test_toxicity_counts_every_usable_labelled_document(spark, monkeypatch):
     docs = spark.createDataFrame([(i, words(i, 9), i % 2) for i in range(60)], "doc_id long, text string, toxic int")
     seen, count = [], toxicity.counted
@@ -408,7 +422,9 @@ def test_toxicity_does_not_depend_on_what_is_sent(spark):
     rows = [(i, words(i, 40) + (" vile filth" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(60)] + [(None, None, None), (7, "vile", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     labels = docs.select("doc_id", "toxic")
+    joined = sorted((r.doc_id or -1, r.score) for r in toxicity.scored(docs, labels, sent_labels=0).collect())
     one, few, none = (sorted((r.doc_id or -1, r.score) for r in toxicity.scored(docs, labels, sent).collect()) for sent in (1 << 22, 20, 0))
+    assert joined == one
     assert len(one) == len(rows) and one == few == none
 
 
