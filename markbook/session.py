@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -27,19 +28,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="markbook-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
+    """The folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``, with its file system.
 
-    Only a local session may go without: it then gets a temporary folder of its own.
+    A name without one is completed here, once, as Spark reads it, so that tasks which open files there go to the same place.
+    Only a local session may go without the setting: it then gets a temporary folder of this process.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set; a cluster job needs a shared folder")
-    folder = tempfile.mkdtemp(prefix="markbook-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; a cluster job needs a shared folder")
+        return _local_dir()
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
