@@ -124,12 +124,13 @@ def _label_points(spark, folder):
     "span_tuples",
     f"""with {_ALIGNED} select sample_id || '#p' || point_id as id, question_id, origin, point_text as query, weight as point_weight,
     case when hit then substr(student_answer, s::int + 1, (e - s)::int) else '' end as answer, coalesce(s, -1)::int as answer_start,
-    coalesce(e, -1)::int as answer_end, not hit as is_impossible, hit_type, split from al join split using (question_id)""",
+    coalesce(e, -1)::int as answer_end, not hit as is_impossible, hit_type, split, student_answer as context,
+    array_to_string(aliases, '|') as query_aliases from al join split using (question_id)""",
 )
 def span_tuples(spark, folder):
     points = _label_points(spark, folder)
     split = builders.question_split(points)
-    return builders.span_tuples(points, views.points(spark, folder), split).drop("context", "query_aliases")
+    return builders.span_tuples(points, views.points(spark, folder), split).withColumn("query_aliases", F.array_join("query_aliases", "|"))
 
 
 @add(

@@ -77,17 +77,16 @@ def confusion(spark, folder):
 
 @add(
     "disagreement_top",
-    f"""with {_GOLD} select answer_id, 'p' || point_id as point_text, hit_status, 'mrc' as source, weight / 60 as conf, point_score as weight from (
-    select *, round(weight / 60, 4) as c from g where hit_status <> 'miss' and is_impossible) order by c desc, answer_id, point_id limit 50""",
+    f"""with {_GOLD} select answer_id, 'p' || point_id as point_text, hit_status, 'mrc' as source, c as conf, point_score as weight,
+    'words of point ' || point_id || ' by answer ' || answer_id as span from (select *, round_even(weight / 60, 4) as c from g where hit_status <> 'miss' and is_impossible) order by c desc, answer_id, point_id limit 50""",
 )
 def disagreement_top(spark, folder):
+    words = F.concat(F.lit("words of point "), F.col("point_id").cast("string"), F.lit(" by answer "), F.col("answer_id").cast("string"))
     aligned = _aligned(spark, folder).withColumns(
-        {"confidence": F.col("weight") / 60, "similarity": F.lit(0.0), "source": F.lit("mrc"), "extracted_span": F.lit("")}
+        {"confidence": F.col("weight") / 60, "similarity": F.lit(0.0), "source": F.lit("mrc"), "extracted_span": words}
     )
     sheet = evaluate.disagreements(aligned, ["answer_id", "point_id"])
-    exact = aligned.select("answer_id", "point_id", "confidence")
-    top = evaluate.top_n(sheet, "conf", 50, "answer_id", "point_id").drop("conf", "span")
-    return top.join(exact, ["answer_id", "point_id"]).withColumnRenamed("confidence", "conf").drop("point_id")
+    return evaluate.top_n(sheet, "conf", 50, "answer_id", "point_id").drop("point_id")
 
 
 @add(
@@ -109,9 +108,9 @@ def score_error(spark, folder):
     return out.withColumns({"mae": F.round("mae", 6), "pearson": F.round("pearson", 6)})
 
 
-_SPANS = f"""{ANSWERS}, {POINTS}, sp as (select answer_id, question_id, sha256(answer_text) as context_key, point_text as query, weight,
+_SPANS = f"""{ANSWERS}, {POINTS}, sp as (select answer_id, question_id, sha256(answer_text) as context_key, point_text as query, weight, aliases,
       (answer_id + point_id) % 4 = 0 as is_impossible, lpad(answer_id::varchar, 8, '0') || '#' || point_id as id from answers join points using (question_id)),
-    pp as (select question_id, context_key, query, arg_min(is_impossible, id) as imp, arg_min(weight, id) as weight, min(id) as first,
+    pp as (select question_id, context_key, query, arg_min(is_impossible, id) as imp, arg_min(weight, id) as weight, arg_min(array_to_string(aliases, '|'), id) as aliases, min(id) as first,
       min(is_impossible::int) <> max(is_impossible::int) as conflict from sp group by 1, 2, 3),
     kept as (select *, row_number() over (partition by question_id, context_key order by first) as point_id from pp where not conflict)"""
 
@@ -128,10 +127,10 @@ def _gold(spark, folder):
 
 @add(
     "gold_assembly",
-    f"with {_SPANS} select question_id, context_key, point_id, query, weight, imp as is_impossible from kept",
+    f"with {_SPANS} select question_id, context_key, point_id, query, weight, aliases, imp as is_impossible from kept",
 )
 def gold_assembly(spark, folder):
-    return _gold(spark, folder)[0].drop("aliases")
+    return _gold(spark, folder)[0].withColumn("aliases", F.array_join("aliases", "|"))
 
 
 @add(
