@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from markbook.functions import fixed
 from markbook.operators import builders, ranking, tables
-from markbook.plans import views
+from markbook.plans import grading, views
 from markbook.plans.registry import ANSWERS, LABELS, LINES, POINTS, QUESTION, Registry, quoted
+from markbook.session import settled
 
 registry = Registry()
 add = registry.add
@@ -133,6 +134,23 @@ def span_tuples(spark, folder):
     return builders.span_tuples(points, views.points(spark, folder), split).withColumn("query_aliases", F.array_join("query_aliases", "|"))
 
 
+@add(
+    "build_dataset",
+    f"""with {_ALIGNED}, tuples as (select sample_id || '#p' || point_id as id, question_id, split, hit_type, origin, not hit as is_impossible
+      from al join split using (question_id)),
+    k as (select floor(count(*) filter (not is_impossible) * 0.22 / (1 - 0.22)) as k from tuples),
+    rounds as (select *, row_number() over (partition by question_id order by {_md5(42, 'id')}, id) as r from tuples where is_impossible),
+    going as (select *, row_number() over (order by r, {_md5(42, 'question_id')}, question_id) as place from rounds)
+    select id, question_id, split, hit_type, origin, is_impossible from tuples where not is_impossible
+    union all select id, question_id, split, hit_type, origin, is_impossible from going where place <= (select k from k)""",
+)
+def build_dataset(spark, folder):
+    """The whole build over labelled documents; shown are its span tuples, split by question and with negatives cut to their share."""
+    points = _label_points(spark, folder)
+    built = grading.build_dataset(points, views.configs(spark, folder), settle=lambda df: settled(df, "build"))
+    return built["spans"].select("id", "question_id", "split", "hit_type", "origin", "is_impossible")
+
+
 @add(
     "label_pairs",
     f"""with {_ALIGNED}, sent as (select doc_id as sample_id, text as t, list_filter(list_transform(

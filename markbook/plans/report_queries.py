@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from markbook.functions import fixed
@@ -9,6 +11,8 @@ from markbook.functions.scores import rating
 from markbook.operators import analytics, tables
 from markbook.plans import views
 from markbook.plans.registry import DETAILS, QUESTION, RATING, RESULTS, Registry
+from markbook.session import work_dir
+from markbook.sources import shards
 from markbook.sources.io import parse_phases
 
 registry = Registry()
@@ -191,6 +195,32 @@ def upsert_latest(spark, folder):
     return tables.upsert(base, updates, ["answer_id"], ["ts", "event_id"])
 
 
+@add(
+    "upsert_stored",
+    """with late as (select user_id as answer_id, value as total_score, event_id, event_id % 2 as part,
+      row_number() over (partition by user_id, event_id % 2 order by ts desc, event_id desc) as r from events),
+    odd as (select answer_id, total_score, event_id from late where r = 1 and part = 1),
+    even as (select answer_id, total_score, event_id from late where r = 1 and part = 0 and answer_id not in (select answer_id from odd))
+    select * from odd union all select * from even union all select c_custkey, c_acctbal, -1 from customer
+    where c_custkey not in (select answer_id from odd union all select answer_id from even)""",
+)
+def upsert_stored(spark, folder):
+    """Customers are stored in shards; two upserts of events follow, the second over the first."""
+    path = os.path.join(work_dir(spark, "upserts"), "table")
+    base = views.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("answer_id"), F.col("c_acctbal").alias("total_score"), F.lit(-1).cast("bigint").alias("event_id"),
+        F.lit(None).cast("timestamp").alias("ts"),
+    )
+    events = views.table(spark, folder, "events").select(
+        F.col("user_id").alias("answer_id"), F.col("value").alias("total_score"), "event_id", F.col("ts").cast("timestamp").alias("ts")
+    )
+    shards.upsert_shards(base, path, ["answer_id"])
+    for part in (0, 1):
+        shards.upsert_shards(events.where(F.col("event_id") % 2 == part), path, ["answer_id"], ["ts", "event_id"])
+    schema = ", ".join(f"`{n}` {t}" for n, t in base.dtypes)
+    return shards.read_upserted(spark, path, schema).drop("ts")
+
+
 @add(
     "cascade_delete",
     f"""with {RESULTS}, {_QUESTIONS}, gone as (select question_id from questions where question_id % 7 = 3)
