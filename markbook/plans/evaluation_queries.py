@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from markbook.operators import evaluate, tables
 from markbook.plans import views
 from markbook.plans.registry import ANSWERS, DETAILS, POINTS, RESULTS, Registry
+from markbook.plans.text_queries import _sql_metric
 
 registry = Registry()
 add = registry.add
@@ -243,13 +244,19 @@ def position_metrics(spark, folder):
     "span_metrics",
     f"""with {ANSWERS}, {POINTS}, r as (select answer_id, point_id, point_text as answer, case when answer_id % 3 = 0 then point_text when answer_id % 3 = 1 then aliases[1] else '' end as pred,
       (answer_id * 7 + point_id) % 10 - 3 as diff, (answer_id + point_id) % 4 = 0 as imp, ['exact', 'semantic'][(answer_id % 2)::int + 1] as hit_type from answers join points using (question_id)),
-    j as (select *, case when diff > 0 then pred else '' end as p, case when imp then '' else answer end as g from r)
-    select count(*) as eval_n, count(*) filter (not imp) as positives, count(*) filter (not imp and hit_type = 'exact') as n_exact,
+    j as (select *, case when diff > 0 then pred else '' end as p, case when imp then '' else answer end as g from r),
+    m as (select *, {_sql_metric('p')} as np, {_sql_metric('g')} as ng from j),
+    f as (select *, (np = ng and np <> '')::int as em, case when np = '' or ng = '' then 0.0 else 2.0::double * list_sum(list_transform(list_distinct(string_split(np, '')),
+      lambda c: least(length(np) - length(replace(np, c, '')), length(ng) - length(replace(ng, c, ''))))) / (length(np) + length(ng)) end::double as f1 from m)
+    select round(avg(em) filter (not imp), 4) as em, round(avg(f1) filter (not imp), 4) as token_f1,
+    round(avg(em) filter (not imp and hit_type = 'exact'), 4) as em_exact, round(avg(f1) filter (not imp and hit_type = 'exact'), 4) as f1_exact,
+    round(avg(em) filter (not imp and hit_type = 'semantic'), 4) as em_semantic, round(avg(f1) filter (not imp and hit_type = 'semantic'), 4) as f1_semantic,
+    count(*) as eval_n, count(*) filter (not imp) as positives, count(*) filter (not imp and hit_type = 'exact') as n_exact,
     count(*) filter (not imp and hit_type = 'semantic') as n_semantic, round(avg(((p <> '') <> imp)::int), 4) as point_accuracy,
-    round(avg((p <> '')::int) filter (not imp and hit_type = 'semantic'), 4) as equivalence_hit_rate from j""",
+    round(avg((p <> '')::int) filter (not imp and hit_type = 'semantic'), 4) as equivalence_hit_rate from f""",
 )
 def span_metrics(spark, folder):
-    """Counts and hit rates; exact match and F1 are compared by char_f1 and in the tests."""
+    """Rubric words as gold, predicted right, as another word of the point, or not at all."""
     a, p = F.col("answer_id"), F.col("point_id")
     rows = views.answers(spark, folder).join(views.points(spark, folder), "question_id").select(
         F.col("point_text").alias("answer"),
@@ -258,8 +265,7 @@ def span_metrics(spark, folder):
         ((a + p) % 4 == 0).alias("is_impossible"),
         F.when(a % 2 == 0, "exact").otherwise("semantic").alias("hit_type"),
     )
-    out = evaluate.span_metrics(rows, 0.0)
-    return out.select("eval_n", "positives", "n_exact", "n_semantic", "point_accuracy", "equivalence_hit_rate")
+    return evaluate.span_metrics(rows, 0.0)
 
 
 @add(
@@ -286,12 +292,14 @@ def score_correlation(spark, folder):
     """with t as (select vec_id, embedding::double[] as s, list_reverse(embedding)::double[] as e from embeddings),
     p as (select vec_id, i, j, s[i + 1] + e[j + 1] as v, row_number() over (partition by vec_id order by s[i + 1] + e[j + 1] desc, i, j) as r
       from t, unnest(range(1, 64)) a(i), unnest(range(1, 64)) b(j) where j >= i and j < i + 64)
-    select p.vec_id, i::int as span_start, j::int as span_end, round(1 / (1 + exp(s[1] + e[1] - v)), 6) as has_answer_prob
-    from p join t using (vec_id) where r = 1""",
+    select p.vec_id, i::int as span_start, j::int as span_end, round(1 / (1 + exp(s[1] + e[1] - v)), 6) as has_answer_prob,
+    round(v - 2 * ln(list_sum(list_transform(s, lambda x: exp(x)))), 6) as span_logprob,
+    round(s[1] + e[1] - 2 * ln(list_sum(list_transform(s, lambda x: exp(x)))), 6) as null_logprob from p join t using (vec_id) where r = 1""",
 )
 def span_decode(spark, folder):
     out = evaluate.decode_spans(views.logits(spark, folder), ["vec_id"])
-    return out.select("vec_id", "span_start", "span_end", "has_answer_prob")
+    logs = [F.round(c, 6).alias(c) for c in ("span_logprob", "null_logprob")]
+    return out.select("vec_id", "span_start", "span_end", "has_answer_prob", *logs)
 
 
 @add(
