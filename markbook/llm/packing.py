@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,19 +12,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from markbook.llm.common import settled, text_of
+from markbook.llm.common import settled, text_of, worker_memory
 
 CAPACITY = 2048
 END = 0
 VOCABULARY = "word_bpe_49k.json"
-#: words whose ids a Python worker remembers; then it starts anew
-REMEMBERED = 250_000
-#: parts into which the pieces of one length are cut for numbering
-SALTS = 64
+#: whether this machine writes numbers as the ids are wanted, 32 bits with the lowest byte first
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+#: words whose ids a Python worker remembers, twice so many at most: when they are full, those not met since the last time go
+REMEMBERED = 150_000
+#: pieces of one length are numbered in parts, at least so many, each of at most about so many pieces
+SALTS, NUMBERED = 64, 1 << 18
 
 
 # --- tokens --------------------------------------------------------------------------------------------------
-class WordIds(dict):
+class Fresh(dict):
+    """Words met lately; another word is looked up by ``learn``."""
+
+    def __init__(self, learn) -> None:
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.learn(word)
+
+
+class WordIds:
     """Ids of a stretch of text without white space, as little-endian 32-bit numbers.
 
     The vocabulary drops white space and never joins across it, so the ids of a text are those of its words in turn. Words
@@ -36,7 +51,7 @@ class WordIds(dict):
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.fresh, self.older = Fresh(self.learn), {}
         self.whole = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.merges = self.whole.model.tokenize
         self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
@@ -46,39 +61,42 @@ class WordIds(dict):
         self.spelled = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
 
     def direct(self, letters: str) -> list[int]:
-        return [t.id for t in self.merges(letters.encode().decode("latin-1").translate(self.spelled))]
+        if not letters.isascii():  # printable ASCII is spelled as itself
+            letters = letters.encode().decode("latin-1").translate(self.spelled)
+        return [t.id for t in self.merges(letters)]
 
     def encode(self, word: bytes) -> bytes:
         text = word.decode()
-        found = None if len(text) > 64 else self.plain(text)
-        if found and b"<|" not in word:
+        found = None if len(text) > 64 or word.isalpha() else self.plain(text)
+        if len(text) <= 64 and word.isalpha():
+            ids = self.direct(text.lower())
+        elif found and b"<|" not in word:
             ids = self.direct(found[1].lower()) + (self.direct(found[2]) if found[2] else [])
         else:
             ids = self.whole.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(word)
+    def learn(self, word: bytes) -> bytes:
+        ids = self.older.get(word) or self.encode(word)
         if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
+            if len(self.fresh) >= REMEMBERED:
+                self.older, self.fresh = self.fresh, Fresh(self.learn)
+            self.fresh[word] = ids
         return ids
 
     def text(self, text: bytes) -> bytes:
         # special tokens are matched before letters are lowered
         words = (text if b"<|" in text else text.lower()).split()
-        return b"".join([self[w] for w in words])
+        known = self.fresh
+        return b"".join([known[w] for w in words])
 
 
 def word_ids(path: str | None) -> WordIds:
-    """The memory of this Python worker: it outlives a task, so it hangs on a module that does too."""
-    import tokenizers
-
-    known = tokenizers.__dict__.setdefault("_markbook_words", {})
-    if path not in known:
-        known[path] = WordIds(path)
-    return known[path]
+    """The memory of this Python worker: it outlives a task."""
+    known, key = worker_memory(), f"words {path}"
+    if key not in known:
+        known[key] = WordIds(path)
+    return known[key]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -208,12 +226,13 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to a settled table of pieces (doc_id, piece, start, length, ...); ids are not needed.
 
     Only counts per length, at most ``capacity`` rows, come to the driver; the plan made from them goes to the tasks and is
-    bounded by the lengths as well. Pieces of one length are numbered in SALTS parts by hash of their document, so a length
-    with a third of all pieces is no hot group. Lengths are 1 to ``capacity``. An empty table gives no rows.
+    bounded by the lengths as well. Pieces of one length are numbered in parts by hash of their document, as many as the number of
+    pieces asks for, so a length with a third of all pieces is no hot group. Lengths are 1 to ``capacity``. An empty table gives no rows.
     """
     if capacity > CAPACITY_LIMIT:
         raise ValueError(f"sequences of at most {CAPACITY_LIMIT} tokens")
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, cut.count() // NUMBERED)
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     counts = settled(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "pack-counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}
     ranges = cut.sparkSession.sparkContext.broadcast(Places.ranges(plan(histogram, capacity)))
