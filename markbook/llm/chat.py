@@ -51,7 +51,8 @@ def parsed(formatted: Column) -> Column:
     def turn(body: Column) -> Column:
         length = F.char_length(body)
         user, other = body.startswith("[INST] "), body.startswith("[ROLE] ")
-        parts = F.split(body, r"(?<!\\) \[TEXT\] ", 2)
+        # an escape would stand between the space and the bracket
+        parts = F.split(body, r" \[TEXT\] ", 2)
         named = F.get(parts, F.lit(1))
         text = (
             F.when(user & body.endswith(" [/INST]"), body.substr(F.lit(8), length - 15))

@@ -225,10 +225,23 @@ ROWS = [
     (1, 0, "system", "be [INST] kind"), (1, 1, "user", "hi\\</s> \\\\[TEXT] x"), (1, 2, "assistant", "[INST] no [/INST]"),
     (2, None, None, None), (2, 0, "assistant", ""), (3, 0, "tool]", "é \n<s>"), (3, 0, "tool]", "é \n<s>"), (4, 5, "user", " [/INST]"),
     (5, 0, "assistant", "\\"), (5, 1, "assistant", "x\\"), (None, 0, "user", "nobody"), (6, 0, "[ROLE] a [TEXT] b", "c [TEXT] d [/ROLE]"),
-    (7, 0, "user", "long " * 20_000), (8, 0, "assistant", "\\<s>"), (9, 0, "assistant", "[ROLE] x"), (10, 0, "", " [TEXT] "),
+    (11, 0, "tool\\", "hi"), (11, 1, "\\", "\\ [TEXT] \\"), (11, 2, "a \\[TEXT] \\\\", " [TEXT] "), (7, 0, "user", "long " * 20_000), (8, 0, "assistant", "\\<s>"), (9, 0, "assistant", "[ROLE] x"), (10, 0, "", " [TEXT] "),
 ]
 
 
+def test_chat_restores_any_roles_and_texts(spark):
+    rng = random.Random(41)
+    parts = ["\\", " ", "<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]", "[TEXT]", "<", "s", ">", "[", "]", "/", "x", "\n"]
+    made = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(0, 7)))
+    rows = [(i // 3, i % 3, rng.choice(["user", "assistant", made(), made()]), made()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = {}
+    for conv, _, role, text in rows:
+        want[conv] = want.get(conv, "") + f"{role}\n{text}\n"
+    for r in chat.digests(chat.formatted_chats(df)).collect():
+        assert r.sound and r.turns_sha256 == hashlib.sha256(want[r.conv_id].encode()).hexdigest()
+
+
 def test_chat(spark):
     df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
     df = df.select("*", *[F.lit("x").alias(c) for c in ("formatted", "loss_mask", "_turns", "body", "mask")])
