@@ -57,8 +57,9 @@ def counted(labelled: DataFrame) -> DataFrame:
             found = [pa.array(word[new].view(np.int64)), pa.array(left[new].view(np.int64)), pa.array(mark[new])]
             return pa.RecordBatch.from_arrays(found, ["word", "left", "mark"])
 
-        for batch in batches:
-            rows = zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+        for batch in pick(batches) if pick else batches:
+            columns = [batch.column(n) for n in ("text", "toxic", "sampled")]
+            rows = zip(columns[0].cast(pa.binary()), columns[1].to_pylist(), columns[2].to_pylist(), strict=True)
             for text, toxic, sampled in rows:
                 hashes = word_hashes(text.as_py())
                 left = np.concatenate((np.zeros(min(1, len(hashes)), np.uint64), hashes[:-1]))
@@ -70,7 +71,9 @@ def counted(labelled: DataFrame) -> DataFrame:
         if n:
             yield seen()
 
-    marks = labelled.select("text", "toxic", "sampled").mapInArrow(pairs, "word long, left long, mark int")
+    # labels that are sent are looked up in the same Python worker that counts: a second one per task would double the memory
+    source, pick = getattr(labelled, "source_and_pick", None) or (labelled.select("text", "toxic", "sampled"), None)
+    marks = source.mapInArrow(pairs, "word long, left long, mark int")
     once = marks.groupBy("word", "left").agg(F.bit_or("mark").alias("mark"))
     any_of = {"rest0": 1, "rest1": 2, "rest": 3, "all0": 5, "all1": 10, "all": 15}
     sums = [F.count_if(F.col("mark").bitwiseAND(F.lit(m)) != 0).alias(name) for name, m in any_of.items()]
@@ -243,7 +246,9 @@ def _labelled(docs: DataFrame, chosen: DataFrame, sent: int) -> DataFrame:
             arrays = [*batch.filter(pa.array(there)).columns, pa.array(toxic[at[there]]), pa.array(sampled[at[there]])]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text", "toxic", "sampled"])
 
-    return rows.mapInArrow(pick, "doc_id long, text string, toxic int, sampled int")
+    found = rows.mapInArrow(pick, "doc_id long, text string, toxic int, sampled int")
+    found.source_and_pick = (rows, pick)
+    return found
 
 
 def scored(
