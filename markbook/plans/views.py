@@ -21,6 +21,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
+def dealt(df: DataFrame, key: str, part_bytes: int) -> DataFrame:
+    """Rows of a scan by ``key``, in as many parts as the size of its files asks for, and no fewer than there are cores.
+
+    For rows that grow on their way through a task: parts that are cut to size after the shuffle would be too large for it. What
+    is grouped by the key later on, alone or with others, needs no further shuffle.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // part_bytes)), key)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents"), "doc_id")
 
@@ -78,10 +88,14 @@ def configs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: a part of lineitem files that makes some hundred thousand lines
+LINE_BYTES = 4 << 20
+
+
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lineitem grouped to one row per (order, line number)."""
+    """Lineitem grouped to one row per (order, line number), all lines of an order in one part."""
     return (
-        table(spark, folder, "lineitem")
+        dealt(table(spark, folder, "lineitem"), "l_orderkey", LINE_BYTES)
         .groupBy("l_orderkey", "l_linenumber")
         .agg(
             F.sum("l_quantity").alias("qty"),

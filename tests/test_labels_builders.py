@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from markbook import schemas
 from markbook.operators import builders, evaluate, labels, ranking
+from markbook.plans import views
 from markbook.plans.grading import build_dataset, clean_labels
 from markbook.session import settled
 
@@ -33,6 +34,15 @@ def test_majority_and_tie(spark):
     assert ("c", 2) not in got
 
 
+def test_votes_are_dealt_once(spark, small):
+    # all votes of a sample are in one part from the start; their number follows the size of the files
+    voted = labels.majority_vote(views.votes(spark, small))
+    plan = voted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(l_orderkey" in plan
+    rows = views.table(spark, small, "lineitem")
+    assert views.dealt(rows, "l_orderkey", 2048).rdd.getNumPartitions() >= 2 * views.dealt(rows, "l_orderkey", 4096).rdd.getNumPartitions() - 1 > 20
+
+
 def test_normalise_labels(spark):
     raw = spark.createDataFrame(
         [
