@@ -12,13 +12,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: a part of a table's files for work that is heavy per row
+PART_BYTES = 2 << 20
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread rows over all cores when they come from fewer files than there are cores.
+    """Spread rows by their key over all cores, and over more parts the larger the files are.
 
-    For work that is heavy per row: one file may be one task. Data in many files passes unchanged.
+    For work that is heavy per row or makes many rows of one: a file may be one task, and a fixed number of parts would grow with
+    the table. Data in many small files passes unchanged.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    parts = _parts(df, PART_BYTES)
+    return df.repartition(parts, key) if len(df.inputFiles()) < parts else df
+
+
+def _parts(df: DataFrame, part_bytes: int) -> int:
+    """How many parts of so many bytes a scan's files give, by the planner's statistics; no fewer than there are cores."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-size // part_bytes))
 
 
 def dealt(df: DataFrame, key: str, part_bytes: int) -> DataFrame:
@@ -27,8 +38,7 @@ def dealt(df: DataFrame, key: str, part_bytes: int) -> DataFrame:
     For rows that grow on their way through a task: parts that are cut to size after the shuffle would be too large for it. What
     is grouped by the key later on, alone or with others, needs no further shuffle.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // part_bytes)), key)
+    return df.repartition(_parts(df, part_bytes), key)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

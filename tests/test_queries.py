@@ -2,7 +2,7 @@
 
 import pytest
 
-from markbook.plans import catalog
+from markbook.plans import catalog, views
 from tools import compare
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -29,3 +29,11 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns[0] == "question_id"
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_document_parts_follow_their_size(spark, small, monkeypatch):
+    # one file, many parts: a fixed number of parts would grow with the table
+    docs = views.table(spark, small, "documents")
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    monkeypatch.setattr(views, "PART_BYTES", -(-int(size) // 40), raising=False)
+    assert views.documents(spark, small).rdd.getNumPartitions() in (39, 40)
