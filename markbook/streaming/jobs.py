@@ -40,12 +40,15 @@ def stream_scores(
 ) -> StreamingQuery:
     """Score every arriving answer once. ``score`` turns a batch of answers into results, for example ``plans.grading.grade``.
 
-    Results of batch n are ``out``/batch=n; ``out``/done/batch=n, one row, is written after them.
+    Results of batch n are ``out``/batch=n; ``out``/done/batch=n, one row, is written after them. A batch of few files is few
+    tasks, so its rows are dealt over all cores before they are scored.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        finish_scores(batch.sparkSession, out, number)
+        spark = batch.sparkSession
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        score(batch.repartition(parts)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        finish_scores(spark, out, number)
 
     return _start(stream, handle, checkpoint)
 

@@ -116,6 +116,17 @@ def test_stream_scores_each_answer_once_across_restarts(spark, tmp_path):
     assert run() == ["a", "b", "c"]
 
 
+def test_stream_scores_a_batch_of_one_file_on_all_cores(spark, tmp_path):
+    src, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    spark.range(1000).withColumnRenamed("id", "answer_id").coalesce(1).write.parquet(src)
+    jobs.stream_scores(
+        jobs.arriving(spark, src, "answer_id bigint", 1), lambda b: b.withColumn("part", F.spark_partition_id()), out, check
+    ).awaitTermination()
+    scored = jobs.read_scores(spark, out)
+    assert scored.select("answer_id").distinct().count() == scored.count() == 1000
+    assert scored.select("part").distinct().count() >= spark.sparkContext.defaultParallelism
+
+
 def test_stream_stats_follow_the_latest_result(spark, tmp_path):
     src, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     schema = "answer_id string, question_id string, total_score double, max_score double, rating string, seq int"
