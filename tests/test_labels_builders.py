@@ -43,6 +43,20 @@ def test_votes_are_dealt_once(spark, small):
     assert views.dealt(rows, "l_orderkey", 2048).rdd.getNumPartitions() >= 2 * views.dealt(rows, "l_orderkey", 4096).rdd.getNumPartitions() - 1 > 20
 
 
+def _hash_exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_vote_report_needs_no_second_shuffle(spark, small):
+    assert _hash_exchanges(labels.vote_report(labels.majority_vote(views.votes(spark, small), 3))) == 1
+
+
+def test_votes_are_counted_in_parts_that_follow_their_files(spark, small, monkeypatch):
+    monkeypatch.setattr(views, "LINE_BYTES", 2048, raising=False)
+    counted = labels.count_votes(views.votes(spark, small))
+    assert _hash_exchanges(counted) == 1 and counted.rdd.getNumPartitions() > 50
+
+
 def test_normalise_labels(spark):
     raw = spark.createDataFrame(
         [
