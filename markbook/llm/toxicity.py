@@ -111,7 +111,8 @@ def with_ratios(rows: DataFrame, model: DataFrame, names: list[str], finish: Cal
     """(doc_id, toxic, x): ``finish`` of the ratios of each row's words, an array of words by ``names``; 0 for unknown words.
 
     Rows (doc_id, toxic, text). The words with most contexts, about ``sent``, go to every task. Where the model has more, the
-    other words meet their ratios in a join, which then has no word that many rows share.
+    other words meet their ratios in a join, which then has no word that many rows share. Labels that are sent are looked up
+    in the Python worker that asks for the ratios, as in ``counted``.
     """
     levels = model.groupBy(F.least("seen", F.lit(1000)).alias("seen")).count().orderBy(F.desc("seen")).collect()
     least, room = 1001, sent
@@ -136,11 +137,14 @@ def with_ratios(rows: DataFrame, model: DataFrame, names: list[str], finish: Cal
         return np.where(there[:, None], ratios[at], 0).astype(float), there
 
     def result(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+        columns = [batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "x"])
+
+    source, pick = getattr(rows, "source_and_pick", None) or (rows.select("doc_id", "toxic", "text"), None)
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = (word_hashes(t.as_py()).view(np.int64) for t in batch.column(2).cast(pa.binary()))
+        for batch in pick(batches) if pick else batches:
+            hashes = (word_hashes(t.as_py()).view(np.int64) for t in batch.column("text").cast(pa.binary()))
             yield result(batch, [finish(look_up(h, *known.value)[0]) for h in hashes])
 
     def unsent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +170,7 @@ def with_ratios(rows: DataFrame, model: DataFrame, names: list[str], finish: Cal
 
     schema = "doc_id long, toxic int, x array<double>"
     if whole:
-        return rows.select("doc_id", "toxic", "text").mapInArrow(direct, schema)
+        return source.mapInArrow(direct, schema)
     numbered = settled(rows.select("doc_id", "toxic", "text").withColumn("row", F.monotonically_increasing_id()), "toxicity-rows")
     others = model.where(F.col("seen") < least).select("word", *names)
     met = numbered.select("row", "text").mapInArrow(unsent, "row long, word long").join(others, "word")
@@ -278,7 +282,8 @@ def scored(
         return np.concatenate([features(values[:, i]) for i in trials]).tolist()
 
     asked = _labelled(docs, chosen.where("sampled = 1"), sent_labels)
-    fitted = with_ratios(asked, model, [f"r{i}" for i in trials], tried, sent).orderBy("doc_id", "x").collect()
+    # at most ``calibration`` rows and their repeats: sorted here, since Spark would read all texts twice to sort them
+    fitted = sorted(with_ratios(asked, model, [f"r{i}" for i in trials], tried, sent).collect(), key=lambda r: (r["doc_id"], r["x"]))
     rows = np.array([r["x"] for r in fitted]).reshape(-1, len(DISCOUNTS), FEATURES)
     toxic = np.array([r["toxic"] for r in fitted], float)
     classifiers = [Classifier(rows[:, i], toxic) for i in trials]

@@ -441,6 +441,15 @@ def test_toxicity_does_not_depend_on_what_is_sent(spark):
     assert len(one) == len(rows) and one == few == none
 
 
+def test_toxicity_needs_one_python_worker_a_task(spark, monkeypatch):
+    """A second one beside it would stay and hold memory for the rest of the session."""
+    docs = spark.createDataFrame([(i, words(i, 9), i % 2) for i in range(60)], "doc_id long, text string, toxic int").repartition(2)
+    asked, ratios = [], toxicity.with_ratios
+    monkeypatch.setattr(toxicity, "with_ratios", lambda *args: asked.append(ratios(*args)) or asked[-1])
+    toxicity.scored(docs, docs.select("doc_id", "toxic"))
+    assert [a._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow ") for a in asked] == [1, 1]
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
