@@ -26,6 +26,8 @@ from markbook.functions import fixed
 from markbook.functions.text import dedup_key, kept_positions, kgrams, let, longest_common, norm_stem, shared_grams
 
 PIECE = 256
+#: a piece is cut into slices of so many gram starts
+SLICE = 32
 #: a reference side of at most so many bytes, by the planner's statistics, is broadcast as grams
 BROADCAST_BYTES = 131_072
 #: characters after a gram that are compared at once; one less than a power of two
@@ -43,34 +45,37 @@ def grams(
 
     With ``after`` also ``before``, the character before it ('' at the beginning), and ``tail``, up to ``after`` characters after it.
     """
-    stride = step * max(1, -(-PIECE // step))
+    short = _stride(SLICE, step)
+    stride = _stride(PIECE, short)
     n = F.length(text)
     first_starts = F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)), F.lit(stride))
     lead = (lambda b: F.least(b, F.lit(1))) if after else (lambda b: F.lit(0))
-    pieces = df.where(n >= size).select(
-        *ids,
-        F.explode(
-            F.transform(
-                first_starts,
-                lambda b: F.struct(
-                    b.alias("base"),
-                    F.substring(F.col(text), b + 1 - lead(b), lead(b) + (stride + size - 1 + after)).alias("piece"),
-                ),
-            )
-        ).alias("_p"),
-    )
-    base, piece = F.col("_p.base"), F.col("_p.piece")
-    skip = lead(base)
-    offsets = F.sequence(F.lit(0), F.least(F.length(piece) - skip - size, F.lit(stride - 1)), F.lit(step))
 
-    def gram(o: Column) -> Column:
-        fields = [(base + o).alias(place), F.substring(piece, o + 1 + skip, F.lit(size)).alias("gram")]
-        if after:
-            fields.append(F.when(o + skip > 0, F.substring(piece, o + skip, F.lit(1))).otherwise("").alias("before"))
-            fields.append(F.substring(piece, o + 1 + skip + size, F.lit(after)).alias("tail"))
-        return F.struct(*fields)
+    def cut(b: Column) -> Column:
+        return F.substring(F.col(text), b + 1 - lead(b), lead(b) + (stride + size - 1 + after))
 
-    return pieces.where(F.length(piece) - skip >= size).select(*ids, F.inline(F.transform(offsets, gram)))
+    # a text shorter than a gram is one short piece; a condition on the text itself would normalise it once more
+    pieces = df.select(*ids, F.explode(F.transform(first_starts, lambda b: F.struct(b.alias("base"), cut(b).alias("piece")))).alias("_p"))
+    base, piece = F.col("_p.base"), F.col("_p.piece")
+    room = F.length(piece) - lead(base) - size
+    slices = F.sequence(F.lit(0), F.least(room, F.lit(stride - 1)), F.lit(short))
+    # finding a place takes as long as what lies before it, so grams are cut from slices; numbers are exploded, which Spark compiles
+    found = pieces.where(room >= 0).select(*ids, base.alias("_base"), piece.alias("_piece"), F.explode(slices).alias("_s"))
+    base, skip = F.col("_base") + F.col("_s"), lead(F.col("_base") + F.col("_s"))
+    part = F.substring(F.col("_piece"), F.col("_s") + 1 + lead(F.col("_base")) - skip, skip + (short + size - 1 + after))
+    found = found.select(*ids, base.alias("_base"), part.alias("_slice"))
+    base, part, skip, o = F.col("_base"), F.col("_slice"), lead(F.col("_base")), F.col("_o")
+    offsets = F.sequence(F.lit(0), F.least(F.length(part) - skip - size, F.lit(short - 1)), F.lit(step))
+    fields = [(base + o).alias(place), F.substring(part, o + 1 + skip, F.lit(size)).alias("gram")]
+    if after:
+        fields.append(F.when(o + skip > 0, F.substring(part, o + skip, F.lit(1))).otherwise("").alias("before"))
+        fields.append(F.substring(part, o + 1 + skip + size, F.lit(after)).alias("tail"))
+    return found.select(*ids, "_base", "_slice", F.explode(offsets).alias("_o")).select(*ids, *fields)
+
+
+def _stride(length: int, step: int) -> int:
+    """The multiple of ``step`` that reaches ``length``."""
+    return step * max(1, -(-length // step))
 
 
 def _joined_side(grams_of_refs: DataFrame, refs: DataFrame) -> DataFrame:

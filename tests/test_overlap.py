@@ -282,3 +282,25 @@ def test_overlap_report_kinds(spark):
     ext = spark.createDataFrame([(1, "the  same text here"), (2, "holding inner words"), (3, "words of their own"), (4, "xx holding inner yy zz")], "e int, t string")
     got = {r["e"]: r["overlap"] for r in overlap.overlap_report(own, ext, "o", "e", "t", 8).collect()}
     assert got == {1: "exact", 2: "containment", 4: "shared"}
+
+
+def test_grams_are_those_of_the_text(spark):
+    """Texts around the ends of slices and pieces, in one to four bytes a character."""
+    rng = random.Random(5)
+    lengths = (1, 7, 8, 9, 31, 32, 33, 39, 40, 64, 255, 256, 257, 263, 264, 265, 520)
+    texts = [None, "", *["".join(rng.choice("ab\u4eac\u00e9\U0001d11e") for _ in range(n)) for n in lengths]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, norm string")
+    for size, step, after in ((4, 5, 0), (8, 1, 127), (68, 68, 0), (8, 3, 5)):
+        want = []
+        for i, t in enumerate(texts):
+            for o in range(0, len(t or "") - size + 1, step):
+                want.append((i, o, t[o : o + size], *((t[o - 1 : o] if o else "", t[o + size : o + size + after]) if after else ())))
+        assert sorted(map(tuple, overlap.grams(df, ["id"], "norm", size, step, after=after).collect())) == want
+
+
+def test_grams_are_cut_from_slices(spark):
+    """Grams come from numbers, so Spark compiles them, and a text is normalised once, not in a filter before a shuffle too."""
+    df = spark.range(3).select("id", F.lit("x" * 600).alias("text")).repartition(2, "id").select("id", F.translate("text", "x", "yz").alias("norm"))
+    plan = overlap.grams(df, ["id"], "norm", 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline(" not in plan and plan.count("explode(sequence(") == 2
+    assert all("translate" not in line for line in plan.split("RepartitionByExpression")[1].splitlines())
