@@ -304,3 +304,13 @@ def test_grams_are_cut_from_slices(spark):
     plan = overlap.grams(df, ["id"], "norm", 8)._jdf.queryExecution().optimizedPlan().toString()
     assert "inline(" not in plan and plan.count("explode(sequence(") == 2
     assert all("translate" not in line for line in plan.split("RepartitionByExpression")[1].splitlines())
+
+
+def test_stripping_does_not_normalise_twice(spark):
+    """The scan of the answers passes texts on as they are, for training rows too."""
+    rows = [(i, "full", "the quick brown fox jumps %d" % i, 0, 5) for i in range(4)]
+    spans = spark.createDataFrame(rows, "id int, origin string, context string, answer_start int, answer_end int").repartition(2, "id")
+    stems = spark.createDataFrame([(1, "quick brown fox")], "stem_id int, stem_text string")
+    plan = overlap.strip_training_rows(spans, stems, 8, None)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line and "translate(context" in line]
+    assert "RepartitionByExpression" in plan and not filters
