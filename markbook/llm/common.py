@@ -135,6 +135,13 @@ def joined_back(rows: DataFrame, found: DataFrame, key: str, copies: str) -> Dat
     return near.unionByName(cold)
 
 
-def worker_memory() -> dict:
-    """A dictionary that lives as long as this Python worker: functions that travel to it arrive anew with every task."""
-    return sys.modules.setdefault("markbook_worker_memory", types.ModuleType("markbook_worker_memory")).__dict__
+def worker_memory(owner: str) -> dict:
+    """A dictionary that outlives a task in this Python worker: functions that travel to it arrive anew with every task.
+
+    Spark's workers serve one operator after another. A worker remembers for one ``owner`` at a time: what others left goes, so
+    that a tokenizer and its words are not kept through steps that do not need them.
+    """
+    kept = sys.modules.setdefault("markbook_worker_memory", types.ModuleType("markbook_worker_memory")).__dict__
+    for other in [k for k in kept if k.startswith("owner ") and k != f"owner {owner}"]:
+        del kept[other]
+    return kept.setdefault(f"owner {owner}", {})

@@ -140,7 +140,7 @@ class Aligner:
 
 def aligner(path_a: str | None, path_b: str | None) -> Aligner:
     """The aligner of this Python worker."""
-    known, key = worker_memory(), f"aligner {path_a} {path_b}"
+    known, key = worker_memory("crosstok"), f"aligner {path_a} {path_b}"
     if key not in known:
         known[key] = Aligner(path_a, path_b)
     return known[key]

@@ -93,7 +93,7 @@ class WordIds:
 
 def word_ids(path: str | None) -> WordIds:
     """The memory of this Python worker: it outlives a task."""
-    known, key = worker_memory(), f"words {path}"
+    known, key = worker_memory("packing"), f"words {path}"
     if key not in known:
         known[key] = WordIds(path)
     return known[key]

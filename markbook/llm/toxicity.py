@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markbook.llm.common import bits_table, buckets_for, drop_ids, maybe_in, settled, text_of
+from markbook.llm.common import bits_table, buckets_for, drop_ids, maybe_in, settled, text_of, worker_memory
 
 THRESHOLD = 0.3
 #: words that are sent to every task, those with most contexts; a larger model is joined for the others
@@ -46,6 +46,7 @@ def counted(labelled: DataFrame) -> DataFrame:
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("toxicity")  # what other operators left in this worker goes
         held, n = [], 0
 
         def seen() -> pa.RecordBatch:
@@ -143,6 +144,7 @@ def with_ratios(rows: DataFrame, model: DataFrame, names: list[str], finish: Cal
     source, pick = getattr(rows, "source_and_pick", None) or (rows.select("doc_id", "toxic", "text"), None)
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("toxicity")
         for batch in pick(batches) if pick else batches:
             hashes = (word_hashes(t.as_py()).view(np.int64) for t in batch.column("text").cast(pa.binary()))
             yield result(batch, [finish(look_up(h, *known.value)[0]) for h in hashes])

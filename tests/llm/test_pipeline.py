@@ -141,3 +141,39 @@ def test_bound_rules_out_no_alike_pair():
             assert simhash.alike(a, b) <= simhash._within(
                 np.array([len(b)]), simhash._parity(b, 1024)[None], len(a), simhash._parity(a, 1024)
             )[0]
+
+
+def test_stages_send_small_batches(spark, small):
+    """Texts go to Python in batches of bounded bytes, however many rows Spark would put into one; a smaller setting stays."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["n", "rows"])
+
+    docs = table(spark, small, "documents")
+    texts = spark.range(4000, numPartitions=1).selectExpr("repeat('word ', 1000) AS text")
+    before = spark.conf.get(corpus_pipeline.BATCH_SETTING)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(corpus_pipeline.BATCH_SETTING, "64m")
+            stage(spark, docs, small)
+            found = texts.mapInArrow(sizes, "n long, rows long").collect()
+            assert max(r.n for r in found) < 1.5 * corpus_pipeline.BATCH_BYTES
+            assert sum(r.rows for r in found) == 4000
+        spark.conf.set(corpus_pipeline.BATCH_SETTING, "1k")
+        corpus_pipeline.distinct(spark, docs, small)
+        assert spark.conf.get(corpus_pipeline.BATCH_SETTING) == "1k"
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_SETTING, before)
+
+
+def test_worker_remembers_for_one_operator(monkeypatch):
+    from markbook.llm.common import worker_memory
+
+    monkeypatch.delitem(sys.modules, "markbook_worker_memory", raising=False)
+    worker_memory("packing")["words"] = 1
+    assert worker_memory("packing") == {"words": 1}
+    assert worker_memory("toxicity") == {}
+    assert worker_memory("packing") == {}
+    monkeypatch.delitem(sys.modules, "markbook_worker_memory", raising=False)
