@@ -6,7 +6,8 @@ taken: one long text spreads over tasks and no k-gram is lost.
 
 The large side is first reduced with sampled grams: any common substring of length >= k contains a
 w-gram that starts at a multiple of s when k >= w + s - 1. Only texts with such a gram go on. That step
-loses nothing.
+loses nothing. References that are small are broadcast, and then only the k-grams around a sampled gram that was found go on,
+from the scan that found it; a text that has one such gram is neither read nor cut again.
 
 Which pairs share something is answered by `matching_runs`: a shared passage gives two rows, its first and
 its last gram, however long it is. Where only the longest match of each left position counts, no pairs are made at all
@@ -78,14 +79,18 @@ def _stride(length: int, step: int) -> int:
     return step * max(1, -(-length // step))
 
 
+def _small(refs: DataFrame) -> bool:
+    """Whether grams of the references are broadcast; by the size that the optimizer knows, which starts no job."""
+    return int(refs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= BROADCAST_BYTES
+
+
 def _joined_side(grams_of_refs: DataFrame, refs: DataFrame) -> DataFrame:
     """The reference side of a gram join: broadcast if the references are small, otherwise both sides are shuffled.
 
     The optimizer sizes exploded grams by the text they came from and would broadcast far too much. So the size it knows of
     the references decides; that starts no job.
     """
-    size = refs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(grams_of_refs) if int(size) <= BROADCAST_BYTES else grams_of_refs.hint("merge")
+    return F.broadcast(grams_of_refs) if _small(refs) else grams_of_refs.hint("merge")
 
 
 def _row_shares(text: Column, refs: Column, width: int, step: int) -> Column:
@@ -127,6 +132,61 @@ def sharing_rows(
     return left.join(ids, left_id, "left_semi")
 
 
+def sharing_grams(
+    left: DataFrame,
+    right: DataFrame,
+    k: int,
+    left_id: str,
+    text: str = "norm",
+    keys: Sequence[str] = (),
+    after: int = 1,
+    parts: int | None = None,
+) -> DataFrame:
+    """(left_id, keys, i, gram, before, tail) as `grams` gives them, of all left k-grams that may be in a right text; never misses one.
+
+    A k-gram holds one sampled gram, so it begins less than a step before that. With small references each sampled gram that is
+    found gives these few k-grams, cut from the piece it stands in. For more than one use, the pieces are shuffled by their text into
+    ``parts`` (a number, so that adaptive execution does not join them: a piece gives many rows).
+    """
+    if keys or not _small(right):
+        return grams(sharing_rows(left, right, k, left_id, text, keys), [left_id, *keys], text, k, after=after)
+    width = (k + 1) // 2
+    step = k - width + 1
+    short = _stride(SLICE, step)
+    stride = _stride(PIECE, short)
+    first_starts = F.sequence(F.lit(0), F.greatest(F.length(text) - width, F.lit(0)), F.lit(stride))
+
+    def lead(b: Column) -> Column:
+        return F.least(b, F.lit(step))
+
+    def cut(b: Column) -> Column:
+        return F.substring(F.col(text), b + 1 - lead(b), lead(b) + (stride - step + k + after))
+
+    pieces = left.select(left_id, F.explode(F.transform(first_starts, lambda b: F.struct(b.alias("base"), cut(b).alias("piece")))).alias("_p"))
+    base, piece = F.col("_p.base"), F.col("_p.piece")
+    room = F.length(piece) - lead(base) - width
+    slices = F.sequence(F.lit(0), F.least(room, F.lit(stride - 1)), F.lit(short))
+    found = pieces.where(room >= 0).select(left_id, base.alias("_base"), piece.alias("_piece"), F.explode(slices).alias("_s"))
+    part = F.substring(F.col("_piece"), F.col("_s") + 1 + lead(F.col("_base")), F.lit(short - step + width))
+    found = found.select(left_id, "_base", "_piece", "_s", part.alias("_slice"))
+    offsets = F.sequence(F.lit(0), F.length("_slice") - width, F.lit(step))
+    found = found.select(left_id, "_base", "_piece", "_s", "_slice", F.explode(offsets).alias("_o"))
+    sampled = F.substring(F.col("_slice"), F.col("_o") + 1, F.lit(width)).alias("_sampled")
+    known = grams(right, [], text, width).select(F.col("gram").alias("_sampled")).distinct()
+    hits = found.select(left_id, "_base", "_piece", (F.col("_s") + F.col("_o")).alias("_s"), sampled).join(F.broadcast(known), "_sampled", "left_semi")
+    back = F.explode(F.sequence(F.lit(0), F.least(F.col("_base") + F.col("_s"), F.lit(step - 1)))).alias("_d")
+    hits = hits.select(left_id, "_base", "_piece", "_s")
+    if parts:
+        hits = hits.repartition(parts, left_id)
+    hits = hits.select(left_id, "_base", "_piece", "_s", back)
+    place = F.col("_base") + F.col("_s") - F.col("_d")
+    at = F.col("_s") + lead(F.col("_base")) - F.col("_d")
+    whole = hits.where(F.length("_piece") - at >= k)
+    before = F.when(at > 0, F.substring(F.col("_piece"), at, F.lit(1))).otherwise("")
+    of_piece = {"gram": F.substring(F.col("_piece"), at + 1, F.lit(k)), "tail": F.substring(F.col("_piece"), at + 1 + k, F.lit(after))}
+    return whole.select(left_id, place.alias("i"), of_piece["gram"].alias("gram"), before.alias("before"), of_piece["tail"].alias("tail"))
+
+
 def matching_runs(
     left: DataFrame,
     right: DataFrame,
@@ -141,12 +201,10 @@ def matching_runs(
     A passage begins at i on the left and j on the right, can be prolonged neither way, and ends before ``run_end``. Two grams meet in the
     join only if a passage begins or ends with them, so it gives one row or two; on its diagonal a beginning is followed by its end.
     """
-    candidates = sharing_rows(left, right, k, left_id, text, keys)
-    lg = grams(candidates, [left_id, *keys], text, k, after=1)
+    lg = sharing_grams(left, right, k, left_id, text, keys)
     rg = grams(right, [right_id, *keys], text, k, place="j", after=1)
     rg = rg.withColumnsRenamed({"before": "_before", "tail": "_tail"})
-    begins = (F.col("before") == "") | (F.col("before") != F.col("_before"))
-    ends = (F.col("tail") == "") | (F.col("tail") != F.col("_tail"))
+    begins, ends = _edges(F.col("tail"))
     met = lg.join(_joined_side(rg, right), [*keys, "gram"]).where(begins | ends)
     met = met.select(left_id, right_id, "i", "j", begins.alias("_begins"), ends.alias("_ends"))
     line = W.partitionBy(left_id, right_id, F.col("i") - F.col("j")).orderBy("i")
@@ -154,6 +212,12 @@ def matching_runs(
     return met.withColumn("_last", last).where("_begins").select(left_id, right_id, "i", "j", (F.col("_last") + k).alias("run_end"))
 
 
+def _edges(following: Column) -> tuple[Column, Column]:
+    """Whether a passage begins, and whether it ends, with a gram that a left and a right text share."""
+    begins = (F.col("before") == "") | (F.col("before") != F.col("_before"))
+    return begins, (following == "") | (following != F.col("_tail"))
+
+
 def _shared_prefix(a: Column, b: Column) -> Column:
     """How many of at most SPAN characters two texts begin with in common."""
     steps = [1 << p for p in range(SPAN.bit_length() - 1, -1, -1)]
@@ -166,7 +230,13 @@ def _shared_prefix(a: Column, b: Column) -> Column:
 
 
 def longest_matches(
-    left: DataFrame, right: DataFrame, k: int, left_id: str, text: str = "norm", keys: Sequence[str] = ()
+    left: DataFrame,
+    right: DataFrame,
+    k: int,
+    left_id: str,
+    text: str = "norm",
+    keys: Sequence[str] = (),
+    shared: DataFrame | None = None,
 ) -> DataFrame:
     """(left_id, i, run_end): per left position the longest match of at least k characters with any right text.
 
@@ -176,11 +246,12 @@ def longest_matches(
     before or just after it. So rows grow with left positions plus right grams, not with their product; left
     positions of a heavy gram are cut into SALTS parts, each of which gets the continuations.
 
-    A match that goes on beyond SPAN characters after the gram lies in a shared passage of k + SPAN characters. Texts that have so
-    much in common meet in `matching_runs`, where equal right texts are one.
+    A match that goes on beyond SPAN characters after the gram lies in a passage of k + SPAN characters. The position has these
+    characters, so it meets the right texts that have them too, equal right texts as one, and only beginnings and ends of
+    passages make pairs, as in `matching_runs`. So left texts are cut once; not at all, if ``shared`` has their `sharing_grams`.
     """
-    candidates = sharing_rows(left, right, k, left_id, text, keys)
-    lg = grams(candidates, [left_id, *keys], text, k, after=SPAN)
+    lg = shared or sharing_grams(left, right, k, left_id, text, keys, after=SPAN + 1)
+    lg = lg.withColumns({"tail": F.substring("tail", 1, SPAN), "next": F.substring("tail", SPAN + 1, 1)})
     texts = right.where(F.length(text) >= k).select(*keys, text).distinct()
     of_gram = [*keys, "gram"]
     tails = grams(texts, list(keys), text, k, after=SPAN).groupBy(*of_gram, "tail").agg(F.lit(1).alias("_one"))
@@ -189,7 +260,8 @@ def longest_matches(
     dictionary = counted.groupBy(*of_gram).agg(listed)
     best = F.array_max(F.transform("_tails", lambda t: _shared_prefix(F.col("tail"), t)))
     salt = F.pmod(F.xxhash64(left_id, "i"), F.lit(SALTS)).cast("int").alias("_salt")
-    hits = lg.join(_joined_side(dictionary, right), of_gram).select(*of_gram, salt, "tail", left_id, "i", best.alias("_listed"))
+    hits = lg.join(_joined_side(dictionary, right), of_gram)
+    hits = hits.select(*of_gram, salt, "tail", "before", "next", left_id, "i", best.alias("_listed"))
     parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     given = counted.where(F.col("_n") > LISTED).select(*of_gram, parts, "tail", F.col("tail").alias("_given"))
     both = hits.unionByName(given, allowMissingColumns=True)
@@ -199,16 +271,29 @@ def longest_matches(
     above = F.last("_given", ignorenulls=True).over(group.orderBy(F.desc("tail"), F.col("_given").isNull()))
     near = both.withColumns({"_below": below, "_above": above}).where(F.col("_given").isNull())
     closest = F.greatest(*[_shared_prefix(F.col("tail"), F.coalesce(F.col(c), F.lit(""))) for c in ("_below", "_above")])
-    found = near.select(left_id, "i", F.coalesce("_listed", closest).alias("_more"))
+    found = near.select(*keys, left_id, "i", "gram", "tail", "before", "next", F.coalesce("_listed", closest).alias("_more"))
 
     wide = k + SPAN
     long_texts = texts.where(F.length(text) >= wide).withColumn("_text", F.xxhash64(*keys, text))
-    runs = matching_runs(left, long_texts, wide, left_id, "_text", text, keys)
-    of_runs = runs.groupBy(left_id, "i").agg(F.max("run_end").alias("run_end"))
-    inside = F.explode(F.sequence(F.col("i"), F.col("run_end") - k)).alias("i")
-    long = of_runs.select(left_id, inside, "run_end")
-    every = found.select(left_id, "i", (F.col("i") + k + F.col("_more")).alias("run_end")).unionByName(long)
-    return every.groupBy(left_id, "i").agg(F.max("run_end").alias("run_end"))
+    rg = grams(long_texts, ["_text", *keys], text, wide, place="j", after=1)
+    rg = rg.withColumnsRenamed({"before": "_before", "tail": "_tail", "gram": "_passage", **{c: f"_of_{c}" for c in keys}})
+    begins, ends = _edges(F.col("next"))
+    # positions with shorter matches meet nothing, so their key is any that spreads them
+    key = F.when(F.col("_more") == SPAN, F.concat("gram", "tail")).otherwise(F.xxhash64(left_id, "i").cast("string"))
+    found = found.select(*keys, left_id, "i", "before", "next", "_more", key.alias("_key"))
+    same = F.col("_key") == F.col("_passage")
+    for c in keys:
+        same &= F.col(c) == F.col(f"_of_{c}")
+    edge = found.join(_joined_side(rg, right), same & (F.col("_more") == SPAN) & (begins | ends), "left")
+    met = F.col("_text").isNotNull()
+    edge = edge.select(left_id, "i", "_more", "_text", "j", (met & begins).alias("_begins"), (met & ends).alias("_ends"))
+    # all positions of a text in one part: bounded by the text
+    edge = edge.repartition(left_id)
+    line = W.partitionBy(left_id, "_text", F.col("i") - F.col("j")).orderBy("i")
+    last = F.when(F.col("_ends"), F.col("i")).otherwise(F.lead("i").over(line))
+    runs = edge.withColumn("_last", last).withColumn("_last", F.when(F.col("_begins"), F.col("_last")).otherwise(F.col("i")))
+    inside = F.explode(F.sequence(F.col("i"), F.col("_last"))).alias("i")
+    return runs.select(left_id, inside, (F.col("_last") + k + F.col("_more")).alias("run_end")).groupBy(left_id, "i").agg(F.max("run_end").alias("run_end"))
 
 
 def lcs_pairs(
@@ -432,9 +517,10 @@ def leak_scan(
     return spans.withColumn("_stem", stem_norm).select(*spans.columns, hits)
 
 
-def containing(left: DataFrame, right: DataFrame, k: int, left_id: str, text: str = "norm") -> DataFrame:
-    """(left_id) of left texts that hold a whole right text of at least k characters.
+def whole_candidates(shared: DataFrame, right: DataFrame, k: int, left_id: str, text: str = "norm") -> DataFrame:
+    """(left_id, _whole): the right texts of at least k characters that a left text may hold whole; never misses one.
 
+    ``shared`` has the `sharing_grams` of the left texts.
     Each right text is looked for by its rarest gram alone, so grams that many texts share bring no pairs.
     """
     texts = right.where(F.length(text) >= k).select(F.col(text).alias("_whole")).distinct()
@@ -442,10 +528,13 @@ def containing(left: DataFrame, right: DataFrame, k: int, left_id: str, text: st
     counted = taken.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = F.min_by(F.struct("gram", "j"), F.struct("_n", "gram")).alias("_r")
     keyed = taken.join(counted, "gram").groupBy("_whole").agg(rarest).select("_whole", "_r.gram")
-    candidates = sharing_rows(left, right, k, left_id, text)
-    places = grams(candidates, [left_id], text, k).select(left_id, "gram").distinct()
-    pairs = places.join(_joined_side(keyed, right), "gram").select(left_id, "_whole")
-    held = pairs.join(candidates.select(left_id, text), left_id).where(F.contains(F.col(text), F.col("_whole")))
+    return shared.select(left_id, "gram").join(_joined_side(keyed, right), "gram").select(left_id, "_whole").distinct()
+
+
+def containing(left: DataFrame, right: DataFrame, k: int, left_id: str, text: str = "norm") -> DataFrame:
+    """(left_id) of left texts that hold a whole right text of at least k characters."""
+    pairs = whole_candidates(sharing_grams(left, right, k, left_id, text), right, k, left_id, text)
+    held = left.join(pairs, left_id).where(F.contains(F.col(text), F.col("_whole")))
     return held.select(left_id).distinct()
 
 
@@ -455,22 +544,24 @@ def overlap_report(
     """Per external text: equal to an own text, contained in or containing one, or sharing >= k characters."""
     mine = own.select(own_id, dedup_key(F.col(text)).alias("norm"))
     theirs = external.select(external_id, dedup_key(F.col(text)).alias("norm"))
-    exact = (
-        theirs.join(mine.select("norm").distinct(), "norm", "left_semi")
-        .select(external_id)
-        .withColumn("overlap", F.lit("exact"))
-        .withColumn("lcs_len", F.lit(None).cast("int"))
-    )
-    longest = longest_matches(theirs, mine, k, external_id)
+    equal = mine.select("norm").distinct().withColumn("_exact", F.lit(True))
     # an external text inside an own one matches from its beginning to its end
-    within = longest.join(theirs.select(external_id, F.length("norm").alias("_len")), external_id)
-    whole = (F.max((F.col("i") == 0) & (F.col("run_end") == F.col("_len")))).alias("_within")
-    sized = within.groupBy(external_id).agg(F.max(F.col("run_end") - F.col("i")).alias("lcs_len"), whole)
-    held = containing(theirs, mine, k, external_id).withColumn("_holds", F.lit(True))
-    sized = sized.join(held, external_id, "left").withColumn("_contained", F.coalesce("_holds", F.lit(False)) | F.col("_within"))
-    near = (
-        sized.join(exact, external_id, "left_anti")
-        .withColumn("overlap", F.when(F.col("_contained"), "containment").otherwise("shared"))
-        .select(external_id, "overlap", "lcs_len")
+    from_start = F.max(F.when(F.col("i") == 0, F.col("run_end"))).alias("_from_start")
+    # joins by id follow in one of the two uses only; a condition that they add there would make the shuffle another one
+    known = theirs.where(F.col(external_id).isNotNull())
+    parts = int(external.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = sharing_grams(known, mine, k, external_id, after=SPAN + 1, parts=parts)
+    longest = longest_matches(theirs, mine, k, external_id, shared=shared)
+    sized = longest.groupBy(external_id).agg(F.max(F.col("run_end") - F.col("i")).alias("_lcs"), from_start)
+    met = sized.join(whole_candidates(shared, mine, k, external_id), external_id, "left")
+    contained = (F.col("_from_start") == F.length("norm")) | F.contains(F.col("norm"), F.col("_whole"))
+    kinds = (
+        theirs.join(met, external_id, "left")
+        .join(equal, "norm", "left")
+        .where(F.col("_exact") | F.col("_lcs").isNotNull())
+        .groupBy(external_id)
+        .agg(F.max("_exact").alias("_exact"), F.max("_lcs").alias("_lcs"), F.max(contained).alias("_contained"))
     )
-    return exact.unionByName(near)
+    exact = F.col("_exact").isNotNull()
+    kind = F.when(exact, "exact").when(F.col("_contained"), "containment").otherwise("shared").alias("overlap")
+    return kinds.select(external_id, kind, F.when(~exact, F.col("_lcs")).alias("lcs_len"))

@@ -314,3 +314,61 @@ def test_stripping_does_not_normalise_twice(spark):
     plan = overlap.strip_training_rows(spans, stems, 8, None)._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in plan.splitlines() if "Filter" in line and "translate(context" in line]
     assert "RepartitionByExpression" in plan and not filters
+
+
+def test_sharing_grams_misses_none(spark, monkeypatch):
+    """Left k-grams that a right text has are all there, once, with the characters around them; in small pieces, with ends everywhere."""
+    rng = random.Random(31)
+    monkeypatch.setattr(overlap, "BROADCAST_BYTES", 1 << 100)
+    left = [(i, "".join(rng.choices("abc\u4eac\U0001d11e", (4, 4, 1, 1, 1), k=rng.randint(0, 120)))) for i in range(60)]
+    right = [(i, left[i][1][i : i + 25]) for i in range(0, 60, 4)]
+    dfs = spark.createDataFrame([*left, (60, None)], "l int, norm string"), spark.createDataFrame([*right, (1, None)], "r int, norm string")
+    for piece, of_slice in ((20, 8), (256, 32)):
+        monkeypatch.setattr(overlap, "PIECE", piece)
+        monkeypatch.setattr(overlap, "SLICE", of_slice)
+        for k, after, parts in ((6, 1, None), (7, 9, 3)):
+            got = overlap.sharing_grams(*dfs, k, "l", after=after, parts=parts).select("l", "i", "gram", "before", "tail").collect()
+            texts = dict(left)
+            for r in got:
+                t = texts[r.l]
+                assert (r.gram, r.before, r.tail) == (t[r.i : r.i + k], t[max(r.i - 1, 0) : r.i], t[r.i + k : r.i + k + after]) and len(r.gram) == k
+            want = {(i, p) for i, t in left for p in range(len(t) - k + 1) if any(t[p : p + k] in s for _, s in right)}
+            assert want and want <= {(r.l, r.i) for r in got} and len({(r.l, r.i) for r in got}) == len(got)
+
+
+def test_longest_matches_of_small_and_large_references_and_of_keys(spark, monkeypatch):
+    """The same positions if the references are broadcast or shuffled, and per key."""
+    rng = random.Random(32)
+    monkeypatch.setattr(overlap, "SPAN", 3)
+    left = [(i, i % 2, "".join(rng.choices("ab", k=rng.randint(0, 30)))) for i in range(40)]
+    right = [(i, i % 2, "".join(rng.choices("ab", k=rng.randint(0, 20)))) for i in range(20)]
+    dfs = spark.createDataFrame(left, "l int, q int, norm string"), spark.createDataFrame(right, "r int, q int, norm string")
+    by_key = {}
+    for q in (0, 1):
+        by_key |= _longest([(i, t) for i, p, t in left if p == q], [(i, t) for i, p, t in right if p == q], 3)
+    got = overlap.longest_matches(*dfs, 3, "l", keys=["q"]).collect()
+    assert {(r.l, r.i): r.run_end for r in got} == by_key and len(got) == len(by_key)
+    want = _longest([(i, t) for i, _, t in left], [(i, t) for i, _, t in right], 3)
+    for size, listed in ((0, 16), (1 << 100, 1), (1 << 100, 16)):
+        monkeypatch.setattr(overlap, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(overlap, "LISTED", listed)
+        got = overlap.longest_matches(*dfs, 3, "l").collect()
+        assert {(r.l, r.i): r.run_end for r in got} == want and len(got) == len(want)
+
+
+def _passes(df):
+    """How often the plan that ran made the rows of a range; shuffles that are used again count once."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count(" Range (")
+
+
+def test_overlap_report_reads_texts_twice(spark, monkeypatch):
+    """One pass finds what is shared, for both uses, one compares whole texts."""
+    monkeypatch.setattr(overlap, "BROADCAST_BYTES", 1 << 100)
+    text = F.concat(F.lit("holding inner words "), F.col("id").cast("string")).alias("t")
+    own = spark.createDataFrame([(1, "holding inner words 7"), (2, "a longer text holding inner words inside"), (3, "inner words 3")], "o int, t string")
+    out = overlap.overlap_report(own, spark.range(50).select(F.col("id").alias("e"), text), "o", "e", "t", 8)
+    assert _passes(out) == 2
+    got = {r["e"]: r["overlap"] for r in out.collect()}
+    holds = {3, *range(30, 40)}
+    assert got == {e: "exact" if e == 7 else "containment" if e in holds else "shared" for e in range(50)}
