@@ -416,9 +416,8 @@ def strip_training_rows(
     """
     full = spans.where(F.col("origin") == "full")
     keys = [key] if key else []
-    stripped = strip_stems(
-        full.select("id", *keys, "context"), stems, min_match, "id", "stem_id", "context", "stem_text", keys
-    ).select("id", F.col("stripped_text").alias("_after"))
+    ranges = strip_ranges(full, stems, min_match, "id", "stem_id", "context", "stem_text", keys)
+    after = F.when((F.col("origin") == "full") & F.col("ranges").isNotNull(), blank_ranges(F.col("context"), F.col("ranges")))
     gold_end = F.col("answer_end") - F.col("answer_start") + 1
     gold = F.substring(F.col("_after"), F.col("answer_start") + 1, gold_end)
     erased = (
@@ -429,10 +428,11 @@ def strip_training_rows(
     same = F.col("_after").isNull() | (F.col("_after") == F.col("context"))
     status = F.when(same, "same").when(erased, "guarded").otherwise("changed")
     return (
-        spans.join(stripped, "id", "left")
+        spans.join(ranges, "id", "left")
+        .withColumn("_after", after)
         .withColumn("strip_status", status)
         .withColumn("context", F.when(F.col("strip_status") == "changed", F.col("_after")).otherwise(F.col("context")))
-        .drop("_after")
+        .drop("ranges", "_after")
     )
 
 

@@ -362,6 +362,17 @@ def _passes(df):
     return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count(" Range (")
 
 
+def test_training_rows_are_cut_once(spark, monkeypatch):
+    """One pass over the texts finds the matches, one strips them."""
+    monkeypatch.setattr(overlap, "BROADCAST_BYTES", 1 << 100)
+    text = F.concat(F.lit("the quick brown fox jumps "), F.col("id").cast("string")).alias("context")
+    spans = spark.range(50).select("id", F.lit("full").alias("origin"), text, F.lit(0).alias("answer_start"), F.lit(5).alias("answer_end"))
+    stems = spark.createDataFrame([(1, "quick brown fox")], "stem_id int, stem_text string")
+    out = overlap.strip_training_rows(spans, stems, 8, None)
+    assert _passes(out) == 2
+    assert {r["context"][:19] for r in out.collect()} == {"the                "}
+
+
 def test_overlap_report_reads_texts_twice(spark, monkeypatch):
     """One pass finds what is shared, for both uses, one compares whole texts."""
     monkeypatch.setattr(overlap, "BROADCAST_BYTES", 1 << 100)
