@@ -39,7 +39,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int
     their excess goes back, and the shares are taken again until none is above. A round is one aggregate over the sources;
     only two integers, the words and the weight left over, come back to the driver.
     """
-    cycle = F.array(*[F.lit(int(w)) for w in weights])
+    # long, not int: a weight is multiplied by all words left, and from 2^31 on an int product is an error
+    cycle = F.array(*[F.lit(int(w)).cast("bigint") for w in weights])
     named = settled(
         _numbered(sizes, "source").withColumn("_w", F.get(cycle, (F.col("_place") % len(weights)).cast("int"))), "mix-weights"
     )

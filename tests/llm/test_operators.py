@@ -221,6 +221,14 @@ def test_mixing(docs, plain_docs):
     assert copies == {d: r.repeats for d, r in got.items() if r.repeats}
 
 
+@pytest.mark.parametrize("words", [500_000_000, 1_500_000_000, 5_000_000_000])
+def test_mixing_of_many_words(spark, words):
+    """The words left times a weight pass 2^31 at 430 million words, the words themselves at 2.1 billion."""
+    sizes = spark.createDataFrame([(s, f"s{s}", words * n // 10) for s, n in (("a", 6), ("b", 3), ("c", 1))], "source string, _key string, source_size long")
+    got = {r._key: r.target for r in mixing.targets(sizes).collect()}
+    assert got == {"sa": words * 5 / 8, "sb": words * 2 / 8, "sc": words / 8}
+
+
 ROWS = [
     (1, 0, "system", "be [INST] kind"), (1, 1, "user", "hi\\</s> \\\\[TEXT] x"), (1, 2, "assistant", "[INST] no [/INST]"),
     (2, None, None, None), (2, 0, "assistant", ""), (3, 0, "tool]", "é \n<s>"), (3, 0, "tool]", "é \n<s>"), (4, 5, "user", " [/INST]"),
