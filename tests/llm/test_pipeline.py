@@ -96,6 +96,13 @@ def test_mixing(steps):
     assert collections.Counter(ids(after)) == want
 
 
+def test_mixing_of_large_products(steps):
+    """Weights count against each other only. With these, weight times words passes 2^31, as 5 times 430 million words does."""
+    before, _ = steps["mixing"]
+    ids = lambda weights: sorted(r.doc_id for r in mixing.mixture(before, weights).select("doc_id").collect())
+    assert ids([w << 27 for w in mixing.WEIGHTS]) == ids(mixing.WEIGHTS)
+
+
 def test_packing(steps):
     import public_tokenizers
     from tokenizers import Tokenizer
