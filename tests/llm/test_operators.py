@@ -344,6 +344,56 @@ def test_refinement_tells_windows_apart():
     assert len(set(got.tolist())) == len(set(strings)) == len(set(zip(got.tolist(), strings)))
 
 
+def test_refinement_of_large_and_small_text(monkeypatch):
+    rng = random.Random(3)
+    data = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(300)) * 3 + bytes(80), np.uint8)
+    windows = np.arange(len(data) - 130)
+    small = substrings.refined(data, windows)
+    monkeypatch.setattr(substrings, "PLACE_BITS", 1)
+    large = substrings.refined(data, windows)
+    assert len(set(zip(small.tolist(), large.tolist()))) == len(set(small.tolist())) == len(set(large.tolist()))
+
+
+def test_runs_are_the_same_in_pieces(monkeypatch):
+    texts = [b"", words(1, 400).encode(), b"x" * 300, b"", b"short", words(2, 90).encode(), b"ab" * 200, words(1, 50).encode(), b""]
+    whole = substrings.runs_of(texts)
+    anchor, doc, start, many = (x.tolist() for x in whole)
+    covered = [(d, s + i) for d, s, n in zip(doc, start, many) for i in range(n)]
+    assert covered == [(d, i) for d, t in enumerate(texts) for i in range(len(t) - 49)] and max(many) <= substrings.SPAN
+    found = {}
+    for a, d, s, n in zip(anchor, doc, start, many):
+        assert all(found.setdefault(texts[d][s + i : s + i + 50], a) == a for i in range(n))
+    monkeypatch.setattr(substrings, "PIECE", 100)
+    assert all((a == b).all() for a, b in zip(whole, substrings.runs_of(texts), strict=True))
+
+
+def test_repeats_spread_over_tasks(spark):
+    """Tasks that look for candidates are as many as set, however little they are sent."""
+    passage = words(1, 40)
+    docs = spark.createDataFrame([(i, f"{words(i, 30)} {passage}") for i in range(2, 42)], "doc_id long, text string").repartition(4)
+    corpus = substrings.copied(docs, 1)
+    flags = common.settled(substrings._shared_anchors(corpus, 10_000))
+    found = substrings._candidate_runs(corpus, flags).withColumn("task", F.spark_partition_id())
+    assert found.select("task").distinct().count() == 4
+
+
+def test_whole_copies_send_nothing(spark):
+    """A copy goes by its digest; null ids come first, equal ids are of one rank, and short texts stay."""
+    text, short = words(1, 300), "x" * 49
+    rows = [(3, text), (None, text), (None, text), (7, text), (7, short), (8, short), (9, text[:-1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    corpus = substrings.copied(docs, 2)
+    flags = common.settled(substrings._shared_anchors(corpus, 10_000))
+    ranks = set()
+    for r in substrings._candidate_runs(corpus, flags).collect():
+        if r.bucket >= 0:
+            ranks |= set(substrings._unpacked(r.data, "i4", "i8", "i8", "i4", "u4", "u1")[1].tolist())
+    assert ranks == {-(1 << 63), 9}
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, len(r.kept)) for r in substrings.without_repeats(docs, 2).collect())
+    n = len(text)
+    assert got == sorted([(False, 3, n, 0), (True, 0, n, n), (True, 0, n, n), (False, 7, n, 0), (False, 7, 49, 49), (False, 8, 49, 49), (False, 9, n - 1, 0)])
+
+
 def vector_rows():
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 16))
