@@ -2,9 +2,11 @@
 
 How a suffix array of the corpus is cut into pieces that tasks can hold:
 
-* Every WINDOW-byte string contains, at the same place in each of its occurrences, the Q-gram with the smallest hash, its
-  anchor. Strings with different anchors are different, so each anchor has a suffix array of its own, and anchors found in
-  one document only need none. Neighbouring windows with one anchor travel together, as a run.
+* Every WINDOW-byte string contains, at the same place in each of its occurrences, the Q-gram with the smallest hash, and
+  beyond it SIDE bytes on the left or more than SIDE on the right. The gram with these is its anchor: 33 or 34 bytes, which
+  different texts share seldom, however many they are. Strings with different anchors are different, so each anchor has a
+  suffix array of its own, and anchors found in one document only need none. Neighbouring windows with one anchor travel
+  together, as a run.
 * Within the runs that remain, windows are told apart by bucket-pointer refinement: suffixes start in the bucket of their
   first eight bytes; a bucket is split by sorting on the buckets at a later offset, and the buckets made so are used again
   at twice the depth. Buckets of one suffix are final and are not sorted again.
@@ -29,6 +31,7 @@ from markbook.llm.common import filesystem, joined_back, settled, text_of, work_
 WINDOW = 50
 Q = 16
 SPAN = WINDOW - Q + 1
+SIDE = SPAN // 2
 #: documents in a chunk
 CHUNK_DOCS = 4096
 #: an anchor in more documents than this is dealt out by window, not by anchor
@@ -61,11 +64,23 @@ def _hashed(data: np.ndarray) -> np.ndarray:
     return x
 
 
+def _joined(*hashes: np.ndarray) -> np.ndarray:
+    x = hashes[0].copy()
+    for other in hashes[1:]:
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        x += other
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
+
+
 def _runs_of_piece(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(size)
     begin = ends - size
-    least, width = _hashed(np.frombuffer(b"".join(texts) + bytes(WINDOW + 16), np.uint8)), 1
+    grams = _hashed(np.frombuffer(b"".join(texts) + bytes(WINDOW + 16), np.uint8))
+    least, width = grams, 1
     while 2 * width <= SPAN:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
@@ -80,7 +95,33 @@ def _runs_of_piece(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if parts.max(initial=1) > 1:  # one gram again and again
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         at, doc, many = np.repeat(at, parts) + SPAN * nth, np.repeat(doc, parts), np.minimum(np.repeat(many, parts) - SPAN * nth, SPAN)
-    return least[at], doc, at - begin[doc], many
+    # the first place in a window whose gram is the least one, by half of its hash; after it the rest is a run, which is seldom
+    halves = grams.astype(np.uint32)
+    views, done = np.lib.stride_tricks.sliding_window_view(halves, SPAN), []
+    while len(at):
+        offset = (views[at] == least[at].astype(np.uint32)[:, None]).argmax(axis=1)
+        taken = np.minimum(many, offset + 1)
+        done.append((at, doc, taken, at + offset))
+        rest = many > taken
+        at, doc, many = (at + taken)[rest], doc[rest], (many - taken)[rest]
+    if not done:
+        return np.zeros(0, np.uint64), at, at, at
+    at, doc, many, gram = (np.concatenate(x) for x in zip(*done, strict=True))
+    if len(done) > 1:
+        order = np.argsort(at)
+        at, doc, many, gram = at[order], doc[order], many[order], gram[order]
+    # windows that begin SIDE bytes before the gram or earlier, and the others
+    left = np.clip(gram - at - SIDE + 1, 0, many)
+    a, b = np.flatnonzero(left), np.flatnonzero(left < many)
+    g, h = gram[a], gram[b]
+    pieces = (left > 0).astype(np.int64) + (left < many)
+    first = np.cumsum(pieces) - pieces
+    key, start, windows = np.empty(pieces.sum(), np.uint64), np.repeat(at - begin[doc], pieces), np.repeat(many, pieces)
+    key[first[a]], windows[first[a]] = _joined(grams[g], grams[g - 1], grams[g - SIDE]), left[a]
+    b_at = first[b] + (left[b] > 0)
+    key[b_at], windows[b_at] = _joined(grams[h] + np.uint64(1), grams[h + Q], grams[h + SIDE + 1]), (many - left)[b]
+    start[b_at] += left[b]
+    return key, np.repeat(doc, pieces), start, windows
 
 
 def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
